@@ -1,0 +1,50 @@
+"""Connected components of a link table, by alternating large and small stars over DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stemma.llm.common import staged
+
+
+def star(edges: DataFrame, large: bool) -> DataFrame:
+    """Links each node's neighbours to the smallest id around it.
+
+    large: the neighbours above the node, over links in both directions; small: the node's lower
+    neighbours and itself.  The minimum is aggregated before the shuffle and then joined back, so a node
+    with very many links gathers nowhere.
+    """
+    if large:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = F.least("u", F.min("v"))
+    else:
+        both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        near = F.min("v")
+    least = both.groupBy("u").agg(near.alias("m"))
+    joined = both.join(least, "u")
+    if large:
+        out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    return out.filter(F.col("u") != F.col("v")).distinct()
+
+
+def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """node, root for every node of ``edges`` (u, v long, not null); root is the component's smallest node.
+
+    Each round is written to the shared folder; the number of rounds grows with the logarithm of the
+    longest path.  No edges: no rows.
+    """
+    now = staged(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct(), "edges")
+    seen = None
+    for _ in range(rounds):
+        now = staged(star(star(now, True), False), "star")
+        # a fixed point is a set of stars; the sums tell whether the set has changed
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == seen:
+            break
+        seen = state
+    else:
+        raise RuntimeError("components did not settle")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
