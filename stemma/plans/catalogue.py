@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from stemma.plans import chains, families
+from stemma.plans.registry import ORACLES, QUERIES
 
+hmm_log_marginal = chains.hmm_log_marginal
 
-def hmm_log_marginal(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "chains", "families", "hmm_log_marginal"]
