@@ -44,6 +44,19 @@ def at(array: Column, i) -> Column:
     return F.get(array, i if isinstance(i, Column) else F.lit(i))
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with the value computed once.
+
+    A column that is named once inside a lambda may be replaced by its own expression there and then be
+    computed for every element; a lambda's argument never is.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def together(*names: str) -> Column:
+    return F.struct(*[F.col(n) for n in names])
+
+
 def sequences(df: DataFrame, seq: str, order: list[str], *obs: str) -> DataFrame:
     """seq_id and xs: the observations (a struct of ``obs`` columns) ordered in an array."""
     item = F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(o) for o in obs])
@@ -136,9 +149,10 @@ def backward(model: HMM, steps: Column, known: bool = False) -> Column:
 def messages(model: HMM, seqs: DataFrame, like, known: bool = False) -> DataFrame:
     """seq_id, steps, alpha, beta, logz.  ``like`` maps an observation struct to the likelihood array."""
     prepared = lambda x: F.struct(like(x).alias("like"), *([x["known"].alias("known")] if known else []))
-    out = seqs.withColumn("steps", F.transform("xs", prepared))
-    out = out.withColumn("alpha", forward(model, F.col("steps"), known)).withColumn("beta", backward(model, F.col("steps"), known))
-    return out.withColumn("logz", lse_array(F.element_at("alpha", -1)))
+    both = lambda s: F.struct(s.alias("steps"), forward(model, s, known).alias("alpha"), backward(model, s, known).alias("beta"))
+    out = seqs.withColumn("_m", bind(F.transform("xs", prepared), both))
+    # every field is wanted twice at least, so the struct is not computed anew for each
+    return out.select(*seqs.columns, "_m.steps", "_m.alpha", "_m.beta", bind(F.col("_m"), lambda m: lse_array(F.element_at(m["alpha"], -1))).alias("logz"))
 
 
 def exploded(df: DataFrame, array: Column, name: str) -> DataFrame:
@@ -149,18 +163,21 @@ def exploded(df: DataFrame, array: Column, name: str) -> DataFrame:
 
 def smoothed(m: DataFrame) -> Column:
     """P(x_t | Y) from the messages, as arrays."""
-    return F.zip_with("alpha", "beta", lambda a, b: F.zip_with(a, b, lambda x, y: F.exp(x + y - F.col("logz"))))
+    return bind(together("alpha", "beta", "logz"), lambda m: F.zip_with(m["alpha"], m["beta"], lambda a, b: F.zip_with(a, b, lambda x, y: F.exp(x + y - m["logz"]))))
 
 
 def pair_joint(model: HMM) -> Column:
     """array over t of arrays over (j, k): P(x_t = j, x_t+1 = k | Y)."""
-    inner = F.sequence(F.lit(0), F.size("steps") - 2)
 
-    def pair(t: Column) -> Column:
-        a, b, like = at(F.col("alpha"), t), at(F.col("beta"), t + 1), at(F.col("steps"), t + 1)["like"]
-        return vector([F.exp(at(a, j) + ln(model.a[j][k]) + at(like, k) + at(b, k) - F.col("logz")) for j in range(model.k) for k in range(model.k)])
+    def pairs(m: Column) -> Column:
+        def pair(t: Column) -> Column:
+            a, b, like = at(m["alpha"], t), at(m["beta"], t + 1), at(m["steps"], t + 1)["like"]
+            return vector([F.exp(at(a, j) + ln(model.a[j][k]) + at(like, k) + at(b, k) - m["logz"]) for j in range(model.k) for k in range(model.k)])
 
-    return F.when(F.size("steps") > 1, F.transform(inner, pair)).otherwise(F.array().cast("array<array<double>>"))
+        inner = F.sequence(F.lit(0), F.size(m["steps"]) - 2)
+        return F.when(F.size(m["steps"]) > 1, F.transform(inner, pair)).otherwise(F.array().cast("array<array<double>>"))
+
+    return bind(together("alpha", "beta", "steps", "logz"), pairs)
 
 
 def argmax(xs: list[Column]) -> Column:
@@ -203,17 +220,20 @@ def draw(weights: list[Column], u: Column) -> Column:
 
 def ffbs(model: HMM, us: Column) -> Column:
     """States drawn from P(x | Y): filter forward (column alpha), sample backward with the uniforms ``us`` by t."""
-    n = F.size("alpha")
-    last = at(F.col("alpha"), n - 1)
-    end = F.array(draw([at(last, k) for k in range(model.k)], at(us, n - 1)))
 
-    def add(path: Column, t: Column) -> Column:
-        nxt, a = at(path, F.size(path) - 1), at(F.col("alpha"), t)
-        into = vector  # ln P(j -> nxt) picked from each row
-        return F.concat(path, F.array(draw([at(a, j) + at(into([ln(p) for p in model.a[j]]), nxt) for j in range(model.k)], at(us, t))))
+    def walk(m: Column) -> Column:
+        n = F.size(m["alpha"])
+        last = at(m["alpha"], n - 1)
+        end = F.array(draw([at(last, k) for k in range(model.k)], at(m["us"], n - 1)))
+
+        def add(path: Column, t: Column) -> Column:
+            nxt, a = at(path, F.size(path) - 1), at(m["alpha"], t)
+            return F.concat(path, F.array(draw([at(a, j) + at(vector([ln(p) for p in model.a[j]]), nxt) for j in range(model.k)], at(m["us"], t))))
 
-    back = F.when(n > 1, F.reverse(F.sequence(F.lit(0), n - 2))).otherwise(F.array().cast("array<int>"))
-    return F.reverse(F.aggregate(back, end, add))
+        back = F.when(n > 1, F.reverse(F.sequence(F.lit(0), n - 2))).otherwise(F.array().cast("array<int>"))
+        return F.reverse(F.aggregate(back, end, add))
+
+    return bind(F.struct(F.col("alpha"), us.alias("us")), walk)
 
 
 def simulate(model: HMM, us: Column) -> Column:
@@ -238,14 +258,25 @@ def emit(model: HMM, state: Column, u: Column) -> Column:
 
 def expected_stats(model: HMM, m: DataFrame, y: str = "y") -> DataFrame:
     """kind ('initial', 'transition', 'emission'), i, j, value: sums over all sequences, combined on the map side."""
-    g = m.withColumn("gamma", smoothed(m)).withColumn("xi", pair_joint(model))
-    k = model.k
-    first = g.select(F.lit("initial").alias("kind"), F.posexplode(at(F.col("gamma"), 0)).alias("i", "value")).withColumn("j", F.lit(0))
-    pairs = g.select(F.explode("xi").alias("x")).select(F.lit("transition").alias("kind"), F.posexplode("x").alias("c", "value")).select("kind", F.expr(f"c div {k}").alias("i"), (F.col("c") % k).alias("j"), "value")
-    seen = g.select(F.explode(F.arrays_zip(F.transform("xs", lambda x: x[y]).alias("y"), F.col("gamma").alias("g"))).alias("z")).filter(F.col("z.y").isNotNull())
-    seen = seen.select(F.lit("emission").alias("kind"), F.col("z.y").alias("j"), F.posexplode("z.g").alias("i", "value"))
-    cols = ["kind", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "value"]
-    return first.select(*cols).unionByName(pairs.select(*cols)).unionByName(seen.select(*cols)).groupBy("kind", "i", "j").agg(F.sum("value").alias("value"))
+    k, d = model.k, len(model.e[0])
+    cell = lambda kind, i, j, v: F.struct(F.lit(kind).alias("kind"), F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), v.alias("value"))
+
+    def sums(x: Column) -> Column:
+        """The few expected counts of one sequence, summed over its steps by folds."""
+        g, xi, ys = x["gamma"], x["xi"], x["ys"]
+        first = [cell("initial", i, 0, at(at(g, 0), i)) for i in range(k)]
+        moved = F.aggregate(xi, vector([0.0] * (k * k)), lambda a, p: F.zip_with(a, p, lambda u, v: u + v))
+        seen = F.zip_with(ys, g, lambda y, p: F.struct(y.alias("y"), p.alias("p")))
+        pairs = bind(moved, lambda m: F.array(*[cell("transition", i, j, at(m, i * k + j)) for i in range(k) for j in range(k)]))
+        out = [cell("emission", i, y, emitted(seen, i, y)) for i in range(k) for y in range(d)]
+        return F.concat(F.array(*first), pairs, F.array(*out))
+
+    def emitted(seen: Column, i: int, y: int) -> Column:
+        return F.aggregate(seen, F.lit(0.0), lambda a, s: a + F.when(s["y"] == y, at(s["p"], i)).otherwise(0.0))
+
+    g = m.select(F.struct(smoothed(m).alias("gamma"), pair_joint(model).alias("xi"), F.transform("xs", lambda x: x[y].cast("long")).alias("ys")).alias("x"))
+    cells = g.select(F.explode(bind(F.col("x"), sums)).alias("c")).select("c.*")
+    return cells.groupBy("kind", "i", "j").agg(F.sum("value").alias("value"))
 
 
 def m_step(model: HMM, stats: list, prior: float = 0.0) -> HMM:
@@ -317,19 +348,23 @@ def kalman_filter(steps: Column, model: LDS1, a: Column | None = None) -> Column
 
 def kalman_smoother(filtered: Column, steps: Column, model: LDS1) -> Column:
     """array<struct(m, v, c)>: smoothed means, variances and the covariance with the next step (0 for the last)."""
-    n = F.size(filtered)
-    last = at(filtered, n - 1)
-    end = F.array(F.struct(last["m"].alias("m"), last["v"].alias("v"), F.lit(0.0).alias("c")))
-
-    def add(acc: Column, t: Column) -> Column:
-        s, f = at(acc, F.size(acc) - 1), at(filtered, t)
-        u = F.coalesce(at(steps, t + 1)["u"], F.lit(0.0))
-        p = model.a * model.a * f["v"] + model.q
-        g = f["v"] * model.a / p
-        return F.concat(acc, F.array(F.struct((f["m"] + g * (s["m"] - model.a * f["m"] - u)).alias("m"), (f["v"] + g * g * (s["v"] - p)).alias("v"), (g * s["v"]).alias("c"))))
-
-    back = F.when(n > 1, F.reverse(F.sequence(F.lit(0), n - 2))).otherwise(F.array().cast("array<int>"))
-    return F.reverse(F.aggregate(back, end, add))
+
+    def walk(m: Column) -> Column:
+        n = F.size(m["f"])
+        last = at(m["f"], n - 1)
+        end = F.array(F.struct(last["m"].alias("m"), last["v"].alias("v"), F.lit(0.0).alias("c")))
+
+        def add(acc: Column, t: Column) -> Column:
+            s, f = at(acc, F.size(acc) - 1), at(m["f"], t)
+            u = F.coalesce(at(m["s"], t + 1)["u"], F.lit(0.0))
+            p = model.a * model.a * f["v"] + model.q
+            g = f["v"] * model.a / p
+            return F.concat(acc, F.array(F.struct((f["m"] + g * (s["m"] - model.a * f["m"] - u)).alias("m"), (f["v"] + g * g * (s["v"] - p)).alias("v"), (g * s["v"]).alias("c"))))
+
+        back = F.when(n > 1, F.reverse(F.sequence(F.lit(0), n - 2))).otherwise(F.array().cast("array<int>"))
+        return F.reverse(F.aggregate(back, end, add))
+
+    return bind(F.struct(filtered.alias("f"), steps.alias("s")), walk)
 
 
 def lds_moments(df: DataFrame) -> DataFrame:
