@@ -223,7 +223,7 @@ def tensor_categorical_sample(spark, d):
     return u.select(F.get("cells", walk["k"]).alias("c")).groupBy("c.o_orderstatus", "c.o_orderpriority").agg(F.count("*").alias("n"))
 
 
-_g = lambda k: f"(ln(0.2 * {k + 1}) - ln(-ln({uniform_sql(chr(39) + 'gumbel' + chr(39), 'event_id', str(k))})))"
+_g = lambda k: f"(ln(0.2 * {k + 1}) - ln(-ln(" + uniform_sql("'gumbel'", "event_id", str(k)) + ")))"
 
 
 @query(f"with g as (select event_id, {', '.join(f'{_g(k)} / 0.7 as g{k}' for k in range(3))} from events), m as (select *, greatest(g0, g1, g2) as m from g), e as (select event_id, exp(g0 - m) as e0, exp(g1 - m) as e1, exp(g2 - m) as e2 from m) select event_id, {', '.join(f'round(e{k} / (e0 + e1 + e2), 6) + 0.0 as w{k}' for k in range(3))} from e")
@@ -249,6 +249,9 @@ def confusion_matrix(spark, d):
     return longs(evaluation.confusion(judged(spark, d), "truth", "guess"), "n")
 
 
+U_SOFT, U_CONF, U_FOLD, U_UP = (uniform_sql(f"'{x}'", "doc_id") for x in ("soft", "conf", "fold", "up"))
+
+
 def judged(spark, d):
     return table(spark, d, "labels").select("doc_id", F.col("quality").alias("truth"), (1 - F.col("toxic")).alias("guess"))
 
@@ -267,25 +270,25 @@ def class_accuracy(spark, d):
     return rounded(evaluation.class_accuracy(judged(spark, d), "truth", "guess"), "accuracy", digits=9)
 
 
-@query(f"with u as (select quality as truth, {uniform_sql(chr(39) + 'soft' + chr(39), 'doc_id')} as p from labels) select truth, guess, round(sum(case when guess = 'yes' then p else 1 - p end), 6) as mass from u, (values ('yes'), ('no')) g(guess) group by 1, 2")
+@query(f"with u as (select quality as truth, {U_SOFT} as p from labels) select truth, guess, round(sum(case when guess = 'yes' then p else 1 - p end), 6) as mass from u, (values ('yes'), ('no')) g(guess) group by 1, 2")
 def soft_confusion(spark, d):
     u = uniform(F.lit("soft"), F.col("doc_id"))
     return rounded(evaluation.soft_confusion(judged(spark, d), "truth", {"yes": u, "no": 1 - u}), "mass")
 
 
-@query(f"with u as (select quality = 1 - toxic as ok, {uniform_sql(chr(39) + 'conf' + chr(39), 'doc_id')} as p from labels) select case when p > 0.8 then 'sure' when p > 0.5 then 'leaning' else 'open' end as band, ok::bigint as is_right, count(*) as n from u group by 1, 2")
+@query(f"with u as (select quality = 1 - toxic as ok, {U_CONF} as p from labels) select case when p > 0.8 then 'sure' when p > 0.5 then 'leaning' else 'open' end as band, ok::bigint as is_right, count(*) as n from u group by 1, 2")
 def confidence_bands(spark, d):
     return evaluation.bands(judged(spark, d), uniform(F.lit("conf"), F.col("doc_id")), F.col("truth") == F.col("guess"))
 
 
-@query(f"select floor({uniform_sql(chr(39) + 'fold' + chr(39), 'doc_id')} * 5)::bigint as fold, toxic, count(*) as n from labels group by 1, 2")
+@query(f"select floor({U_FOLD} * 5)::bigint as fold, toxic, count(*) as n from labels group by 1, 2")
 def cv_folds(spark, d):
     return evaluation.folds(table(spark, d, "labels"), "doc_id").groupBy("fold", "toxic").agg(F.count("*").alias("n"))
 
 
 @query(
     f"""with c as (select toxic, count(*) as n from labels group by 1), q as (select l.doc_id, l.toxic, (select max(n) from c) / n::double as ratio from labels l join c using (toxic)),
-    k as (select doc_id, toxic, floor(ratio)::bigint + ({uniform_sql(chr(39) + 'up' + chr(39), 'doc_id')} < ratio - floor(ratio))::bigint as copies from q) select doc_id, toxic, unnest(range(1, copies + 1)) as copy from k"""
+    k as (select doc_id, toxic, floor(ratio)::bigint + ({U_UP} < ratio - floor(ratio))::bigint as copies from q) select doc_id, toxic, unnest(range(1, copies + 1)) as copy from k"""
 )
 def class_upsample(spark, d):
     return evaluation.upsample(table(spark, d, "labels"), "toxic", "doc_id").select("doc_id", "toxic", "copy")

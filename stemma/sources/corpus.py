@@ -63,7 +63,7 @@ def corpus_edges(spark: SparkSession) -> DataFrame:
 def edges_sql(graphs: dict[int, str]) -> str:
     """The same table as DuckDB VALUES."""
     rows = ", ".join(str((g, *r)) for g, text in graphs.items() for r in incidence(text))
-    return f"(select * from (values {rows}) t(graph_id, edge, role, node, ord))"
+    return f"(select graph_id::bigint as graph_id, edge::bigint as edge, role, node::bigint as node, ord::bigint as ord from (values {rows}) t(graph_id, edge, role, node, ord))"
 
 
 def replicate(nation: DataFrame, text: str) -> DataFrame:
