@@ -20,6 +20,7 @@ from pyspark.sql.types import LongType
 
 from stemma.llm.common import map_rows, staged
 from stemma.llm.components import components
+from stemma.llm.sketch import minhashes, sketch_links
 
 #: Node pairs walked at once; beyond it the walk goes part by part, so memory is bounded.
 FRONTIER = 1 << 19
@@ -49,14 +50,15 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (the fingerprint's bits as a signed long) for every row; a null text is an empty one."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, sketches: bool = False) -> DataFrame:
+    """id, fp (the fingerprint's bits as a signed long) for every row, and its minhashes if asked for; a null text is an empty one."""
 
     def make():
-        return lambda columns: [(i, signed(simhash(t))) for i, t in zip(*columns, strict=True)]
+        extra = (lambda t: (minhashes(t, width).tobytes(),)) if sketches else (lambda t: ())
+        return lambda columns: [(i, signed(simhash(t, width)), *extra(t)) for i, t in zip(*columns, strict=True)]
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, fp long")
+    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, fp long" + ", sketch binary" * sketches)
 
 
 # ---- the trie join of one task -------------------------------------------------------------------
@@ -222,20 +224,22 @@ def links(fps: DataFrame, budget: int = 2) -> DataFrame:
     return map_rows(dealt, make, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
-def classes(fps: DataFrame, budget: int = 2) -> DataFrame:
-    """fp, root: every distinct fingerprint of ``fps`` and its component's smallest fingerprint."""
+def classes(fps: DataFrame, budget: int = 2, more: DataFrame | None = None) -> DataFrame:
+    """fp, root: every distinct fingerprint of ``fps`` and its component's smallest fingerprint; ``more`` are further links u, v."""
     distinct = staged(fps.select("fp").distinct(), "fps")
-    found = components(links(distinct, budget))
+    found = links(distinct, budget)
+    found = components(found.unionByName(more) if more is not None else found)
     return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def classified(docs: DataFrame, budget: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def classified(docs: DataFrame, budget: int, id_col: str, text_col: str, width: int = 3, similar: bool = False) -> tuple[DataFrame, DataFrame]:
     """(id, fp of every row; fp, root, component_id of every fingerprint), both written."""
-    marked = staged(fingerprints(docs, id_col, text_col), "simhash")
+    marked = staged(fingerprints(docs, id_col, text_col, width, similar), "simhash")
     least = marked.groupBy("fp").agg(F.min(id_col).alias("_least"))
-    root = staged(classes(least, budget).join(least, "fp"), "classes")
+    more = sketch_links(staged(marked.groupBy("fp").agg(F.min("sketch").alias("sketch")), "sketches")) if similar else None
+    root = staged(classes(least, budget, more).join(least, "fp"), "classes")
     smallest = root.groupBy("root").agg(F.min("_least").alias("component_id"))
-    return marked, root.join(smallest, "root").select("fp", "root", "component_id")
+    return marked.select(id_col, "fp"), root.join(smallest, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,18 +254,15 @@ def near_duplicates(docs: DataFrame, budget: int = 2, id_col: str = "doc_id", te
     return marked.join(of, "fp").select(id_col, hexed.alias("fingerprint"), "component_id")
 
 
-@F.pandas_udf(LongType())
-def fingerprint_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: signed(simhash(t)))
+def keep_one(docs: DataFrame, budget: int = 2, width: int = 5, similar: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates, that with the smallest id; columns unchanged.
 
-
-def keep_one(docs: DataFrame, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component, that with the smallest id; columns unchanged.
-
-    A component without ids keeps one of its rows with null id.  Where an id occurs in several rows, the
-    row is found by its fingerprint and equal rows are dropped.
+    Groups are the components of two kinds of links: fingerprints at ``budget`` or fewer bits and, with
+    ``similar``, sets of ``width``-word shingles with a Jaccard similarity of 0.8 or more.  A group
+    without ids keeps one of its rows with null id.  Where an id occurs in several rows, the row is found
+    by its fingerprint and equal rows are dropped.
     """
-    marked, of = classified(docs, budget, id_col, text_col)
+    marked, of = classified(docs, budget, id_col, text_col, width, similar)
     one = marked.join(of, "fp").filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(id_col).alias("_id"), F.min("fp").alias("_fp"))
     often = marked.groupBy(F.col(id_col).alias("_id2")).agg((F.count("*") > 1).alias("_often")).filter("_often")
     kept = staged(one.join(often, one["_id"].eqNullSafe(often["_id2"]), "left").select("_id", "_fp", F.coalesce("_often", F.lit(False)).alias("_often")), "kept")
@@ -272,5 +273,10 @@ def keep_one(docs: DataFrame, budget: int = 2, id_col: str = "doc_id", text_col:
     out = own.join(kept.filter(~F.col("_often")), here, "left_semi").select(*back)
     if kept.filter("_often").isEmpty():
         return out
-    again = own.join(kept.filter("_often"), here).filter(fingerprint_of(F.col(names[text_col])) == F.col("_fp"))
+
+    def fingerprint_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: signed(simhash(t, width)))
+
+    fingerprint_of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    again = own.join(kept.filter("_often"), here).filter(F.pandas_udf(fingerprint_of, LongType())(F.col(names[text_col])) == F.col("_fp"))
     return out.unionByName(again.dropDuplicates([names[id_col], "_fp"]).select(*back))
