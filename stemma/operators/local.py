@@ -226,8 +226,9 @@ class Graph:
         return drawn
 
     def loopy(self, rounds: int = 50, damping: float = 0.5, tolerance: float = 1e-9) -> dict[int, np.ndarray]:
-        """Damped sum-product on the factor graph; exact where there is no undirected cycle, approximate else."""
-        scopes = list(self.tensors)
+        """Damped sum-product, one factor for each hyperedge; exact where there is no undirected cycle, approximate else."""
+        at = {t.names[-1]: t for t in self.tensors if len(t.names) > 1}
+        scopes = [t for t in self.tensors if len(t.names) == 1] + [product_of([at[n] for n in c]) for _, _, c in self.edges]
         msg = {(i, n): np.zeros(t.values.shape[t.names.index(n)]) for i, t in enumerate(scopes) for n in t.names}
         for _ in range(rounds):
             new, change = {}, 0.0
