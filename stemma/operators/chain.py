@@ -76,6 +76,12 @@ def gaussian(means, variances, y: Column) -> Column:
     return vector([F.coalesce(normal_logpdf(y, m, v), F.lit(0.0)) for m, v in zip(means, variances, strict=True)])
 
 
+def gaussian_diagonal(means, variances, ys: Column) -> Column:
+    """Several dimensions with a diagonal covariance per state; ``ys`` is an array, null entries are missing."""
+    one = lambda m, v: total(F.coalesce(normal_logpdf(at(ys, i), a, b), F.lit(0.0)) for i, (a, b) in enumerate(zip(m, v, strict=True)))
+    return vector([one(m, v) for m, v in zip(means, variances, strict=True)])
+
+
 def regression(slopes, intercepts, variances, previous: Column, x: Column) -> Column:
     """Mode likelihoods of a step of a continuous chain; zero for the first step, which has no predecessor."""
     return vector([F.coalesce(normal_logpdf(x, s * previous + b, v), F.lit(0.0)) for s, b, v in zip(slopes, intercepts, variances, strict=True)])

@@ -295,6 +295,21 @@ class LDS:
             vs.append(sym(covs[t] + g @ (vs[-1] - p) @ g.T))
         return ms[::-1], vs[::-1], cross[::-1], loglik
 
+    def sample_states(self, ys, g: np.random.Generator) -> np.ndarray:
+        """States drawn from P(x | Y): filter forward, sample backward."""
+        means, covs, _ = self.filter(ys)
+        out = [Normal(means[-1], covs[-1]).sample(g, 1)[0]]
+        for m, v in zip(means[-2::-1], covs[-2::-1], strict=True):
+            p = sym(self.a @ v @ self.a.T + self.q)
+            k = np.linalg.solve(p, self.a @ v).T
+            out.append(Normal(m + k @ (out[-1] - self.a @ m), sym(v - k @ self.a @ v)).sample(g, 1)[0])
+        return np.array(out[::-1])
+
+    def log_joint(self, xs: np.ndarray, ys) -> float:
+        """ln P(x, y) of complete data."""
+        lp = mvn_logpdf(xs[0], self.m0, self.v0) + sum(mvn_logpdf(b, self.a @ a, self.q) for a, b in zip(xs, xs[1:], strict=False))
+        return lp + sum(mvn_logpdf(np.asarray(y), self.c @ x, self.r) for x, t in zip(xs, ys, strict=True) for y in t)
+
     def information_filter(self, ys):
         """The same log P(Y) by information-form messages: predict with a Schur complement, update by addition."""
         qi, ri = np.linalg.inv(self.q), np.linalg.inv(self.r)

@@ -157,6 +157,39 @@ def test_kalman_filters_agree():
     assert abs(dense.mvn_logpdf(flat, np.zeros(len(flat)), whole) - a) < 1e-7
 
 
+def test_lds_draws_follow_the_smoother():
+    g = np.random.default_rng(6)
+    lds = dense.LDS(np.zeros(2), np.eye(2), np.array([[0.9, 0.1], [0.0, 0.7]]), 0.2 * np.eye(2), np.eye(2), 0.2 * np.eye(2))
+    xs, ys = lds.simulate(5, 1, g)
+    ms, vs, _, z = lds.smooth([list(y) for y in ys])
+    draws = np.array([lds.sample_states([list(y) for y in ys], g) for _ in range(3000)])
+    assert np.allclose(draws.mean(axis=0), ms, atol=0.05) and np.allclose(draws.var(axis=0), [np.diag(v) for v in vs], atol=0.03)
+    assert np.isfinite(lds.log_joint(xs, [list(y) for y in ys]))
+
+
+@pytest.mark.parametrize("method", ["em", "cavi", "gibbs"])
+def test_chain_model_facade(spark, chains, method):
+    from stemma.operators.facade import HMMModel
+
+    _, df, _ = chains
+    m = HMMModel(MODEL).fit(df, method, rounds=3, burn_in=1)
+    for row in (m.params.pi, *m.params.a, *m.params.e):
+        assert abs(sum(row) - 1) < 1e-9
+    assert all(b >= a - 1e-7 for a, b in zip(m.trace, m.trace[1:], strict=False))
+    assert m.predict(df).count() == 10 and m.score(df).count() == 3
+    assert m.generate(spark.range(2).withColumnRenamed("id", "seq_id"), 4).count() == 8
+
+
+@pytest.mark.parametrize("method", ["em", "svi", "gibbs"])
+def test_graph_model_facade(spark, method):
+    from stemma.operators.facade import GraphModel
+
+    packed = graphs.SIM.packed(spark, DATA)
+    m = GraphModel(graphs.SIM.model).fit(packed, method, rounds=2, burn_in=1)
+    assert all(abs(sum(r) - 1) < 1e-9 for r in learning.rows_of(m.params))
+    assert m.marginal(packed).count() == 25 and m.sample(packed).count() == 125
+
+
 def test_lds_em_rises(spark):
     g = np.random.default_rng(1)
     lds = dense.LDS(np.zeros(2), np.eye(2), np.array([[0.9, 0.1], [0.0, 0.7]]), 0.2 * np.eye(2), np.eye(2), 0.2 * np.eye(2))
