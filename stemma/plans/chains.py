@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stemma.functions.special import digamma_sql, uniform, uniform_sql
-from stemma.operators import chain, dense
+from stemma.operators import blocks, chain, dense
 from stemma.plans.registry import query, r, rounded, table
 
 EVENTS = ["click", "error", "purchase", "signup", "view"]
@@ -93,6 +93,24 @@ def hmm_forward(spark, d):
     return rounded(chain.exploded(m, F.col("alpha"), "alpha"), "alpha")
 
 
+def daily(spark, d):
+    """Events in blocks of a day, so that no sequence has to fit a row."""
+    return blocks.block_table(coded(spark, d), "user_id", ["ts", "event_id"], F.datediff(F.col("ts"), F.lit("1970-01-01").cast("date")), "y")
+
+
+@query(f"with recursive {ctes()} select seq_id, round(logz, 6) as log_marginal from z")
+def hmm_log_marginal_blocked(spark, d):
+    """The same likelihood from matrices of blocks, which are folded in parallel."""
+    return blocks.log_marginal(MODEL, daily(spark, d), like).select("seq_id", r("logz").alias("log_marginal"))
+
+
+@query(f"with recursive {ctes()} select seq_id, round(a0, 6) as a0, round(a1, 6) as a1, count(*) as n from fwd group by all")
+def hmm_forward_blocked(spark, d):
+    """The same forward messages, filled in block by block."""
+    rows = blocks.forward(MODEL, daily(spark, d), like).select("seq_id", F.explode("alpha").alias("a"))
+    return rows.select("seq_id", r(F.col("a")[0]).alias("a0"), r(F.col("a")[1]).alias("a1")).groupBy("seq_id", "a0", "a1").agg(F.count("*").alias("n"))
+
+
 @query(f"with recursive {ctes()} {per_state('b{k}', 'beta', 'bwd')}")
 def hmm_backward(spark, d):
     m = event_sequences(spark, d).withColumn("beta", chain.backward(MODEL, steps_of(like)))
