@@ -267,6 +267,16 @@ def test_fingerprints(spark, real):
     assert fingerprint.compare_with_next(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_fingerprints_of_very_long_texts(spark):
+    """Lanes and sums wrap around instead of overflowing, and stay homomorphic."""
+    long = " ".join(str(k % 977) for k in range(150_000))
+    f = [r["f"] for r in spark.createDataFrame([(long,), (long + "\nend",), ("end",)], "t string").withColumn("f", fingerprint.fingerprint(F.col("t"))).collect()]
+    wrap = lambda x: (x + 2**63) % 2**64 - 2**63
+    assert [wrap(a + c) for a, c in zip(f[0], f[2], strict=True)] == f[1]
+    out = fingerprint.compare_with_next(documents(spark, [long, "x"])).collect()
+    assert len(out) == 2 and all(0 <= r["near_edited"] <= 1 for r in out)
+
+
 def test_fingerprints_order_with_nulls_and_ties(spark):
     df = spark.createDataFrame([(None, "n"), (5, "five"), (5, "five"), (9, "nine nine")], "doc_id long, text string").repartition(3)
     assert fingerprint.compare_with_next(df).count() == 4
