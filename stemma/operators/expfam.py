@@ -133,6 +133,36 @@ def dirichlet_evidence(c: DataFrame, by: list[str], prior: float) -> DataFrame:
     return c.groupBy(*by).agg((lgamma(F.count("*") * float(prior)) - lgamma(F.sum("n") + F.count("*") * float(prior)) + F.sum(lgamma(F.col("n") + float(prior)) - lgamma(as_column(prior)))).alias("log_marginal"))
 
 
+def dirichlet_draw(df: DataFrame, by: list[str], alpha: str, *keys: str) -> DataFrame:
+    """A draw from Dir(alpha) for integer alpha: gammas as sums of -ln u with fixed uniforms, normalised within the group.
+
+    ``keys`` name the columns that, with the number of the summand, fix each uniform.
+    """
+    from pyspark.sql import Window
+
+    from stemma.functions.special import uniform
+
+    g = F.aggregate(F.transform(F.sequence(F.lit(1), F.col(alpha).cast("int")), lambda i: -F.ln(uniform(*keys, i))), F.lit(0.0), lambda a, x: a + x)
+    drawn = df.withColumn("_g", g)
+    return drawn.withColumn("theta", F.col("_g") / F.sum("_g").over(Window.partitionBy(*by))).drop("_g")
+
+
+# ---- scalar normals -------------------------------------------------------------------------------
+
+
+def normal_entropy(var: Column) -> Column:
+    return 0.5 * (F.ln(var) + 1 + LN_2PI)
+
+
+def normal_kl(m1: Column, v1: Column, m2: Column, v2: Column) -> Column:
+    return 0.5 * (v1 / v2 + (m2 - m1) * (m2 - m1) / v2 - 1 + F.ln(v2 / v1))
+
+
+def marginalize_scalar(j11: Column, j12: Column, j22: Column, h1: Column, h2: Column) -> tuple[Column, Column, Column]:
+    """J, h and log normaliser of x1 after x2 is integrated out of a Gaussian in information form."""
+    return j11 - j12 * j12 / j22, h1 - j12 * h2 / j22, 0.5 * h2 * h2 / j22 - 0.5 * F.ln(j22) + 0.5 * LN_2PI
+
+
 # ---- generic forms ------------------------------------------------------------------------------
 
 

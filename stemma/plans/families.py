@@ -93,6 +93,30 @@ def mniw_posterior_update_1d(spark, d):
     return rounded(rounded(df, "m"), "v_inv", "psi", digits=3)
 
 
+MOMENTS = f"(select l_returnflag, s_0 / n as m0, s_1 / n as m1, s_0_0 / n - s_0 / n * s_0 / n as v0, s_1_1 / n - s_1 / n * s_1 / n as v1, s_0_1 / n - s_0 / n * s_1 / n as c from ({STATS_SQL}))"
+
+
+def moments(spark, d):
+    m = expfam.normal_mle(measures(spark, d), ["l_returnflag"], XS)
+    return m.select("l_returnflag", F.col("mean_0").alias("m0"), F.col("mean_1").alias("m1"), F.col("cov_0_0").alias("v0"), F.col("cov_1_1").alias("v1"), F.col("cov_0_1").alias("c"))
+
+
+@query(f"select l_returnflag, round(0.5 * (ln(v0) + 1 + ln(2 * pi())), 8) as entropy, round(0.5 * (v0 / v1 + power(m1 - m0, 2) / v1 - 1 + ln(v1 / v0)), 6) as kl from {MOMENTS}")
+def normal_entropy_kl(spark, d):
+    """Entropy of one measure's normal and its divergence from another's."""
+    m = moments(spark, d)
+    return m.select("l_returnflag", r(expfam.normal_entropy(F.col("v0")), 8).alias("entropy"), r(expfam.normal_kl(F.col("m0"), F.col("v0"), F.col("m1"), F.col("v1"))).alias("kl"))
+
+
+@query(f"select l_returnflag, round(1 / v0, 9) as j, round(m0 / v0, 6) as h from {MOMENTS}")
+def normal_marginalize(spark, d):
+    """The joint of two measures in information form, one of them integrated out: the marginal's own parameters."""
+    det = F.col("v0") * F.col("v1") - F.col("c") * F.col("c")
+    j11, j12, j22 = F.col("v1") / det, -F.col("c") / det, F.col("v0") / det
+    j, h, _ = expfam.marginalize_scalar(j11, j12, j22, j11 * F.col("m0") + j12 * F.col("m1"), j12 * F.col("m0") + j22 * F.col("m1"))
+    return moments(spark, d).select("l_returnflag", r(j, 9).alias("j"), r(h).alias("h"))
+
+
 # ---- categorical and Dirichlet --------------------------------------------------------------------
 
 FLAGS = "select l_returnflag, l_linestatus, count(*) as n from lineitem group by 1, 2"
@@ -158,6 +182,16 @@ def beta_binomial_log_marginal(spark, d):
     return rounded(expfam.dirichlet_evidence(expfam.counts(c, "l_linestatus", "y"), ["l_linestatus"], 2.0), "log_marginal", digits=4)
 
 
+_U = uniform_sql("o_orderstatus", "o_orderpriority", "i")
+
+
+@query(f"with a as (select o_orderstatus, o_orderpriority, 1 + count(*) % 7 as alpha from orders group by 1, 2), g as (select o_orderstatus, o_orderpriority, alpha, sum(-ln({_U})) as g from a, range(1, 8) t(i) where i <= alpha group by 1, 2, 3) select o_orderstatus, o_orderpriority, alpha, round(g / sum(g) over (partition by o_orderstatus), 8) as theta from g")
+def dirichlet_sample(spark, d):
+    """Draws with integer parameters, fixed by hash uniforms."""
+    a = expfam.counts(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority").withColumn("alpha", 1 + F.col("n") % 7).drop("n")
+    return rounded(expfam.dirichlet_draw(a, ["o_orderstatus"], "alpha", "o_orderstatus", "o_orderpriority"), "theta", digits=8)
+
+
 # ---- transitions and tensors ----------------------------------------------------------------------
 
 STEPS = "select * from (select user_id, lag(event_type) over (partition by user_id order by ts, event_id) as src, event_type as dst from events) where src is not null"
