@@ -343,11 +343,13 @@ class LDS:
 
 
 def sequence_of(pdf: pd.DataFrame) -> list[list[np.ndarray]]:
-    """ys by t from rows t, m, d, y."""
-    out: list[list[np.ndarray]] = [[] for _ in range(int(pdf["t"].max()) + 1)]
-    for (t, _), g in pdf.sort_values(["t", "m", "d"]).groupby(["t", "m"]):
-        if g["y"].notna().all():
-            out[int(t)].append(g["y"].to_numpy())
+    """ys by t from rows t, m, d, y; a measurement with a missing dimension is left out."""
+    a = pdf[["t", "m", "d", "y"]].to_numpy(dtype=float)
+    a = a[np.lexsort((a[:, 2], a[:, 1], a[:, 0]))]
+    out: list[list[np.ndarray]] = [[] for _ in range(int(a[-1, 0]) + 1)]
+    for part in np.split(a, np.flatnonzero((np.diff(a[:, :2], axis=0) != 0).any(axis=1)) + 1):
+        if not np.isnan(part[:, 3]).any():
+            out[int(part[0, 0])].append(part[:, 3])
     return out
 
 
