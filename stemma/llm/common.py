@@ -1,15 +1,17 @@
-"""What the text operators share: reading tables, stage tables in the shared folder, batches of Arrow rows."""
+"""What the text operators share: reading tables, stage tables, batches of Arrow rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemma.sources.scratch import shared_dir, staged
+
+__all__ = ["crc_mod", "map_rows", "shared_dir", "staged", "table"]
+
 #: Rows that a Python stage turns into Python objects at once; texts may be long.
 SLICE_ROWS = 128
 
@@ -18,29 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one of our own only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="stemma-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors.
-
-    The files go when the Spark application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stemma-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -201,7 +200,3 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean")
-
-
-def crc_bytes(data: bytes) -> int:
-    return zlib.crc32(data)

@@ -32,7 +32,8 @@ LOOK_ALIKE = {
     "ı": "i", "ɑ": "a", "ɡ": "g", "ո": "n", "ս": "u", "օ": "o", "ѵ": "v", "ⅼ": "l", "ⅰ": "i",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
-INVISIBLE = "­​‌‍⁠﻿"
+# Soft hyphen, zero-width space, non-joiner, joiner, word joiner, byte-order mark.
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 #: Bounds of the sample: toxic and other rows, characters of a text.
 TOXIC_ROWS, OTHER_ROWS, SAMPLE_CHARS = 2_500, 5_000, 12_000
