@@ -84,6 +84,8 @@ def pairs(edges: DataFrame) -> DataFrame:
 
 
 def recursive(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
+    """A recursive query over views.  Its depth is that of one graph, but its rows are those of all graphs, so their limit is lifted."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return spark.sql(sql)
