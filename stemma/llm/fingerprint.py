@@ -10,6 +10,7 @@ multiset of runs: from two fingerprints alone the likeness of the texts can be e
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,12 +20,15 @@ LANES = 64
 PER_LONG = 4
 #: longs of a fingerprint: packed lanes, number of runs, two numbers of whole paragraphs
 PACKED = LANES // PER_LONG
-MASK = 0x0001_0001_0001_0001
+#: One bit in each byte, and every other byte.
+MASK, EVEN = 0x0101_0101_0101_0101, 0x00FF_00FF_00FF_00FF
+#: Runs that are counted in 8-bit lanes before these are widened; the topmost lane must stay below the sign.
+CHUNK = 127
 
 
-def lanes_of(h: Column) -> list[Column]:
-    """The 64 bits of a hash as 16 longs of four 16-bit lanes."""
-    return [(F.shiftrightunsigned(h, k) if k else h).bitwiseAND(F.lit(MASK)) for k in range(PACKED)]
+def bytes_of(h: Column) -> list[Column]:
+    """The 64 bits of a hash as 8 longs of eight 8-bit lanes."""
+    return [(F.shiftrightunsigned(h, k) if k else h).bitwiseAND(F.lit(MASK)) for k in range(8)]
 
 
 def wrapped_add(a: Column, b: Column) -> Column:
@@ -42,20 +46,33 @@ def whole(lines: Column, seed: int) -> Column:
 def fingerprint(text: Column) -> Column:
     """array<long> of PACKED + 3 numbers; null is an empty text.
 
-    Lanes are added as plain longs: a lane that overflows carries into its neighbour, which is addition
-    modulo 2^64 of the packed number.  Texts of up to 2^30 words can't overflow a long.
+    Packed lanes are added modulo 2^64: a lane that overflows carries into its neighbour, which changes
+    neither order independence nor deletion.
     """
-    names = [f"l{k}" for k in range(PACKED)]
-    zero = F.struct(F.lit("").alias("p"), F.lit("").alias("q"), F.lit(0).cast("long").alias("n"), *[F.lit(0).cast("long").alias(x) for x in names])
+    names, small = [f"l{k}" for k in range(PACKED)], [f"b{k}" for k in range(8)]
+    long0 = F.lit(0).cast("long")
+    zero = F.struct(F.lit("").alias("p"), F.lit("").alias("q"), long0.alias("n"), *[long0.alias(x) for x in names])
 
     def word(acc: Column, w: Column) -> Column:
-        h = F.xxhash64(acc["q"], acc["p"], w)
-        return F.struct(w.alias("p"), acc["p"].alias("q"), (acc["n"] + 1).alias("n"), *[(acc[x] + bits).alias(x) for x, bits in zip(names, lanes_of(h), strict=True)])
+        bits = bytes_of(F.xxhash64(acc["q"], acc["p"], w))
+        return F.struct(w.alias("p"), acc["p"].alias("q"), *[(acc[x] + b).alias(x) for x, b in zip(small, bits, strict=True)])
+
+    def chunk(acc: Column, words: Column) -> Column:
+        """Counts of up to CHUNK runs fit 8-bit lanes; they are widened and added to the text's lanes."""
+        start = F.struct(acc["p"].alias("p"), acc["q"].alias("q"), *[long0.alias(x) for x in small])
+
+        def widened(done: Column) -> Column:
+            even = [wrapped_add(acc[f"l{k}"], done[f"b{k}"].bitwiseAND(F.lit(EVEN))).alias(f"l{k}") for k in range(8)]
+            odd = [wrapped_add(acc[f"l{8 + k}"], F.shiftrightunsigned(done[f"b{k}"], 8).bitwiseAND(F.lit(EVEN))).alias(f"l{8 + k}") for k in range(8)]
+            return F.struct(done["p"].alias("p"), done["q"].alias("q"), (acc["n"] + F.size(words)).alias("n"), *even, *odd)
+
+        return F.aggregate(words, start, word, widened)
 
     def paragraph(acc: Column, line: Column) -> Column:
         # runs don't reach over a paragraph's end: its first run starts afresh
         start = F.struct(F.lit("").alias("p"), F.lit("").alias("q"), acc["n"].alias("n"), *[acc[x].alias(x) for x in names])
-        return F.aggregate(F.split(line, " ", -1), start, word)
+        cut = F.get(F.transform(F.array(F.split(line, " ", -1)), lambda ws: F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / CHUNK).cast("int")), lambda i: F.slice(ws, i * CHUNK + 1, F.lit(CHUNK)))), F.lit(0))
+        return F.aggregate(cut, start, chunk)
 
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     runs = F.aggregate(lines, zero, paragraph, lambda a: F.array(*[a[x] for x in names], a["n"]))
@@ -88,6 +105,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(size <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - gap / F.greatest(size, F.lit(1.0)))))
 
 
+def below(x: Column, bounds: list, kind: str) -> Column:
+    """How many of the sorted bounds are below x, looked up in two steps of about the root of their number."""
+    step = max(1, math.isqrt(len(bounds)))
+    listed = lambda bs: F.array(*map(F.lit, bs)).cast(f"array<{kind}>")
+    coarse = F.size(F.filter(listed(bounds[step - 1 :: step]), lambda b: b < x)) * step
+    return F.get(F.transform(F.array(coarse), lambda c: c + F.size(F.filter(F.slice(listed(bounds), c + 1, F.lit(step)), lambda b: b < x))), F.lit(0))
+
+
 def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """Each row with the ``columns`` of its successor by descending id as ``next_...``; the last is followed by the first.
 
@@ -101,8 +126,7 @@ def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     bounds = rows.agg(F.percentile_approx(id_col, [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
     bounds = sorted(set(bounds or []))
     # range 0 holds the largest ids, null ids go to the last
-    below = F.size(F.filter(F.array(*map(F.lit, bounds)).cast(f"array<{kind}>"), lambda b: b < F.col(id_col)))
-    rows = rows.withColumn("_range", F.when(F.col(id_col).isNull(), len(bounds)).otherwise(len(bounds) - below).cast("int"))
+    rows = rows.withColumn("_range", F.when(F.col(id_col).isNull(), len(bounds)).otherwise(len(bounds) - below(F.col(id_col), bounds, kind)).cast("int"))
     tops = [tuple(r) for r in rows.groupBy("_range").agg(F.max(id_col)).orderBy("_range").collect()]
     into = {top: tops[k - 1][0] for k, (_, top) in enumerate(tops)}
     named = {k: v for k, v in into.items() if k is not None}
