@@ -20,7 +20,7 @@ from pyspark.sql.types import LongType
 
 from stemma.llm.common import map_rows, staged
 from stemma.llm.components import components
-from stemma.llm.sketch import minhashes, sketch_links
+from stemma.llm.sketch import sketch, sketch_links
 
 #: Node pairs walked at once; beyond it the walk goes part by part, so memory is bounded.
 FRONTIER = 1 << 19
@@ -50,15 +50,19 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def text_id(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, sketches: bool = False) -> DataFrame:
-    """id, fp (the fingerprint's bits as a signed long) for every row, and its minhashes if asked for; a null text is an empty one."""
+    """id, fp (the fingerprint's bits as a signed long) for every row; if asked for, its text's hash (tid) and sketch; a null text is an empty one."""
 
     def make():
-        extra = (lambda t: (minhashes(t, width).tobytes(),)) if sketches else (lambda t: ())
-        return lambda columns: [(i, signed(simhash(t, width)), *extra(t)) for i, t in zip(*columns, strict=True)]
+        extra = (lambda t, h: (h, sketch(t, width))) if sketches else (lambda t: ())
+        return lambda columns: [(i, signed(simhash(t, width)), *extra(t, *h)) for i, t, *h in zip(*columns, strict=True)]
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs.select(id_col, text_col), make, f"{id_col} {kind}, fp long" + ", sketch binary" * sketches)
+    return map_rows(docs.select(id_col, text_col, *[text_id(text_col)] * sketches), make, f"{id_col} {kind}, fp long" + ", tid long, sketch binary" * sketches)
 
 
 # ---- the trie join of one task -------------------------------------------------------------------
@@ -236,7 +240,11 @@ def classified(docs: DataFrame, budget: int, id_col: str, text_col: str, width:
     """(id, fp of every row; fp, root, component_id of every fingerprint), both written."""
     marked = staged(fingerprints(docs, id_col, text_col, width, similar), "simhash")
     least = marked.groupBy("fp").agg(F.min(id_col).alias("_least"))
-    more = sketch_links(staged(marked.groupBy("fp").agg(F.min("sketch").alias("sketch")), "sketches")) if similar else None
+    more = None
+    if similar:
+        texts = docs.select(text_id(text_col).alias("tid"), F.col(text_col).alias("text"))
+        sketches = staged(marked.groupBy("tid").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch")), "sketches")
+        more = sketch_links(sketches, texts, width)
     root = staged(classes(least, budget, more).join(least, "fp"), "classes")
     smallest = root.groupBy("root").agg(F.min("_least").alias("component_id"))
     return marked.select(id_col, "fp"), root.join(smallest, "root").select("fp", "root", "component_id")

@@ -1,9 +1,11 @@
-"""Links between texts whose word-shingle sets have a Jaccard similarity of 0.8 or more, from minhash sketches.
+"""Links between texts whose word-shingle sets have a Jaccard similarity of 0.8 or more.
 
 A SimHash of 64 bits tells near-identical texts apart within two or three bits, but at a similarity of
 0.8 two fingerprints differ in about ten bits, where a trie can no longer prune.  So the deduplication
 stage completes the SimHash classes with these links.  A text's sketch holds 256 minhashes; bands of
-four make bucket keys, and two texts of one bucket are linked if enough of their minhashes agree.
+four make bucket keys, and two texts of one bucket are candidates if enough of their minhashes agree.
+Candidates only gather texts to clusters: within a cluster the shingle sets themselves are compared, all
+pairs of them, so that a link never rests on an estimate.
 """
 
 from __future__ import annotations
@@ -15,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.common import map_rows, staged
+from stemma.llm.components import components
 
-HASHES, ROWS, BANDS = 256, 4, 12
-#: The sketch's estimate has a standard error of 0.025 at 0.8: pairs at 0.8 pass in four of five cases, at 0.7 in one of a thousand.
-LEAST = 0.78
+HASHES, ROWS, BANDS = 256, 4, 24
+#: Of 256 minhashes so many agree in candidates: at a similarity of 0.8 fewer do in one pair of ten million, and no band does in three of a million.
+LEAST = 0.66
+#: A sketch row has the bands' minhashes in whole, then the low bytes of all of them, which are enough for the candidates.
+BANDED = 2 * ROWS * BANDS
 #: Members of a bucket that one task compares; a larger bucket is split by the next minhashes, and its parts stay joined over the other bands.
 HOT_BUCKET = 100_000
 
@@ -27,13 +32,18 @@ MUL = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.ui
 ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 
 
-def minhashes(text: str | None, width: int = 5) -> np.ndarray:
-    """256 numbers of 16 bits.  Words as in the SimHash; a text of fewer words is one shingle."""
+def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
+    """64-bit hashes of the shingles, with repeats.  Words as in the SimHash; a text of fewer words is one shingle."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "replace").lower().split()
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) > width else [b" ".join(words)]
-    h = np.fromiter(map(xxh64_intdigest, shingles, repeat(7)), np.uint64, max(1, len(words) - width + 1))
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(7)), np.uint64, max(1, len(words) - width + 1))
+
+
+def minhashes(text: str | None, width: int = 5) -> np.ndarray:
+    """256 numbers of 16 bits."""
+    h = shingle_hashes(text, width)
     h = (h >> np.uint64(32)).astype(np.uint32) ^ h.astype(np.uint32)
     least = np.empty(HASHES, np.uint32)
     for at in range(0, HASHES, 16):
@@ -45,6 +55,11 @@ def minhashes(text: str | None, width: int = 5) -> np.ndarray:
     return (least * np.uint32(2_654_435_761) >> np.uint32(16)).astype(np.uint16)
 
 
+def sketch(text: str | None, width: int = 5) -> bytes:
+    m = minhashes(text, width).astype("<u2")
+    return m[: ROWS * BANDS].tobytes() + m.astype(np.uint8).tobytes()
+
+
 def linked(sketches: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the pairs (positions) that agree in ``LEAST`` of their minhashes: breadth first over what is not reached yet."""
     need, out = int(np.ceil(LEAST * HASHES)), []
@@ -63,16 +78,40 @@ def linked(sketches: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def sketch_links(sketches: DataFrame) -> DataFrame:
-    """u, v (longs) from rows fp (distinct), sketch (256 little-endian 16-bit numbers)."""
-    band = lambda b, n=1: F.xxhash64(F.lit(b), F.substring("sketch", 2 * ROWS * b + 1, 2 * ROWS * n))
-    keys = sketches.select("fp", F.explode(F.array(*[F.struct(band(b).alias("key"), band(b + BANDS).alias("more")) for b in range(BANDS)])).alias("k")).select("fp", "k.*")
-    keys = staged(keys, "bands")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    part = F.when(F.col("n") > HOT_BUCKET, F.xxhash64("key", "more")).otherwise(F.col("key"))
-    members = keys.join(sizes, "key").select("fp", part.alias("key"))
-    parts = int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.join(sketches, "fp").select("key", "fp", "sketch").repartition(parts, "key").sortWithinPartitions("key", "fp")
+def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (positions) of sets with a Jaccard similarity of 4/5 or more, in whole numbers."""
+    sizes = np.array([len(s) for s in sets])
+    begin = np.r_[0, np.cumsum(sizes)]
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    flat, out = flat.astype(np.int32), []
+    rest, left = flat, np.arange(len(sets))
+    mark = np.zeros(len(words), bool)
+
+    def keep(which: np.ndarray):
+        return rest[np.repeat(which, sizes[left])], left[which]
+
+    while len(left) > 1:
+        queue = [int(left[0])]
+        rest, left = keep(np.arange(len(left)) > 0)
+        while queue and len(left):
+            x = queue.pop()
+            own = flat[begin[x] : begin[x + 1]]
+            mark[own] = True
+            both = np.add.reduceat(mark[rest], np.r_[0, np.cumsum(sizes[left])[:-1]], dtype=np.int64)
+            mark[own] = False
+            near = 9 * both >= 4 * (sizes[left] + sizes[x])
+            if near.any():
+                found = left[near].tolist()
+                out += [(x, y) for y in found]
+                queue += found
+                rest, left = keep(~near)
+    return out
+
+
+def by_key(rows: DataFrame, read, link, schema: str) -> DataFrame:
+    """Links among the rows (key, id, data) of each key, found by ``link`` from the list of what ``read`` makes of their data."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "key").sortWithinPartitions("key")
 
     def make():
         held: list = []
@@ -80,19 +119,48 @@ def sketch_links(sketches: DataFrame) -> DataFrame:
 
         def close():
             if len(held) > 1:
-                s = np.frombuffer(b"".join(x for _, x in held), "<u2").reshape(-1, HASHES)
-                for i, j in linked(s):
+                for i, j in link([read(x) for _, x in held]):
                     yield min(held[i][0], held[j][0]), max(held[i][0], held[j][0])
             held.clear()
 
         def work(columns):
-            for key, fp, sketch in zip(*columns, strict=True):
+            for key, i, data in zip(*columns, strict=True):
                 if key != at[0]:
                     yield from close()
                     at[0] = key
-                held.append((fp, bytes(sketch)))
+                held.append((i, bytes(data)))
 
         work.finish = close
         return work
 
-    return map_rows(dealt, make, "u long, v long")
+    return map_rows(dealt, make, schema)
+
+
+def candidates(sketches: DataFrame) -> DataFrame:
+    """u, v (longs): links of texts (tid, sketch) that share a band and ``LEAST`` of their minhashes."""
+    band = lambda b, n=1: F.xxhash64(F.lit(b), F.substring("sketch", 2 * ROWS * b + 1, 2 * ROWS * n))
+    keys = sketches.select("tid", F.explode(F.array(*[F.struct(band(b).alias("key"), band((b + BANDS // 2) % BANDS).alias("more")) for b in range(BANDS)])).alias("k")).select("tid", "k.*")
+    keys = staged(keys, "bands")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    part = F.when(F.col("n") > HOT_BUCKET, F.xxhash64("key", "more")).otherwise(F.col("key"))
+    members = keys.join(sizes, "key").select("tid", part.alias("key"))
+    dealt = members.join(sketches, "tid").select("key", "tid", F.substring("sketch", BANDED + 1, HASHES).alias("low"))
+    return by_key(dealt, lambda x: np.frombuffer(x, np.uint8), lambda rows: linked(np.stack(rows)), "u long, v long")
+
+
+def shingle_sets(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """root, tid, fp, grams (the sorted set of 64-bit shingle hashes) of the members (tid, fp, root), one row each."""
+    own = texts.join(members, "tid").groupBy("tid").agg(F.first("fp").alias("fp"), F.first("root").alias("root"), F.first("text").alias("text"))
+    make = lambda: lambda columns: [(r, i, f, np.unique(shingle_hashes(t, width)).tobytes()) for r, i, f, t in zip(*columns, strict=True)]
+    return map_rows(own.select("root", "tid", "fp", "text"), make, "root long, tid long, fp long, grams binary")
+
+
+def sketch_links(sketches: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
+    """u, v (fingerprints, longs) of texts at a similarity of 0.8 or more.
+
+    sketches: tid (a text's hash, distinct), fp, sketch; texts: tid, text, repeats do no harm.
+    """
+    near = components(candidates(sketches))
+    members = sketches.select("tid", "fp").join(near, F.col("tid") == F.col("node")).select("tid", "fp", "root")
+    sets = shingle_sets(members, texts, width)
+    return by_key(sets.select(F.col("root").alias("key"), F.col("fp").alias("id"), "grams"), lambda x: np.frombuffer(x, np.uint64), similar, "u long, v long")

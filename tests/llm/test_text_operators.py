@@ -151,6 +151,40 @@ def test_similar_texts_keep_one(spark):
     assert {j for j, x in like.items() if x < 0.65} <= kept
 
 
+def family(n, seed, low=16, high=42):
+    """n base texts of 200 shingles, each with copies that share 200 - a of them, a from low to high: similarities of 0.65 to 0.86."""
+    r = random.Random(seed)
+    texts = []
+    for b in range(n):
+        w = [f"w{r.randrange(10**9)}" for _ in range(204)]
+        texts.append(" ".join(w))
+        for a in range(low, high + 1):
+            at = r.randrange(10, 150)
+            texts.append(" ".join(w[:at] + [f"x{b}-{a}-{k}" for k in range(a - 4)] + w[at + a - 4 :]))
+    return texts
+
+
+def brute_kept(texts):
+    """Smallest positions of the components of pairs at 0.8 (shingle sets) or two bits (fingerprints)."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    fps = [simhash.simhash(t, 5) for t in texts]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) or (fps[i] ^ fps[j]).bit_count() <= 2:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return set(root)
+
+
+def test_similarity_is_exact_around_the_threshold(spark):
+    texts = family(12, 21)
+    want = brute_kept(texts)
+    assert 12 < len(want) < len(texts) - 12
+    assert {x["doc_id"] for x in simhash.keep_one(documents(spark, texts, True)).collect()} == want
+
+
 def test_trie_join_equals_all_pairs():
     g = np.random.default_rng(3)
     base = g.integers(0, 2**63, 40, dtype=np.uint64)
