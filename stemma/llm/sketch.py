@@ -24,8 +24,10 @@ HASHES, ROWS, BANDS = 256, 4, 24
 LEAST = 0.66
 #: A sketch row has the bands' minhashes in whole, then the low bytes of all of them, which are enough for the candidates.
 BANDED = 2 * ROWS * BANDS
-#: Members of a bucket that one task compares; a larger bucket is split by the next minhashes, and its parts stay joined over the other bands.
+#: Members of a bucket that one task compares; all of a larger bucket are candidates, for the comparison of the sets to tell apart.
 HOT_BUCKET = 100_000
+#: Bytes of shingle hashes of a cluster that one task compares; a larger cluster is dealt to several tasks by pairs of parts.
+PART_BYTES = 1 << 24
 
 _rng = np.random.default_rng(20_240_501)
 MUL = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -138,14 +140,13 @@ def by_key(rows: DataFrame, read, link, schema: str) -> DataFrame:
 
 def candidates(sketches: DataFrame) -> DataFrame:
     """u, v (longs): links of texts (tid, sketch) that share a band and ``LEAST`` of their minhashes."""
-    band = lambda b, n=1: F.xxhash64(F.lit(b), F.substring("sketch", 2 * ROWS * b + 1, 2 * ROWS * n))
-    keys = sketches.select("tid", F.explode(F.array(*[F.struct(band(b).alias("key"), band((b + BANDS // 2) % BANDS).alias("more")) for b in range(BANDS)])).alias("k")).select("tid", "k.*")
-    keys = staged(keys, "bands")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    part = F.when(F.col("n") > HOT_BUCKET, F.xxhash64("key", "more")).otherwise(F.col("key"))
-    members = keys.join(sizes, "key").select("tid", part.alias("key"))
-    dealt = members.join(sketches, "tid").select("key", "tid", F.substring("sketch", BANDED + 1, HASHES).alias("low"))
-    return by_key(dealt, lambda x: np.frombuffer(x, np.uint8), lambda rows: linked(np.stack(rows)), "u long, v long")
+    band = lambda b: F.xxhash64(F.lit(b), F.substring("sketch", 2 * ROWS * b + 1, 2 * ROWS))
+    keys = staged(sketches.select("tid", F.explode(F.array(*map(band, range(BANDS)))).alias("key")), "bands")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("tid").alias("least")).filter("n > 1")
+    members = keys.join(sizes, "key")
+    dealt = members.filter(F.col("n") <= HOT_BUCKET).join(sketches, "tid").select("key", "tid", F.substring("sketch", BANDED + 1, HASHES).alias("low"))
+    hot = members.filter(F.col("n") > HOT_BUCKET).select(F.col("tid").alias("u"), F.col("least").alias("v")).filter("u != v")
+    return by_key(dealt, lambda x: np.frombuffer(x, np.uint8), lambda rows: linked(np.stack(rows)), "u long, v long").unionByName(hot)
 
 
 def shingle_sets(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -162,5 +163,45 @@ def sketch_links(sketches: DataFrame, texts: DataFrame, width: int = 5) -> DataF
     """
     near = components(candidates(sketches))
     members = sketches.select("tid", "fp").join(near, F.col("tid") == F.col("node")).select("tid", "fp", "root")
-    sets = shingle_sets(members, texts, width)
-    return by_key(sets.select(F.col("root").alias("key"), F.col("fp").alias("id"), "grams"), lambda x: np.frombuffer(x, np.uint64), similar, "u long, v long")
+    sets = staged(shingle_sets(members, texts, width), "sets")
+    large = sets.groupBy("root").agg(F.sum(F.length("grams")).alias("size"), F.min_by("grams", "tid").alias("head"), F.min_by("fp", "tid").alias("head_fp")).filter(F.col("size") > PART_BYTES)
+    large = staged(large, "large")
+    small = sets.join(F.broadcast(large.select("root")), "root", "left_anti").select(F.col("root").alias("key"), F.col("fp").alias("id"), "grams")
+    if large.isEmpty():
+        return compared(small)
+    grid, stars = dealt_by_pairs(sets.join(F.broadcast(large), "root"))
+    return compared(small.unionByName(grid)).unionByName(stars)
+
+
+def compared(cells: DataFrame) -> DataFrame:
+    return by_key(cells, lambda x: np.frombuffer(x, np.uint64), similar, "u long, v long")
+
+
+def dealt_by_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells (key, id, grams) of large clusters in which every two texts meet that may still have to be linked, and the links to heads.
+
+    rows: root, tid, fp, grams and the cluster's head, head_fp.  Texts at 0.8 from the head are linked to it
+    and need not meet each other; every part of the others meets every part of all.
+    """
+
+    def make():
+        def work(columns):
+            for r, i, f, g, h, hf in zip(*columns, strict=True):
+                a, b = np.frombuffer(g, np.uint64), np.frombuffer(h, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                yield r, i, f, hf, 9 * both >= 4 * (len(a) + len(b)), g
+
+        return work
+
+    rows = staged(map_rows(rows.select("root", "tid", "fp", "grams", "head", "head_fp"), make, "root long, tid long, fp long, head_fp long, held boolean, grams binary"), "heads")
+    bytes_of = lambda held: F.coalesce(F.sum(F.when(F.col("held") == held, F.length("grams"))), F.lit(0))
+    parts = rows.groupBy("root").agg(*[F.ceil(bytes_of(held) / PART_BYTES).cast("int").alias(n) for n, held in (("apart", False), ("near", True))])
+    rows = rows.join(F.broadcast(parts), "root")
+    own = F.pmod(F.xxhash64(F.lit(1), "tid"), F.when(F.col("held"), F.col("near")).otherwise(F.col("apart"))).cast("int")
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda kind, a, b: F.xxhash64(F.lit(kind), "root", a, b)
+    others = F.concat(F.transform(upto("apart"), lambda k: cell(0, F.least(k, F.col("own")), F.greatest(k, F.col("own")))), F.transform(upto("near"), lambda k: cell(1, F.col("own"), k)))
+    heads = F.transform(upto("apart"), lambda k: cell(1, k, F.col("own")))
+    grid = rows.withColumn("own", own).select(F.explode(F.when(F.col("held"), heads).otherwise(others)).alias("key"), F.col("fp").alias("id"), "grams")
+    stars = rows.filter("held").select(F.least("fp", "head_fp").alias("u"), F.greatest("fp", "head_fp").alias("v"))
+    return grid, stars

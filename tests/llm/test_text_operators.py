@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from stemma.llm import chat, components, decontaminate, fingerprint, langid, licenses, packing, sharding, simhash, tokens, toxicity
+from stemma.llm import chat, components, decontaminate, fingerprint, langid, licenses, packing, sharding, simhash, sketch, tokens, toxicity
 
 from tests.conftest import DATA
 
@@ -185,6 +185,14 @@ def test_similarity_is_exact_around_the_threshold(spark):
     assert {x["doc_id"] for x in simhash.keep_one(documents(spark, texts, True)).collect()} == want
 
 
+@pytest.mark.parametrize(("n", "low", "high"), [(6, 16, 30), (6, 36, 50), (150, 22, 22)])
+def test_hot_buckets_and_clusters_lose_no_link(spark, monkeypatch, n, low, high):
+    monkeypatch.setattr(sketch, "HOT_BUCKET", 1)
+    monkeypatch.setattr(sketch, "PART_BYTES", 8_000, raising=False)
+    texts = family(n, 22, low, high)
+    assert {x["doc_id"] for x in simhash.keep_one(documents(spark, texts, True)).collect()} == brute_kept(texts)
+
+
 def test_trie_join_equals_all_pairs():
     g = np.random.default_rng(3)
     base = g.integers(0, 2**63, 40, dtype=np.uint64)
