@@ -1,6 +1,6 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame functions only.
 
-A paragraph (line) hashes to a wide vector: two 64-bit numbers of its whole text, and 64 lanes of 16 bits
+A paragraph (line) hashes to a wide vector: two 64-bit numbers of its whole text, and 64 lanes of 32 bits
 that count, over its runs of three words, the ones in each bit of the run's 64-bit hash.  A document's
 fingerprint is the sum of its paragraphs' vectors modulo powers of two, so the order of paragraphs is
 immaterial and a paragraph is put in or taken out by one addition or subtraction.  Equal multisets of
@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANES = 64
-PER_LONG = 4
+PER_LONG = 2
 #: longs of a fingerprint: packed lanes, number of runs, two numbers of whole paragraphs
 PACKED = LANES // PER_LONG
-#: One bit in each byte, and every other byte.
-MASK, EVEN = 0x0101_0101_0101_0101, 0x00FF_00FF_00FF_00FF
+#: One bit in each byte, and every fourth byte.
+MASK, FOURTH = 0x0101_0101_0101_0101, 0x0000_00FF_0000_00FF
 #: Runs that are counted in 8-bit lanes before these are widened; the topmost lane must stay below the sign.
 CHUNK = 127
 
@@ -46,8 +46,7 @@ def whole(lines: Column, seed: int) -> Column:
 def fingerprint(text: Column) -> Column:
     """array<long> of PACKED + 3 numbers; null is an empty text.
 
-    Packed lanes are added modulo 2^64: a lane that overflows carries into its neighbour, which changes
-    neither order independence nor deletion.
+    Packed lanes are added as longs; a text holds at most 2^31 bytes, so no lane reaches the next one or the sign.
     """
     names, small = [f"l{k}" for k in range(PACKED)], [f"b{k}" for k in range(8)]
     long0 = F.lit(0).cast("long")
@@ -62,9 +61,8 @@ def fingerprint(text: Column) -> Column:
         start = F.struct(acc["p"].alias("p"), acc["q"].alias("q"), *[long0.alias(x) for x in small])
 
         def widened(done: Column) -> Column:
-            even = [wrapped_add(acc[f"l{k}"], done[f"b{k}"].bitwiseAND(F.lit(EVEN))).alias(f"l{k}") for k in range(8)]
-            odd = [wrapped_add(acc[f"l{8 + k}"], F.shiftrightunsigned(done[f"b{k}"], 8).bitwiseAND(F.lit(EVEN))).alias(f"l{8 + k}") for k in range(8)]
-            return F.struct(done["p"].alias("p"), done["q"].alias("q"), (acc["n"] + F.size(words)).alias("n"), *even, *odd)
+            wide = [(acc[f"l{8 * m + k}"] + (F.shiftrightunsigned(done[f"b{k}"], 8 * m) if m else done[f"b{k}"]).bitwiseAND(F.lit(FOURTH))).alias(f"l{8 * m + k}") for m in range(4) for k in range(8)]
+            return F.struct(done["p"].alias("p"), done["q"].alias("q"), (acc["n"] + F.size(words)).alias("n"), *wide)
 
         return F.aggregate(words, start, word, widened)
 
@@ -84,13 +82,13 @@ def hexed(fp: Column) -> Column:
 
 
 def centred(packed: Column, n: Column) -> Column:
-    """Sum over four lanes of (2 count - n), squared."""
-    lane = lambda k: (2 * F.shiftrightunsigned(packed, 16 * k).bitwiseAND(F.lit(0xFFFF)) - n).cast("double")
+    """Sum over two lanes of (2 count - n), squared."""
+    lane = lambda k: (2 * F.shiftrightunsigned(packed, 32 * k).bitwiseAND(F.lit(0xFFFF_FFFF)) - n).cast("double")
     return reduce(Column.__add__, [lane(k) * lane(k) for k in range(PER_LONG)])
 
 
 def apart(x: Column, y: Column, nx: Column, ny: Column) -> Column:
-    d = lambda k: (2 * (F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(0xFFFF)) - F.shiftrightunsigned(y, 16 * k).bitwiseAND(F.lit(0xFFFF))) - (nx - ny)).cast("double")
+    d = lambda k: (2 * (F.shiftrightunsigned(x, 32 * k).bitwiseAND(F.lit(0xFFFF_FFFF)) - F.shiftrightunsigned(y, 32 * k).bitwiseAND(F.lit(0xFFFF_FFFF))) - (nx - ny)).cast("double")
     return reduce(Column.__add__, [d(k) * d(k) for k in range(PER_LONG)])
 
 

@@ -319,6 +319,24 @@ def test_fingerprints_of_very_long_texts(spark):
     assert len(out) == 2 and all(0 <= r["near_edited"] <= 1 for r in out)
 
 
+def test_likeness_of_very_long_texts_is_that_of_plain_counts(spark):
+    r = random.Random(5)
+    one = [str(r.randrange(50_000)) for _ in range(200_000)]
+    two = [str(r.randrange(50_000)) for _ in range(200_000)]
+    texts = [one, two, one[:130_000] + two[:70_000]]
+    runs = [(k, a, b, w) for k, t in enumerate(texts) for a, b, w in zip(["", "", *t], ["", *t], t)]
+    bits = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(1))) for k in range(64)]
+    import pandas as pd
+
+    counted = spark.createDataFrame(pd.DataFrame(runs, columns=["k", "q", "p", "w"])).withColumn("h", F.xxhash64("q", "p", "w")).groupBy("k").agg(*bits).collect()
+    v = {x[0]: 2 * np.array(x[1:], dtype=float) - 200_000 for x in counted}
+    plain = lambda a, b: min(1, max(0, 1 - ((v[a] - v[b]) ** 2).sum() / ((v[a] ** 2).sum() + (v[b] ** 2).sum())))
+    out = {x["doc_id"]: x["near_next"] for x in fingerprint.compare_with_next(documents(spark, [" ".join(t) for t in texts])).collect()}
+    assert plain(0, 1) < 0.4 and plain(0, 2) > 0.4
+    for k in range(3):
+        assert abs(out[k] - plain(k, (k - 1) % 3)) < 1e-9
+
+
 def test_fingerprints_order_with_nulls_and_ties(spark):
     df = spark.createDataFrame([(None, "n"), (5, "five"), (5, "five"), (9, "nine nine")], "doc_id long, text string").repartition(3)
     assert fingerprint.compare_with_next(df).count() == 4
