@@ -8,7 +8,7 @@ against ordered rules; the longest rule that fits wins.
 from __future__ import annotations
 
 import re
-from itertools import pairwise
+from itertools import islice
 
 from pyspark.sql import DataFrame
 
@@ -67,9 +67,11 @@ RULES = (
     (("unlicense",), "Unlicense"),
 )
 
-#: A sentence ends at a full stop, colon, question or exclamation mark before white space or the end.
-STOP = re.compile(r"[.!?:]+(?=\s|$)")
-LINES = re.compile(r"[.!?:]+(?=\s|$)|\n\s*")
+#: A sentence ends at a full stop, colon, question or exclamation mark before white space or the end, or with its line.
+END = re.compile(r"[.!?:]+(?=\s|$)|\n\s*")
+WORD = re.compile(r"[^\W_]+")
+#: Words that a star stands for at most.
+GAP = 12
 JUNK = re.compile(r"[\W_]+")
 #: Further sentences of the known ones' length are looked at only if one of these words is in the text.
 WORDS = re.compile(r"licen|software|redistribution|copyright|permission|public domain|mpl|cc by", re.I)
@@ -79,53 +81,57 @@ def normal(sentence: str) -> str:
     return JUNK.sub(" ", sentence.lower()).strip()
 
 
+def lengths(words: list[str], head: list[str], tail: list[list[str]]) -> list[int]:
+    """With how many of the first words a form (parts between stars) may end."""
+    if words[: len(head)] != head:
+        return []
+    ends = [len(head)]
+    for part in tail:
+        ends = sorted({e + g + len(part) for e in ends for g in range(GAP + 1) if words[e + g : e + g + len(part)] == part})
+    return ends
+
+
 class Recogniser:
     def __init__(self, sentences: dict[str, list[str]] = SENTENCES, rules=RULES):
-        self.exact, self.loose = {}, []
+        self.forms: dict[str, list] = {}
         for name, forms in sentences.items():
             for form in forms:
-                if "*" in form:
-                    parts = [re.escape(normal(p)) for p in form.split("*")]
-                    self.loose.append((re.compile(r"(?: \S+){0,12} ".join(parts).replace("} ", "} ", 1)), name))
-                else:
-                    self.exact[normal(form)] = name
-        self.longest = max(map(len, self.exact), default=0) + 200
+                head, *tail = [normal(p).split() for p in form.split("*")]
+                self.forms.setdefault(head[0], []).append((head, tail, name))
+        every = [f for fs in self.forms.values() for f in fs]
+        self.longest = max((len(h) + sum(len(t) + GAP for t in tail) for h, tail, _ in every), default=0)
         self.rules = sorted(rules, key=lambda r: -len(r[0]))
 
-    def name(self, sentence: str) -> str | None:
-        if len(sentence) > 3 * self.longest:
-            return None
-        s = normal(sentence)
-        found = self.exact.get(s)
-        if found is None:
-            found = next((n for p, n in self.loose if p.fullmatch(s)), None)
-        return found
-
     def identifiers(self, text: str | None) -> list[tuple[int, int, str]]:
-        """(begin, end, identifier) in order; a sentence may be wrapped over lines, or lines may end it."""
+        """(begin, end, identifier) in order.
+
+        A sentence begins after another's end or with a line; it may be wrapped over any number of lines
+        and have full stops inside ("v. 2.0"), as only its words count.
+        """
         if not text or not WORDS.search(text):
             return []
-        found = {}
-        for cut in (LINES, STOP):
-            at = 0
-            spans = []
-            for m in cut.finditer(text):
-                spans.append((at, m.start()))
-                at = m.end()
-            spans.append((at, len(text)))
-            for begin, end in spans:
-                name = self.name(text[begin:end])
-                if name:
-                    begin += len(text[begin:end]) - len(text[begin:end].lstrip())
-                    found.setdefault((begin, end), name)
-            # a full stop inside a sentence ("v. 2.0") cuts it: neighbours are tried together
-            for (a, _), (_, d) in pairwise(spans):
-                name = self.name(text[a:d])
-                if name:
-                    a += len(text[a:d]) - len(text[a:d].lstrip())
-                    found.setdefault((a, d), name)
+        starts = {}
+        for at in [0, *(m.end() for m in END.finditer(text))]:
+            first = WORD.search(text, at)
+            if first and first[0].lower() in self.forms:
+                starts[first.start()] = at
+        found = []
+        for first, at in starts.items():
+            forms = self.forms[WORD.match(text, first)[0].lower()]
+            words = list(islice(WORD.finditer(text, first), self.longest + 1))
+            plain = [m[0].lower() for m in words]
+            ends = []
+            for head, tail, name in forms:
+                for n in lengths(plain, head, tail):
+                    end = END.search(text, words[n - 1].end())
+                    stop = end.start() if end else len(text)
+                    if n == len(words) or stop <= words[n].start():
+                        ends.append((stop, name))
+            if ends:
+                stop, name = max(ends)
+                found.append((at + len(text[at:first]) - len(text[at:first].lstrip()), stop, name))
         out, reach = [], -1
-        for (a, b), name in sorted(found.items()):
+        for a, b, name in sorted(found):
             if a >= reach:
                 out.append((a, b, name))
                 reach = b

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -398,6 +399,18 @@ def test_licences(spark):
     assert got == {0: ["MIT"], 1: ["CC-BY-NC-4.0"], 2: ["MIT"], 5: ["MPL-2.0"], 6: ["BSD-3-Clause"]}
 
 
+def test_licence_headers_as_published():
+    s, wrap = licenses.SENTENCES, lambda t: textwrap.fill(t, 60)
+    full = lambda names: "\n\n".join(wrap(s[n][-1]) for n in names)
+    mit = "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + full(["mit-grant", "mit-notice", "mit-as-is"])
+    gpl = "Copyright (C) 2020 Jane Doe\n\n" + full(["gpl-free", "gpl-hope", "gpl-see"])
+    apache = "Copyright 2020 Jane Doe\n\n" + full(["apache-short", "apache-copy", "apache-as-is", "apache-see"])
+    known = licenses.Recogniser()
+    for text, name, n in ((mit, "MIT", 3), (gpl, "GPL-3.0-or-later", 3), (apache, "Apache-2.0", 4)):
+        for t in (text, "\n".join("# " + x for x in text.split("\n"))):
+            assert [(x[0], x[3]) for x in known.licences(t)] == [(name, n)]
+
+
 def test_licences_of_plain_lines(spark, real):
     want = Counter()
     forms = {licenses.normal(f): n for n, fs in licenses.SENTENCES.items() for f in fs}
