@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon that an Aho-Corasick automaton finds in the folded text.
 
-Folding undoes disguises: letter case, look-alike letters of other alphabets, digits and signs that
-stand for letters, invisible characters.  Everything but letters then becomes a blank, so an entry is a
+Folding undoes disguises: letter case, accents, look-alike letters of other alphabets, digits and signs
+that stand for letters, invisible characters.  Everything but letters then becomes a blank, so an entry is a
 word (" idiot ") or the beginning of a word (" idiot").  Hits inside an exception phrase don't count.
 The sum of weights is divided by a slowly growing function of the length and turned into a probability.
 Weights are learned from a bounded sample of labelled rows, on top of a short list known beforehand.
@@ -11,16 +11,19 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.common import crc_mod, map_rows
+from stemma.llm.sample import counted, drawn, with_texts
 
 # Words known beforehand, and phrases in which such words are harmless.
 SEED_WORDS = ("clown", "disgusting", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -34,38 +37,34 @@ LOOK_ALIKE = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 # Soft hyphen, zero-width space, non-joiner, joiner, word joiner, byte-order mark.
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+SIGNLESS = dict.fromkeys(map(ord, "@$!"), " ")
 
-#: Bounds of the sample: toxic and other rows, characters of a text.
-TOXIC_ROWS, OTHER_ROWS, SAMPLE_CHARS = 2_500, 5_000, 12_000
+#: Bounds of the sample: toxic and other rows.
+TOXIC_ROWS, OTHER_ROWS = 2_500, 5_000
 SIGNS = re.compile(r"[@$!](?=\w)")
 WORD = re.compile(r"[^\W\d_]+")
 
 
 @lru_cache(maxsize=1)
-def _tables():
+def _table() -> dict[int, str | None]:
+    """What a lower-case decomposed character becomes: marks and invisible characters go, what is no ASCII letter is a blank."""
+    marks = (c for c in chain(range(0x300, 0x1F000), range(0xE0100, 0xE01F0)) if unicodedata.category(chr(c)) == "Mn")
+    blanks = {c: " " for c in range(128) if not chr(c).isalpha() and chr(c) not in "@$!"}
     # l and i look alike once digits are letters; both sides fold to i
-    base = {ord(k): v for k, v in LOOK_ALIKE.items()} | {ord(c): v for c, v in DIGITS.items() if c.isdigit()} | {ord("l"): "i"} | {ord(c): None for c in INVISIBLE}
-    base |= {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
-    latin = bytearray(range(256))
-    for i in range(256):
-        c = base.get(i, chr(i))
-        latin[i] = ord(c) if c and c.isalpha() else 32
-    return base, bytes(latin)
+    return blanks | dict.fromkeys(marks) | {ord(k): v for k, v in LOOK_ALIKE.items()} | {ord(c): v for c, v in DIGITS.items() if c.isdigit()} | {ord("l"): "i"} | {ord(c): None for c in INVISIBLE}
 
 
 def fold(text: str) -> str:
-    """The folded text: letters and single blanks, a blank at either end."""
-    base, latin = _tables()
-    text = text.lower()
+    """The folded text: letters and single blanks, a blank at either end.
+
+    Characters are decomposed (accents, wide and raised forms), which changes nothing in ASCII texts.
+    """
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
+    text = text.lower().translate(_table())
     if "@" in text or "$" in text or "!" in text:
-        text = SIGNS.sub(lambda m: DIGITS[m[0]], text)
-    try:
-        data = text.encode("latin-1")
-        if b"\xad" in data:
-            data = data.replace(b"\xad", b"")
-        words = data.translate(latin).decode("latin-1").split()
-    except UnicodeEncodeError:
-        words = WORD.findall(text.translate(base).replace("l", "i"))
+        text = SIGNS.sub(lambda m: DIGITS[m[0]], text).translate(SIGNLESS)
+    words = text.split() if text.isascii() else WORD.findall(text)
     return f" {' '.join(words)} "
 
 
@@ -119,27 +118,40 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * d + self.offset)))), n
 
 
-def entries(folded: str) -> set[str]:
+def entries(words: list[str]) -> set[str]:
     """Words and beginnings of words of 3 to 8 letters."""
     out = set()
-    for w in set(folded.split()):
+    for w in words:
         out.add(f" {w} ")
         out.update(f" {w[:k]}" for k in range(3, min(8, len(w)) + 1))
     return out
 
 
-def learn(toxic: list[str], other: list[str], least: int = 3, purity: float = 3.0) -> Lexicon:
-    """Log-odds weights of the entries that tell toxic texts from others; then the probability by Newton steps."""
+@dataclass(frozen=True)
+class Seen:
+    """What is learned from a text: its different folded words, its beginning and its end."""
+
+    words: list[str]
+    head: str
+    tail: str
+
+
+def seen(text: str | None) -> Seen:
+    folded = fold(text or "")
+    return Seen(sorted(set(folded.split())), folded[:60], folded[-60:])
+
+
+def learn(toxic: list[Seen], other: list[Seen], least: int = 3, purity: float = 3.0) -> Lexicon:
+    """Log-odds weights of the entries that tell toxic texts from others."""
     seeds = {f" {fold(w).strip()} ": 3.0 for w in SEED_WORDS}
     bad, good = Counter(), Counter()
     # near copies of one text are no independent evidence: they share their first or last words
     ends: set[str] = set()
     for texts, into in ((toxic, bad), (other, good)):
         for t in texts:
-            folded = fold(t)
-            own = {"^" + folded[:60], "$" + folded[-60:]}
+            own = {"^" + t.head, "$" + t.tail}
             if into is good or not own & ends:
-                into.update(entries(folded))
+                into.update(entries(t.words))
             ends |= own
     # clean rows show which entries are common speech; without any, nothing is learned
     base = math.log((len(toxic) + 1) / (len(other) + 1))
@@ -162,13 +174,17 @@ def learn(toxic: list[str], other: list[str], least: int = 3, purity: float = 3.
         # a beginning stands for the words that start with it, unless they are purer
         if w not in shadowed and not any(weights.get(w[:k], 0) >= min(6.0, odds[w]) - 1.5 for k in range(4, len(w))):
             weights[w] = min(6.0, odds[w])
-    found = Lexicon(weights)
-    x = np.array([found.density(t)[0] for t in [*toxic, *other]])
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(other))]
-    if not len(toxic) or not len(other):
-        return found
+    return Lexicon(weights)
+
+
+def calibrated(lexicon: Lexicon, densities: list[tuple[int, float]]) -> Lexicon:
+    """The lexicon with slope and offset from (label, density) pairs, by Newton steps."""
+    y, x = (np.array(c, float) for c in zip(*densities, strict=True)) if densities else (np.zeros(0), np.zeros(0))
+    toxic = int(y.sum())
+    if not toxic or toxic == len(y):
+        return lexicon
     # both classes weigh alike; a ridge keeps the slope finite
-    share = np.where(y == 1, 0.5 / len(toxic), 0.5 / len(other)) * len(y)
+    share = np.where(y == 1, 0.5 / toxic, 0.5 / (len(y) - toxic)) * len(y)
     a = np.zeros(2)
     design = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(50):
@@ -179,7 +195,7 @@ def learn(toxic: list[str], other: list[str], least: int = 3, purity: float = 3.
         a -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    return Lexicon(weights, slope=float(max(a[0], 0.5)), offset=float(a[1]))
+    return replace(lexicon, slope=float(max(a[0], 0.5)), offset=float(a[1]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -188,25 +204,33 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
-    """The lexicon learned from at most ``TOXIC_ROWS`` and ``OTHER_ROWS`` labelled rows.
+    """The lexicon learned from at most ``TOXIC_ROWS`` and ``OTHER_ROWS`` labelled rows, whole texts.
 
-    Rows are drawn by a hash of the id, and only texts of up to ``SAMPLE_CHARS`` characters.  ``usable``
-    is a condition on column ``i``, the id.
+    Drawn are the ids that come first by a hash, so the sample doesn't depend on the order of rows.  Null
+    ids, texts and labels teach nothing, nor do ids labelled both ways; of the texts of a repeated id one
+    counts.  ``usable`` is a condition on column ``i``, the id.  Texts stay on the executors: only their
+    different words, and then their densities, come to the driver.
     """
-    marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).filter(F.col("y").isin(0, 1) & F.col("i").isNotNull())
+    marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("i").isNotNull())
     if usable is not None:
         marks = marks.filter(usable)
-    counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
+    counts = counted(marks)
     if not counts:
         return learn([], [])
-    place = F.pmod(F.xxhash64(F.lit("toxicity"), "i"), F.lit(1_000_000))
-    share = F.when(F.col("y") == 1, F.lit(TOXIC_ROWS / counts.get(1, 1))).otherwise(F.lit(OTHER_ROWS / counts.get(0, 1)))
-    # about 7,500 ids at most: a broadcast of known size
-    drawn = marks.filter(place < share * 1_000_000).dropDuplicates(["i"]).limit(2 * (TOXIC_ROWS + OTHER_ROWS))
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(F.char_length("t") <= SAMPLE_CHARS)
-    got = texts.join(F.broadcast(drawn), "i").select("i", "y", "t").limit(3 * (TOXIC_ROWS + OTHER_ROWS)).collect()
-    got.sort(key=lambda r: (r["i"], r["t"]))
-    return learn([r["t"] for r in got if r["y"] == 1], [r["t"] for r in got if r["y"] == 0])
+    ids = drawn(marks, counts, {0: OTHER_ROWS, 1: TOXIC_ROWS}, "toxicity", exclusive=True)
+    texts = with_texts(ids, docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), ["i"])
+    kind = texts.schema["i"].dataType.simpleString()
+
+    def words():
+        return lambda columns: [(y, i, " ".join(x.words), x.head, x.tail) for y, i, x in zip(columns[0], columns[1], map(seen, columns[2]), strict=True)]
+
+    got = sorted(map(tuple, map_rows(texts, words, f"y int, i {kind}, words string, head string, tail string").collect()), key=lambda r: r[1])
+    found = learn(*[[Seen(w.split(), head, tail) for y, _, w, head, tail in got if y == k] for k in (1, 0)])
+
+    def densities():
+        return lambda columns: [(y, found.density(t)[0]) for y, t in zip(*columns, strict=True)]
+
+    return calibrated(found, sorted(map(tuple, map_rows(texts.select("y", "t"), densities, "y int, density double").collect())))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
