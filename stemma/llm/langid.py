@@ -2,23 +2,26 @@
 
 The network is trained by backpropagation through time on a bounded sample of labelled rows.  It labels
 every byte of every text; a document's score per language is the mean of its bytes' probabilities.
-Texts are read in windows of a fixed number of bytes, so that memory is bounded for any length.
+Texts are read in windows of a fixed number of bytes, so that memory is bounded for any length; a window
+begins and ends with some bytes of its neighbours, which warm the network up and are not counted.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.common import crc_mod, map_rows
+from stemma.llm.sample import counted, drawn, with_texts
 
-LETTER = re.compile(r"[^\W\d_]")
-#: Bounds of the sample: languages, documents for each, characters of a document, windows of a document.
-LANGUAGES, DOCS_EACH, SAMPLE_CHARS, WINDOWS_EACH = 64, 400, 4_000, 6
-HIDDEN, WINDOW, TRAIN_WINDOW = 8, 128, 48
+ASCII_LETTER = re.compile("[A-Za-z]")
+#: Bounds of the sample: documents of a language, documents in all, training windows of a document (from its whole text).
+DOCS_EACH, DOCS, WINDOWS_EACH = 400, 25_600, 24
+HIDDEN, WINDOW, MARGIN, TRAIN_WINDOW = 8, 128, 8, 48
 #: Windows read side by side.
 BATCH = 2048
 
@@ -125,18 +128,19 @@ class Network:
             g["W" + d] = table
         return loss, g
 
-    def train(self, texts: list[bytes], labels: list[int], steps: int = 220, batch: int = 192, rate: float = 0.03, seed: int = 11):
-        """Adam over random windows, languages drawn evenly."""
+    def train(self, texts: list[bytes], labels: list[int], steps: int | None = None, batch: int = 192, rate: float = 0.03, seed: int = 11):
+        """Adam over random windows, languages in turn; many languages take more steps."""
         g = np.random.default_rng(seed)
         by = [[t for t, y in zip(texts, labels, strict=True) if y == k and t] for k in range(len(self.langs))]
         ready = [k for k in range(len(by)) if by[k]]
         if not ready:
             return self
+        steps = steps or 220 * -(-len(ready) // 16)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         for step in range(1, steps + 1):
             x, valid, y = np.full((TRAIN_WINDOW, batch), 32, np.uint8), np.zeros((TRAIN_WINDOW, batch), bool), np.empty(batch, np.int64)
             for i in range(batch):
-                k = ready[i % len(ready)]
+                k = ready[(step * batch + i) % len(ready)]
                 t = by[k][g.integers(len(by[k]))]
                 at = g.integers(max(1, len(t) - TRAIN_WINDOW + 1)) if g.random() < 0.8 else 0
                 w = np.frombuffer(t[at : at + TRAIN_WINDOW], np.uint8)
@@ -157,39 +161,51 @@ class Network:
         sizes = np.array([len(t) for t in texts])
         counts = -(-sizes // WINDOW)
         owner = np.repeat(np.arange(len(texts)), counts)
-        data = np.full(int(counts.sum()) * WINDOW, 32, np.uint8)
-        begin = np.r_[0, np.cumsum(counts)[:-1]] * WINDOW
-        for t, at in zip(texts, begin.tolist(), strict=True):
-            data[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        data = data.reshape(-1, WINDOW)
-        inside = np.arange(WINDOW)[:, None]
-        first = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
-        for at in range(0, len(data), BATCH):
-            x = np.ascontiguousarray(data[at : at + BATCH].T)
-            own = owner[at : at + BATCH]
-            valid = inside < (sizes[own] - first[at : at + BATCH] * WINDOW)[None]
-            probs = self.probabilities(x)
+        # each text stands between margins of blanks, its windows a fixed number of bytes apart
+        begin = np.r_[0, np.cumsum(counts * WINDOW + 2 * MARGIN)]
+        data = np.full(begin[-1], 32, np.uint8)
+        for t, at in zip(texts, begin.tolist(), strict=False):
+            data[at + MARGIN : at + MARGIN + len(t)] = np.frombuffer(t, np.uint8)
+        place = (np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)) * WINDOW
+        inside, wide = np.arange(WINDOW)[:, None], np.arange(WINDOW + 2 * MARGIN)[:, None]
+        side = max(64, BATCH * 8 // max(8, len(self.langs)))
+        for at in range(0, len(owner), side):
+            own, first = owner[at : at + side], place[at : at + side]
+            probs = self.probabilities(data[(begin[own] + first)[None] + wide])[MARGIN : MARGIN + WINDOW]
+            valid = inside < (sizes[own] - first)[None]
             np.add.at(sums, own, np.einsum("tnl,tn->nl", probs, valid.astype(np.float32)))
         return np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], 1 / max(1, len(self.langs)))
 
 
+def windows(data: bytes) -> list[bytes]:
+    """The first training window and others from anywhere in the text, the same ones each time."""
+    last = len(data) - TRAIN_WINDOW
+    places = {0, *np.random.default_rng(zlib.crc32(data)).integers(0, last + 1, WINDOWS_EACH - 1).tolist()} if last > 0 else {0}
+    return [data[a : a + TRAIN_WINDOW] for a in sorted(places)]
+
+
 def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[bytes], list[int]]:
-    """At most ``DOCS_EACH`` documents of each of the ``LANGUAGES`` most frequent labels.
+    """All languages, and training windows with their languages' positions.
 
-    A row is drawn when a hash of its id and text falls below its language's share; that is a filter, not a sort
-    of the table.  Of each drawn text ``SAMPLE_CHARS`` characters are taken.
+    Of each language the ``DOCS_EACH`` ids that come first by a hash take part (fewer of each where the
+    languages are so many that ``DOCS`` would be exceeded, but one at least); of the texts of a repeated id one counts.
+    Null ids, texts and languages teach nothing.  Windows are cut on the executors from whole texts.
     """
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter(usable & F.col("l").isNotNull() & F.col("t").isNotNull())
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
-    langs = sorted(str(r["l"]) for r in counts)
-    if not langs:
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y")).filter(usable & F.col("y").isNotNull() & F.col("t").isNotNull() & F.col("i").isNotNull())
+    counts = counted(rows)
+    if not counts:
         return [], [], []
-    share = F.element_at(F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(min(1.0, DOCS_EACH / r["count"])))]), F.col("l"))
-    drawn = F.pmod(F.xxhash64(F.lit("langid"), "i"), F.lit(1_000_000)) < share * 1_000_000
-    known = rows.filter(F.col("l").isin([r["l"] for r in counts])).filter(drawn)
-    got = known.select("l", F.substring("t", 1, SAMPLE_CHARS).alias("t"), F.xxhash64("i").alias("o")).limit(2 * DOCS_EACH * len(langs)).collect()
-    got.sort(key=lambda r: (r["l"], r["o"], r["t"]))
-    return langs, [r["t"].encode("utf-8", "replace") for r in got], [langs.index(str(r["l"])) for r in got]
+    langs = sorted(counts)
+    each = max(1, min(DOCS_EACH, DOCS // len(langs)))
+    texts = with_texts(drawn(rows, counts, dict.fromkeys(langs, each), "langid"), rows, ["y", "i"])
+    kind = texts.schema["i"].dataType.simpleString()
+
+    def make():
+        return lambda columns: [(y, i, w) for y, i, t in zip(*columns, strict=True) for w in windows(t.encode("utf-8", "replace"))]
+
+    got = sorted(map(tuple, map_rows(texts, make, f"y string, i {kind}, w binary").collect()))
+    place = {y: k for k, y in enumerate(langs)}
+    return langs, [bytes(w) for *_, w in got], [place[y] for y, *_ in got]
 
 
 def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
@@ -198,9 +214,13 @@ def fit(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", t
     return Network(langs).train(texts, labels)
 
 
+def has_letter(text: str) -> bool:
+    return bool(ASCII_LETTER.search(text)) or not text.isascii() and any(map(str.isalpha, text))
+
+
 def rated(network: Network, texts: list[str | None]) -> list[tuple[str, float]]:
     """(language, mean probability); ``und`` and 0 if the text is null or has no letter, or nothing was learned."""
-    use = [i for i, t in enumerate(texts) if t and network.langs and LETTER.search(t)]
+    use = [i for i, t in enumerate(texts) if t and network.langs and has_letter(t)]
     out = [("und", 0.0)] * len(texts)
     if use:
         means = network.documents([texts[i].encode("utf-8", "replace") for i in use])
@@ -229,11 +249,17 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def keep_identified(docs: DataFrame, network: Network, least: float = 0.4, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known with a mean probability of ``least``; columns unchanged."""
+    """The rows of ``docs`` whose language is known with a mean probability of ``least``; columns unchanged.
+
+    Where there was nothing to learn from, texts with a letter stay.
+    """
     import pandas as pd
 
     def known(batches):
         for texts in batches:
+            if not network.langs:
+                yield texts.map(lambda t: bool(t) and has_letter(t)).astype(bool)
+                continue
             yield pd.Series([lang != "und" and score >= least for at in range(0, len(texts), 128) for lang, score in rated(network, texts.iloc[at : at + 128].tolist())], dtype=bool)
 
     from collections.abc import Iterator
