@@ -4,7 +4,8 @@ Each task keeps at most ``windows`` open windows.  A document's ids first fill w
 own; what is left goes best-fit: into the open window with the least room that still takes it.  If none
 does and all windows are open, the fullest is topped up from the piece (pieces may be cut anywhere),
 emitted, and the rest is placed again.  Windows still open at the end of a task are leftovers: they are
-packed again in ever fewer tasks, the ids travelling with them, until one task merges the last few.
+packed again in ever fewer tasks, the ids travelling with them, until one task fills the last few up
+one after the other.
 """
 
 from __future__ import annotations
@@ -39,11 +40,18 @@ class Packer:
             offset += n
         return out
 
-    def place(self, doc, start: int, data: bytes, total: int) -> list[tuple]:
+    def place(self, doc, start: int, data, total: int) -> list[tuple]:
+        """Sequences that are full after this piece (bytes or a view of them) has been placed.
+
+        Of windows with equal room the older one is taken.
+        """
         out, n = [], len(data) // 4
-        while n >= self.size:
-            out += self.emit([(doc, start, data[: 4 * self.size], total)])
-            data, start, n = data[4 * self.size :], start + self.size, n - self.size
+        if n >= self.size:
+            data = memoryview(data)
+            while n >= self.size:
+                out += self.emit([(doc, start, data[: 4 * self.size], total)])
+                data, start, n = data[4 * self.size :], start + self.size, n - self.size
+            data = bytes(data)
         if not n:
             return out
         fits = [(room, k) for k, (room, _) in enumerate(self.open) if room >= n]
@@ -70,7 +78,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, windows: int = 16, e
 
     A null or empty text is its end id alone.  Null ids and repeated rows are packed like any other, an
     empty table gives no rows, other columns are not looked at.  All sequences but the very last hold
-    exactly ``size`` ids.  Sequence ids are unique: round, task and running number.
+    exactly ``size`` ids: the last task fills one window at a time.  Sequence ids are unique: round, task
+    and running number.
     """
     import struct
 
@@ -81,7 +90,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, windows: int = 16, e
     def rows(found: list[tuple], level: int, task: int):
         return [(*r[:7], level, task, r[7]) for r in found]
 
-    def maker(level: int, read):
+    def maker(level: int, read, windows: int = windows):
         def make():
             from pyspark import TaskContext
 
@@ -110,13 +119,13 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, windows: int = 16, e
     table = staged(map_rows(docs.select(id_col, text_col), maker(0, encoded), schema), "pack0")
     while True:
         loose = table.filter(F.col("ids").isNotNull())
-        tasks = loose.agg(F.count_distinct("task")).first()[0]
-        if tasks <= 1:
+        tasks, sequences = loose.agg(F.count_distinct("task"), F.count_distinct("sequence_id")).first()
+        if sequences <= 1:
             return reduce(DataFrame.unionByName, [*done, table]).drop("ids", "level", "task")
         done.append(table.filter(F.col("ids").isNull()))
         level += 1
-        fewer = -(-tasks // FAN_IN)
+        fewer, last = -(-tasks // FAN_IN), tasks <= 1
         # a fixed order, so a task that runs again packs alike
         dealt = loose.withColumn("_group", F.col("task") % fewer)
-        dealt = dealt.repartition(fewer, "_group").sortWithinPartitions(F.desc("length"), id_col, "start")
-        table = staged(map_rows(dealt.select(id_col, "start", "ids", "doc_tokens"), maker(level, again), schema), f"pack{level}")
+        dealt = dealt.repartition(fewer, "_group").sortWithinPartitions(F.desc("length"), id_col, "start", "ids_crc32")
+        table = staged(map_rows(dealt.select(id_col, "start", "ids", "doc_tokens"), maker(level, again, 1 if last else windows), schema), f"pack{level}")
