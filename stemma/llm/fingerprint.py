@@ -11,9 +11,11 @@ multiset of runs: from two fingerprints alone the likeness of the texts can be e
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import reduce
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LANES = 64
@@ -106,35 +108,64 @@ def likeness(a: Column, b: Column) -> Column:
 def below(x: Column, bounds: list, kind: str) -> Column:
     """How many of the sorted bounds are below x, looked up in two steps of about the root of their number."""
     step = max(1, math.isqrt(len(bounds)))
-    listed = lambda bs: F.array(*map(F.lit, bs)).cast(f"array<{kind}>")
-    coarse = F.size(F.filter(listed(bounds[step - 1 :: step]), lambda b: b < x)) * step
-    return F.get(F.transform(F.array(coarse), lambda c: c + F.size(F.filter(F.slice(listed(bounds), c + 1, F.lit(step)), lambda b: b < x))), F.lit(0))
+    coarse = F.size(F.filter(listed(bounds[step - 1 :: step], kind), lambda b: b < x)) * step
+    return F.get(F.transform(F.array(coarse), lambda c: c + F.size(F.filter(F.slice(listed(bounds, kind), c + 1, F.lit(step)), lambda b: b < x))), F.lit(0))
+
+
+def listed(values: list, kind: str) -> Column:
+    return F.array(*map(F.lit, values)).cast(f"array<{kind}>")
+
+
+def sliced(tie: Column, n: Column) -> Column:
+    """Which of n equal slices of the hash, from its largest values down."""
+    return F.least(n - 1, F.floor((0.5 - tie / F.lit(2.0**64)) * n).cast("int"))
+
+
+def partition_keys(spark: SparkSession, ranges: int, parts: int) -> list[int]:
+    """A number for each range; hash partitioning over ``parts`` deals the ranges out in turn, one to a partition."""
+    drawn = spark.range(40 * parts).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(parts)).alias("p")).agg(F.slice(F.sort_array(F.collect_list("k")), 1, -(-ranges // parts)).alias("ks"))
+    known = {r["p"]: r["ks"] for r in drawn.collect()}
+    return [known[r % parts][r // parts] for r in range(ranges)]
 
 
 def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """Each row with the ``columns`` of its successor by descending id as ``next_...``; the last is followed by the first.
 
-    Rows are dealt to ranges of ids (bounds are a bounded list of quantiles).  The top row of a range goes
-    to the range before it as well, as a guest behind all its rows, so each range is ordered for itself.
-    Null ids come last; ties are ordered by the hash of the columns.
+    Rows are dealt to ranges of ids (bounds are a bounded list of quantiles), one range to a partition.
+    An id that fills more than one range, and null ids, which come last, are dealt further by a hash of
+    the first column, by which ties are ordered; only rows equal in id and text stay together.  The top
+    row of a range goes to the range before it as well, as a guest behind all its rows, so each range is
+    ordered for itself.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("_tie", F.xxhash64(columns[0]))
     kind = rows.schema[id_col].dataType.simpleString()
-    bounds = rows.agg(F.percentile_approx(id_col, [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
-    bounds = sorted(set(bounds or []))
-    # range 0 holds the largest ids, null ids go to the last
-    rows = rows.withColumn("_range", F.when(F.col(id_col).isNull(), len(bounds)).otherwise(len(bounds) - below(F.col(id_col), bounds, kind)).cast("int"))
-    tops = [tuple(r) for r in rows.groupBy("_range").agg(F.max(id_col)).orderBy("_range").collect()]
-    into = {top: tops[k - 1][0] for k, (_, top) in enumerate(tops)}
-    named = {k: v for k, v in into.items() if k is not None}
-    pairs = F.create_map(*[F.lit(x) for kv in named.items() for x in kv]).cast(f"map<{kind},int>")
-    guest = F.when(F.col(id_col).isNull(), F.lit(into.get(None)).cast("int")).otherwise(F.try_element_at(pairs, F.col(id_col)))
-    here, there = F.struct(F.col("_range").alias("r"), F.lit(False).alias("guest")), F.struct(guest.alias("r"), F.lit(True).alias("guest"))
-    dealt = rows.withColumn("_to", F.explode(F.when(guest.isNull(), F.array(here)).otherwise(F.array(here, there))))
-    w = Window.partitionBy("_to.r").orderBy(F.col("_to.guest"), F.col(id_col).desc_nulls_last(), F.col("_tie"))
+    i, tie = F.col(id_col), F.col("_tie")
+    cuts, total, known = rows.agg(F.percentile_approx(id_col, [k / max(2, parts) for k in range(1, max(2, parts))], 10_000), F.count("*"), F.count(id_col)).first()
+    often = Counter(cuts or [])
+    bounds = sorted(often)
+    # from the largest ids down: above the last bound, then for each bound its own rows if they fill ranges, and those below it
+    own = [0, *[often[b] if often[b] > 1 else 0 for b in reversed(bounds)]]
+    offsets = list(accumulate((n + 1 for n in own), initial=0))
+    empty = max(1, round(parts * (total - known) / max(1, total)))
+    at = F.lit(len(bounds)) - below(i, bounds, kind)
+    here = F.get(listed(own, "int"), at)
+    top = (here > 0) & i.eqNullSafe(F.get(listed([None, *reversed(bounds)], kind), at))
+    placed = F.get(listed(offsets, "int"), at) + F.when(top, sliced(tie, here)).otherwise(here)
+    rows = rows.withColumn("_range", F.when(i.isNull(), F.lit(offsets[-1]) + sliced(tie, F.lit(empty))).otherwise(placed).cast("int"))
+    ranges = offsets[-1] + empty
+    tops = {r["_range"]: (r["t"]["i"], r["t"]["tie"]) for r in rows.groupBy("_range").agg(F.max(F.struct(i.alias("i"), tie.alias("tie"))).alias("t")).collect()}
+    used = sorted(tops)
+    before = dict(zip(used, used[-1:] + used[:-1], strict=True))
+    of = lambda values, k: F.get(listed([values.get(r) for r in range(ranges)], k), F.col("_range"))
+    first = i.eqNullSafe(of({r: t[0] for r, t in tops.items()}, kind)) & (tie == of({r: t[1] for r, t in tops.items()}, "bigint"))
+    stays, guest = F.struct(F.col("_range").alias("r"), F.lit(False).alias("guest")), F.struct(of(before, "int").alias("r"), F.lit(True).alias("guest"))
+    dealt = rows.withColumn("_to", F.explode(F.when(first, F.array(stays, guest)).otherwise(F.array(stays))))
+    dealt = dealt.withColumn("_key", F.get(listed(partition_keys(spark, ranges, parts), "int"), F.col("_to.r")))
+    w = Window.partitionBy("_key").orderBy(F.col("_to.guest"), i.desc_nulls_last(), tie.desc())
     out = dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
-    return out.filter(~F.col("_to.guest")).drop("_tie", "_range", "_to")
+    return out.filter(~F.col("_to.guest")).drop("_tie", "_range", "_to", "_key")
 
 
 def edited(text: Column, other: Column) -> Column:
