@@ -13,59 +13,7 @@ from itertools import islice
 from pyspark.sql import DataFrame
 
 from stemma.llm.common import map_rows
-
-# Known licence sentences by identifier.  A star stands for up to twelve words.
-SENTENCES = {
-    "apache-short": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "apache-copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
-    "apache-as-is": ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'],
-    "apache-see": ["See the License for the specific language governing permissions and limitations under the License."],
-    "mit-short": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License.", "This software is released under the MIT License."],
-    "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
-    "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
-    "mit-as-is": ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'],
-    "bsd-short": ["Licensed under the BSD License.", "Released under the BSD License."],
-    "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
-    "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
-    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
-    "bsd-endorse": ["Neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
-    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "gpl3-short": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3."],
-    "gpl2-short": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2."],
-    "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
-    "gpl-see": ["See the GNU General Public License for more details."],
-    "mpl2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "mpl2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "unlicense": ["This is free and unencumbered software released into the public domain."],
-}
-# Ordered rules, from a sequence of sentence identifiers to a licence.
-RULES = (
-    (("apache-short", "apache-copy", "apache-as-is", "apache-see"), "Apache-2.0"),
-    (("apache-short", "apache-copy"), "Apache-2.0"),
-    (("apache-short",), "Apache-2.0"),
-    (("mit-grant", "mit-notice", "mit-as-is"), "MIT"),
-    (("mit-short",), "MIT"),
-    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), "BSD-3-Clause"),
-    (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
-    (("bsd-short",), "BSD"),
-    (("isc-grant",), "ISC"),
-    (("gpl-free", "gpl-hope", "gpl-see"), "GPL-3.0-or-later"),
-    (("gpl-free",), "GPL-3.0-or-later"),
-    (("gpl3-short",), "GPL-3.0-only"),
-    (("gpl2-short",), "GPL-2.0-only"),
-    (("mpl2", "mpl2-copy"), "MPL-2.0"),
-    (("mpl2",), "MPL-2.0"),
-    (("cc-by",), "CC-BY-4.0"),
-    (("cc-by-sa",), "CC-BY-SA-4.0"),
-    (("cc-by-nc",), "CC-BY-NC-4.0"),
-    (("cc0",), "CC0-1.0"),
-    (("unlicense",), "Unlicense"),
-)
+from stemma.llm.license_texts import RULES, SENTENCES
 
 #: A sentence ends at a full stop, colon, question or exclamation mark before white space or the end, or with its line.
 END = re.compile(r"[.!?:]+(?=\s|$)|\n\s*")
@@ -73,8 +21,6 @@ WORD = re.compile(r"[^\W_]+")
 #: Words that a star stands for at most.
 GAP = 12
 JUNK = re.compile(r"[\W_]+")
-#: Further sentences of the known ones' length are looked at only if one of these words is in the text.
-WORDS = re.compile(r"licen|software|redistribution|copyright|permission|public domain|mpl|cc by", re.I)
 
 
 def normal(sentence: str) -> str:
@@ -87,17 +33,21 @@ def lengths(words: list[str], head: list[str], tail: list[list[str]]) -> list[in
         return []
     ends = [len(head)]
     for part in tail:
-        ends = sorted({e + g + len(part) for e in ends for g in range(GAP + 1) if words[e + g : e + g + len(part)] == part})
+        ends = sorted({e + g + len(part) for e in ends for g in range(GAP + 1) if e + g + len(part) <= len(words) and words[e + g : e + g + len(part)] == part})
     return ends
 
 
 class Recogniser:
     def __init__(self, sentences: dict[str, list[str]] = SENTENCES, rules=RULES):
-        self.forms: dict[str, list] = {}
+        # by the first two words, or the only one before a star
+        self.forms: dict[tuple[str, ...], list] = {}
         for name, forms in sentences.items():
             for form in forms:
                 head, *tail = [normal(p).split() for p in form.split("*")]
-                self.forms.setdefault(head[0], []).append((head, tail, name))
+                if not head:
+                    raise ValueError(f"a form of {name} doesn't begin with a word")
+                self.forms.setdefault(tuple(head[:2]), []).append((head, tail, name))
+        self.firsts = {key[0] for key in self.forms}
         every = [f for fs in self.forms.values() for f in fs]
         self.longest = max((len(h) + sum(len(t) + GAP for t in tail) for h, tail, _ in every), default=0)
         self.rules = sorted(rules, key=lambda r: -len(r[0]))
@@ -108,16 +58,19 @@ class Recogniser:
         A sentence begins after another's end or with a line; it may be wrapped over any number of lines
         and have full stops inside ("v. 2.0"), as only its words count.
         """
-        if not text or not WORDS.search(text):
+        if not text:
             return []
         starts = {}
         for at in [0, *(m.end() for m in END.finditer(text))]:
             first = WORD.search(text, at)
-            if first and first[0].lower() in self.forms:
+            if first and first[0].lower() in self.firsts:
                 starts[first.start()] = at
         found = []
         for first, at in starts.items():
-            forms = self.forms[WORD.match(text, first)[0].lower()]
+            begin = tuple(m[0].lower() for m in islice(WORD.finditer(text, first), 2))
+            forms = self.forms.get(begin, []) + (self.forms.get(begin[:1], []) if len(begin) > 1 else [])
+            if not forms:
+                continue
             words = list(islice(WORD.finditer(text, first), self.longest + 1))
             plain = [m[0].lower() for m in words]
             ends = []
