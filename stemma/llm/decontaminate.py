@@ -3,7 +3,7 @@
 Both sides are reduced to lower-case letters and digits with single blanks.  An item of n characters may
 differ in ``budget(n)`` edits.  Cut into budget + 1 pieces, one piece at least must occur unchanged, so
 one Aho-Corasick pass over the document finds every candidate place; each is verified with Myers'
-bit-parallel distance in a window around it.
+bit-parallel distance in a window around it.  Items too short for an edit must stand as whole words.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import map_rows
+from stemma.llm.common import map_rows, staged
 
 OTHER = re.compile(r"[\W_]+")
 #: Characters of items that one automaton may hold (about 60 bytes each in every worker); more go in further passes.
@@ -32,7 +33,9 @@ def budget(n: int) -> int:
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
-    """(offset, piece): k + 1 pieces of nearly the same length that make up the item."""
+    """(offset, piece): k + 1 pieces of nearly the same length that make up the item; without edits the item between blanks."""
+    if not k:
+        return [(-1, f" {item} ")]
     cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -138,21 +141,30 @@ _MATCHERS: dict[int, Matcher] = {}
 
 
 def matcher(items: list[tuple]) -> Matcher:
-    """One automaton for a list of items in each worker."""
+    """One automaton for a list of items in each worker, which holds one at a time."""
     key = hash(tuple(items))
     if key not in _MATCHERS:
-        while len(_MATCHERS) >= 2:
-            _MATCHERS.pop(next(iter(_MATCHERS)))
+        _MATCHERS.clear()
         _MATCHERS[key] = Matcher(items)
     return _MATCHERS[key]
 
 
+def in_passes(passes: Iterator[DataFrame]) -> DataFrame:
+    """One pass as it is; several one after the other, each written before the next block of items is read."""
+    first = next(passes)
+    second = next(passes, None)
+    if second is None:
+        return first
+    return reduce(DataFrame.unionByName, (staged(p, "found") for p in chain([first, second], passes)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """id, item id, distance (edits), begin, end (in the reduced text): one row per document and item that occurs in it.
 
     A null or empty text has no matches; items that are null or have no letter or digit match nothing.
     Null ids and repeated rows stay; items with equal texts each match; an empty table on either side
-    gives no rows; other columns are not looked at.
+    gives no rows; other columns are not looked at.  A benchmark of over ``BLOCK_CHARS`` characters takes
+    several passes over the documents, each with the automaton of one block.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     rows = docs.select(id_col, text_col)
@@ -164,22 +176,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return map_rows(rows, make, f"{id_col} {kind}, {item_col} {item_kind}, distance int, begin_char long, end_char long")
 
-    return reduce(DataFrame.unionByName, map(found, blocks_of(benchmark, item_col, "text")))
+    return in_passes(map(found, blocks_of(benchmark, item_col, "text")))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of ``docs`` in which no item occurs; columns unchanged."""
+    """The rows of ``docs`` in which no item occurs; columns unchanged.
+
+    A benchmark of one block is a filter.  Several blocks are passes that find texts (by their SHA-256),
+    whose rows then go by an anti-join.
+    """
     import pandas as pd
 
-    def test(items: list[tuple]):
+    blocks = blocks_of(benchmark, item_col, "text")
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+
         def free(batches):
-            m = matcher(items)
+            m = matcher(first)
             for texts in batches:
                 yield texts.map(lambda t: not m.matches(t)).astype(bool)
 
         free.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return F.pandas_udf(free, "boolean")
+        return docs.filter(F.pandas_udf(free, "boolean")(F.col(f"`{text_col}`")))
+
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    texts = docs.select(F.col(f"`{text_col}`").alias("t")).filter(F.col("t").isNotNull()).select("t", digest(F.col("t")).alias("h"))
+
+    def found(items: list[tuple]) -> DataFrame:
+        def make():
+            m = matcher(items)
+            return lambda columns: [(h,) for t, h in zip(*columns, strict=True) if m.matches(t)]
+
+        return map_rows(texts, make, "h string")
 
-    for items in blocks_of(benchmark, item_col, "text"):
-        docs = docs.filter(test(items)(F.col(f"`{text_col}`")))
-    return docs
+    gone = in_passes(map(found, chain([first, second], blocks))).distinct()
+    # positions instead of names, which may repeat or clash
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    kept = own.join(gone, digest(F.col(names[docs.columns.index(text_col)])) == gone["h"], "left_anti")
+    return kept.toDF(*docs.columns)
