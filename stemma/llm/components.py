@@ -12,8 +12,8 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's neighbours to the smallest id around it.
 
     large: the neighbours above the node, over links in both directions; small: the node's lower
-    neighbours and itself.  The minimum is aggregated before the shuffle and then joined back, so a node
-    with very many links gathers nowhere.
+    neighbours and itself.  The minimum is aggregated before the shuffle and then joined back from a table, so
+    that adaptive execution may split the partition of a node with very many links.
     """
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -21,7 +21,7 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         near = F.min("v")
-    least = both.groupBy("u").agg(near.alias("m"))
+    least = staged(both.groupBy("u").agg(near.alias("m")), "least")
     joined = both.join(least, "u")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

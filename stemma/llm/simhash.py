@@ -5,7 +5,7 @@ in whole on one of ``budget + 1`` blocks of bits, so every fingerprint goes to t
 another block as its topmost bits and shared only among equal blocks.  Inside a block's trie pairs of
 nodes are walked down together, a pair gathers the bits in which its two paths differ, and is dropped
 once they exceed the budget.  A block with very many fingerprints is dealt to several tasks by pairs of
-nodes a few levels further down.
+nodes further down, the deeper the more fingerprints it has.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ from stemma.llm.sketch import sketch, sketch_links
 
 #: Node pairs walked at once; beyond it the walk goes part by part, so memory is bounded.
 FRONTIER = 1 << 19
-#: A block with more distinct fingerprints than this is dealt to several tasks.
+#: A block with more distinct fingerprints than this is dealt to several tasks; so many levels down, each for 16 times as many.
 HOT_BLOCK = 1 << 15
-HOT_LEVELS = 4
+HOT_LEVELS = (4, 8, 12)
 BITS = 64
 
 
@@ -144,10 +144,10 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def trie_edges(keys: np.ndarray, depth: int, budget: int, nodes: tuple[int, int] | None = None):
+def trie_edges(keys: np.ndarray, depth: int, budget: int, nodes: tuple[int, int] | None = None, levels: int = 0):
     """Spanning edges (positions u < v) of the links among sorted ``keys`` that agree in their top ``depth`` bits.
 
-    nodes: the keys below two different nodes, ``HOT_LEVELS`` further down, of each block; only pairs
+    nodes: the keys below two different nodes, ``levels`` further down, of each block; only pairs
     across the two count.
     """
     top = keys >> np.uint64(BITS - depth)
@@ -156,11 +156,11 @@ def trie_edges(keys: np.ndarray, depth: int, budget: int, nodes: tuple[int, int]
     if nodes is None:
         frontier = np.stack([begin, end, begin, end, np.zeros_like(begin)], axis=1)[end - begin > 1]
     else:
-        second = ((keys >> np.uint64(BITS - depth - HOT_LEVELS)) & np.uint64((1 << HOT_LEVELS) - 1)) == np.uint64(nodes[1])
+        second = ((keys >> np.uint64(BITS - depth - levels)) & np.uint64((1 << levels) - 1)) == np.uint64(nodes[1])
         middle = begin + np.add.reduceat(~second, begin, dtype=np.int64)
         frontier = np.stack([begin, middle, middle, end, np.full_like(begin, (nodes[0] ^ nodes[1]).bit_count())], axis=1)
         frontier = frontier[(middle > begin) & (end > middle)]
-        depth += HOT_LEVELS
+        depth += levels
     forest = Forest(len(keys))
     for i, j in walk(keys, frontier, depth, budget):
         forest.join(i, j)
@@ -175,6 +175,10 @@ def blocks(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def listed(values: list[int]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
 def rotated(fp: Column, by: int) -> Column:
     return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by))
 
@@ -189,17 +193,23 @@ def links(fps: DataFrame, budget: int = 2) -> DataFrame:
     depth = min(n for _, n in cut)
     rows = fps.select(F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), rotated(F.col("fp"), a).alias("key")) for k, (a, _) in enumerate(cut)])).alias("x")).select("x.*")
     rows = rows.withColumn("block", F.shiftrightunsigned("key", BITS - depth))
-    sizes = rows.groupBy("turn", "block").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_BLOCK).select("turn", "block", F.lit(True).alias("hot"))
+    sizes = rows.groupBy("turn", "block").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_BLOCK)
     rows = rows.join(sizes, ["turn", "block"], "left")
-    # hot blocks: the next few bits name a node; it meets each node at budget or fewer bits from it
-    node = F.shiftrightunsigned(F.col("key"), BITS - depth - HOT_LEVELS).bitwiseAND(F.lit((1 << HOT_LEVELS) - 1)).cast("int")
-    masks = [sum(1 << b for b in c) for r in range(budget + 1) for c in combinations(range(HOT_LEVELS), r)]
-    other = lambda m: node.bitwiseXOR(F.lit(m))
-    pairs = F.array(*[F.struct(F.least(node, other(m)).alias("a"), F.greatest(node, other(m)).alias("b")) for m in masks])
-    rows = rows.select("turn", "block", "key", F.explode(F.when(F.col("hot"), pairs).otherwise(F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))))).alias("p"))
-    rows = rows.select("turn", "block", "key", "p.a", "p.b")
+    # hot blocks: the next bits name a node; it meets each node at budget or fewer bits from it
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+    def pairs(levels: int) -> Column:
+        node = F.shiftrightunsigned(F.col("key"), BITS - depth - levels).bitwiseAND(F.lit((1 << levels) - 1)).cast("int")
+        masks = [sum(1 << b for b in c) for r in range(budget + 1) for c in combinations(range(levels), r)]
+        return F.transform(listed(masks), lambda m: pair(node, node.bitwiseXOR(m)))
+
+    level, met = F.lit(0), F.array(pair(F.lit(-1), F.lit(-1)))
+    for k, levels in enumerate(HOT_LEVELS):
+        hot = F.coalesce(F.col("n"), F.lit(0)) > HOT_BLOCK << (4 * k)
+        level, met = F.when(hot, F.lit(levels)).otherwise(level), F.when(hot, pairs(levels)).otherwise(met)
+    rows = rows.select("turn", "block", "key", level.alias("level"), F.explode(met).alias("p")).select("turn", "block", "level", "key", "p.a", "p.b")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "turn", "block", "a", "b").select("turn", "a", "b", "key")
+    dealt = rows.repartition(parts, "turn", "block", "a", "b").select("turn", "level", "a", "b", "key")
 
     def make():
         held: list[np.ndarray] = []
@@ -211,14 +221,15 @@ def links(fps: DataFrame, budget: int = 2) -> DataFrame:
         def finish():
             if not held:
                 return
-            turn, a, b, key = np.concatenate(held, axis=1)
-            key = key.view(np.uint64)
-            group = (turn + 1) * 4096 + (a + 1) * 64 + b + 1
-            for g in np.unique(group).tolist():
-                own = np.sort(key[group == g])
-                x, y = (g % 4096) // 64 - 1, g % 64 - 1
-                u, v = trie_edges(own, depth, budget, None if x == y else (x, y))
-                by = cut[g // 4096 - 1][0]
+            rows = np.concatenate(held, axis=1)
+            rows = rows[:, np.lexsort((rows[4].view(np.uint64), *rows[3::-1]))]
+            turns = np.flatnonzero(np.r_[True, (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)])
+            for lo, hi in zip(turns.tolist(), [*turns[1:].tolist(), rows.shape[1]], strict=True):
+                turn, level, x, y = rows[:4, lo].tolist()
+                own = rows[4, lo:hi].view(np.uint64)
+                # within a node, or a block that is not hot, all pairs count: deeper bits only say who is there
+                u, v = trie_edges(own, depth, budget, None if x == y else (x, y), level)
+                by = cut[turn][0]
                 back = (own >> np.uint64(by)) | (own << np.uint64(BITS - by)) if by else own
                 yield from zip(back[u].view(np.int64).tolist(), back[v].view(np.int64).tolist(), strict=True)
 
@@ -246,7 +257,8 @@ def classified(docs: DataFrame, budget: int, id_col: str, text_col: str, width:
         sketches = staged(marked.groupBy("tid").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch")), "sketches")
         more = sketch_links(sketches, texts, width)
     root = staged(classes(least, budget, more).join(least, "fp"), "classes")
-    smallest = root.groupBy("root").agg(F.min("_least").alias("component_id"))
+    # both sides are read from tables, so that adaptive execution may split the partition of a large component
+    smallest = staged(root.groupBy("root").agg(F.min("_least").alias("component_id")), "smallest")
     return marked.select(id_col, "fp"), root.join(smallest, "root").select("fp", "root", "component_id")
 
 

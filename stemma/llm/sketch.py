@@ -24,8 +24,8 @@ HASHES, ROWS, BANDS = 256, 4, 24
 LEAST = 0.66
 #: A sketch row has the bands' minhashes in whole, then the low bytes of all of them, which are enough for the candidates.
 BANDED = 2 * ROWS * BANDS
-#: Members of a bucket that one task compares; all of a larger bucket are candidates, for the comparison of the sets to tell apart.
-HOT_BUCKET = 100_000
+#: Members of a bucket that one task compares, all pairs at worst; all of a larger bucket are candidates, for the comparison of the sets to tell apart.
+HOT_BUCKET = 4_096
 #: Bytes of shingle hashes of a cluster that one task compares; a larger cluster is dealt to several tasks by pairs of parts.
 PART_BYTES = 1 << 24
 
