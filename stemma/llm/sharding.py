@@ -8,6 +8,7 @@ joins or leaves, only few slots change hands.
 
 from __future__ import annotations
 
+import math
 from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,23 +37,28 @@ def lookup_table(spark: SparkSession, shards: list[str], size: int) -> DataFrame
     names = F.array(*[F.lit(s) for s in shards])
     offsets = F.array(*[F.lit(int(md5(f"offset:{s}".encode()).hexdigest()[:15], 16) % size).cast("long") for s in shards])
     skips = F.array(*[F.lit(int(md5(f"skip:{s}".encode()).hexdigest()[:15], 16) % (size - 1) + 1).cast("long") for s in shards])
-    start = F.struct(F.array_repeat(F.lit(-1), size).alias("owner"), F.array_repeat(F.lit(0).cast("long"), n).alias("next"))
+    # slots lie in rows of about the root of their number, so a claim rewrites one row and the list of rows
+    wide = math.isqrt(size) + 1
+    start = F.struct(F.array_repeat(F.array_repeat(F.lit(-1), wide), wide).alias("owner"), F.array_repeat(F.lit(0).cast("long"), n).alias("next"))
+    put = lambda values, at, new: F.transform(values, lambda x, i: F.when(i == at, new(x)).otherwise(x))
 
     def turn(acc: Column, t: Column) -> Column:
         me = (t % n).cast("int")
         offset, skip = F.get(offsets, me), F.get(skips, me)
         slot = lambda j: ((offset + j * skip) % size).cast("int")
-        taken = lambda j: F.get(acc["owner"], slot(j)) >= 0
+        row, place = (lambda s: F.floor(s / wide).cast("int")), (lambda s: s % wide)
+        taken = lambda j: F.get(F.get(acc["owner"], row(slot(j))), place(slot(j))) >= 0
         # the next free preference: most turns find it among the first few
         near = F.filter(F.sequence(F.get(acc["next"], me), F.least(F.get(acc["next"], me) + 15, F.lit(size - 1))), lambda j: ~taken(j))
         rest = F.filter(F.sequence(F.get(acc["next"], me), F.lit(size - 1).cast("long")), lambda j: ~taken(j))
         j = F.coalesce(F.get(near, F.lit(0)), F.get(rest, F.lit(0)))
-        # F.transform keeps the arrays' length; only one place of each changes
-        claimed = F.struct(me.alias("me"), j.alias("j"), slot(j).alias("slot"))
-        done = F.transform(F.array(claimed), lambda c: F.struct(F.transform(acc["owner"], lambda x, i: F.when(i == c["slot"], c["me"]).otherwise(x)).alias("owner"), F.transform(acc["next"], lambda x, i: F.when(i == c["me"], c["j"] + 1).otherwise(x)).alias("next")))
+        claimed = F.struct(me.alias("me"), j.alias("j"), row(slot(j)).alias("row"), place(slot(j)).alias("place"))
+        owner = lambda c: put(acc["owner"], c["row"], lambda own: put(own, c["place"], lambda _: c["me"]))
+        done = F.transform(F.array(claimed), lambda c: F.struct(owner(c).alias("owner"), put(acc["next"], c["me"], lambda _: c["j"] + 1).alias("next")))
         return F.get(done, F.lit(0))
 
-    filled = spark.range(1).select(names.alias("names"), F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), start, turn)["owner"].alias("owner"))
+    folded = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), start, turn)["owner"]
+    filled = spark.range(1).select(names.alias("names"), F.slice(F.flatten(folded), 1, size).alias("owner"))
     return filled.select("names", F.posexplode("owner").alias("slot", "shard_id")).select("slot", "shard_id", F.get("names", F.col("shard_id")).alias("shard"))
 
 

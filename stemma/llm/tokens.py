@@ -130,8 +130,8 @@ def stable_boundary(text: str, left: np.ndarray, right: np.ndarray, low: int, hi
     """The first place in (low, high) where both encodings start a token and none can reach across.
 
     That is a single blank between visible characters: the pattern starts a token there whatever stands
-    around it.  From that place on to ``high`` both encodings must have the same token starts but for the
-    last few, which the end of the left chunk may have cut.
+    around it, so the tokens before it are those of the whole text (they come from the left chunk, which
+    goes on beyond it), and so are the tokens after it, from the right chunk.
     """
     both = np.intersect1d(left[(left > low) & (left < high)], right[(right > low) & (right < high)])
     for p in both.tolist():
