@@ -411,6 +411,96 @@ def test_licence_headers_as_published():
             assert [(x[0], x[3]) for x in known.licences(t)] == [(name, n)]
 
 
+# Licences as they stand in files: the known sentences in order, with what stands between and around them.
+FILES = {
+    "MIT": "MIT License|Copyright (c) 2020 Jane Doe|mit-grant|mit-notice|mit-as-is mit-no-event",
+    "MIT-0": "MIT No Attribution|Copyright 2020 Jane Doe|mit0-grant|mit-as-is mit-no-event",
+    "ISC": "ISC License|Copyright (c) 2020, Jane Doe|isc-grant|isc-as-is isc-no-event",
+    "0BSD": "BSD Zero Clause License|Copyright (c) 2020 Jane Doe|zero-bsd-grant|isc-as-is isc-no-event",
+    "BSD-2-Clause": "BSD 2-Clause License|Copyright (c) 2020, Jane Doe|All rights reserved.|bsd-grant|1. bsd-source|2. bsd-binary|bsd-as-is bsd-no-event",
+    "BSD-3-Clause": "BSD 3-Clause License|Copyright (c) 2020, Jane Doe|bsd-grant|* bsd-source|* bsd-binary|* bsd-endorse|bsd-as-is bsd-no-event",
+    "Apache-2.0": "apache-title|http://www.apache.org/licenses/|apache-terms|1. Definitions.|apache-definition|2. Grant of Copyright License.|apache-end",
+    "GPL-3.0-or-later": "prog.c does things|Copyright (C) 2020 Jane Doe|gpl-free|gpl-hope gpl-see|gpl-received If not, see <https://www.gnu.org/licenses/>.",
+    "GPL-2.0-or-later": "Copyright (C) 2020 Jane Doe|gpl2-free|gpl-hope gpl-see|gpl-received",
+    "LGPL-2.1-or-later": "Copyright (C) 2020 Jane Doe|lgpl21-free|lgpl-hope lgpl-see",
+    "AGPL-3.0-or-later": "Copyright (C) 2020 Jane Doe|agpl-free|gpl-hope agpl-see",
+    "GPL-3.0-only": "gpl3-title|Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>|gpl-verbatim|Preamble|gpl3-copyleft",
+    "MPL-2.0": "mpl2 mpl2-copy",
+    "EPL-2.0": "epl2-title|epl2-under epl-recipient",
+    "BSL-1.0": "bsl-title|bsl-grant|The copyright notices in the Software must be included.",
+    "Zlib": "Copyright (c) 2020 Jane Doe|zlib-as-is zlib-no-event|zlib-grant|1. zlib-origin|2. zlib-altered|3. zlib-notice",
+    "Unlicense": "unlicense|unlicense-anyone",
+    "OFL-1.1": "Copyright (c) 2020, Jane Doe|ofl-short|This license is copied below.|ofl-title",
+}
+
+
+def published(name, width=66):
+    known = lambda m: licenses.SENTENCES[m[0]][-1].replace("*", "Acme Corp") if m[0] in licenses.SENTENCES else m[0]
+    import re
+
+    return "\n\n".join(textwrap.fill(re.sub(r"[a-z0-9]+(?:-[a-z0-9]+)+|unlicense\b|mpl2\b", known, p), width) for p in FILES[name].split("|"))
+
+
+@pytest.mark.parametrize("name", sorted(FILES))
+def test_licence_files(name):
+    known = licenses.Recogniser()
+    for text in (published(name), published(name, 40), "\n".join(" * " + x for x in published(name).split("\n")), "intro words\n\n" + published(name) + "\n\n" + "x y. " * 3000):
+        assert [x[0] for x in known.licences(text)] == [name], text
+    assert [x[0] for x in known.licences(f"// SPDX-License-Identifier: {name}\nint main()")] == [name]
+
+
+def brute_licences(text, sentences, rules):
+    """Every form as a pattern over the whole text, every rule at every place."""
+    import re
+
+    found, gap = [], r"(?:[\W_]+[^\W_]+){0,%d}" % licenses.GAP
+    for name, forms in sentences.items():
+        for form in forms:
+            parts = [r"[\W_]+".join(map(re.escape, licenses.normal(p).split())) for p in form.split("*")]
+            pattern = (gap + r"[\W_]+").join(p for p in parts if p) + (gap if not parts[-1] else "")
+            for at in range(len(text)):
+                m = re.compile(pattern + r"(?![^\W_])", re.I).match(text, at)
+                if m and not re.match(r"[^\W_]", text[at - 1 : at] or " "):
+                    before = [0, *(e.end() for e in licenses.END.finditer(text) if e.end() <= at)][-1]
+                    end = licenses.END.search(text, m.end())
+                    stop = end.start() if end else len(text)
+                    if not re.search(r"[^\W_]", text[before:at]) and not re.search(r"[^\W_]", text[m.end() : stop]):
+                        found.append((at, -stop, name))
+    ids, reach = [], -1
+    for at, stop, name in sorted(found):
+        if at >= reach:
+            ids.append(name)
+            reach = -stop
+    out, at = [], 0
+    while at < len(ids):
+        fit = [(len(w), lic) for w, lic in rules if tuple(ids[at : at + len(w)]) == tuple(w)]
+        out += [max(fit)[1]] if fit else []
+        at += max(fit)[0] if fit else 1
+    return out
+
+
+def test_licences_equal_brute_force():
+    sentences = {"a": ["Alpha beta gamma."], "b": ["Alpha beta.", "Delta * omega v. 2."], "c": ["Delta"], "d": ["Beta, alpha: beta!"]}
+    rules = ((("a", "b"), "AB"), (("a",), "A"), (("b", "c", "a"), "BCA"), (("d",), "D"), (("c",), "C"))
+    known, r = licenses.Recogniser(sentences, rules), random.Random(4)
+    some = 0
+    for _ in range(400):
+        words = [r.choice(["alpha", "Beta", "beta", "gamma", "DELTA", "omega", "v", "2", "x"]) + r.choice([" ", " ", " ", ". ", "\n", "\n\n", ": ", ", ", "\n# "]) for _ in range(r.randrange(1, 25))]
+        text = "".join(words)
+        want = brute_licences(text, sentences, rules)
+        assert [x[0] for x in known.licences(text)] == want, text
+        some += len(want)
+    assert some > 100
+    with pytest.raises(ValueError):
+        licenses.Recogniser({"e": ["* alpha"]})
+
+
+def test_licences_of_very_long_texts():
+    known = licenses.Recogniser()
+    text = "Some words on a line\n" * 50_000 + published("MIT") + "\n" + "more words. " * 50_000
+    assert [x[0] for x in known.licences(text)] == ["MIT"]
+
+
 def test_licences_of_plain_lines(spark, real):
     want = Counter()
     forms = {licenses.normal(f): n for n, fs in licenses.SENTENCES.items() for f in fs}
