@@ -6,6 +6,7 @@ expected statistics, entropies and divergences are scalar expressions over the f
 
 from __future__ import annotations
 
+import math
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -133,18 +134,37 @@ def dirichlet_evidence(c: DataFrame, by: list[str], prior: float) -> DataFrame:
     return c.groupBy(*by).agg((lgamma(F.count("*") * float(prior)) - lgamma(F.sum("n") + F.count("*") * float(prior)) + F.sum(lgamma(F.col("n") + float(prior)) - lgamma(as_column(prior)))).alias("log_marginal"))
 
 
-def dirichlet_draw(df: DataFrame, by: list[str], alpha: str, *keys: str) -> DataFrame:
-    """A draw from Dir(alpha) for integer alpha: gammas as sums of -ln u with fixed uniforms, normalised within the group.
+#: Proposals of a gamma draw; each is refused in less than one of twenty cases.
+PROPOSALS = 16
 
-    ``keys`` name the columns that, with the number of the summand, fix each uniform.
-    """
-    from pyspark.sql import Window
 
+def log_gamma_draw(alpha: Column, *keys: str) -> Column:
+    """ln of a Gamma(alpha, 1) draw for any alpha > 0: Marsaglia and Tsang's squeeze-free test over fixed uniforms.
+
+    The first of ``PROPOSALS`` cubes of a normal that passes is taken; alpha below 1 is raised by one and
+    brought back by a power of a further uniform, in logarithms, so that tiny alphas don't vanish.
+    ``keys`` with a number and a letter fix each uniform.
+    """
     from stemma.functions.special import uniform
 
-    g = F.aggregate(F.transform(F.sequence(F.lit(1), F.col(alpha).cast("int")), lambda i: -F.ln(uniform(*keys, i))), F.lit(0.0), lambda a, x: a + x)
-    drawn = df.withColumn("_g", g)
-    return drawn.withColumn("theta", F.col("_g") / F.sum("_g").over(Window.partitionBy(*by))).drop("_g")
+    d = F.greatest(alpha, F.lit(0.0)) + F.when(alpha < 1, 1.0).otherwise(0.0) - 1 / 3
+
+    def proposal(i: Column) -> Column:
+        x = F.sqrt(-2 * F.ln(uniform(*keys, i, F.lit("a")))) * F.cos(F.lit(2 * math.pi) * uniform(*keys, i, F.lit("b")))
+        return F.struct(x.alias("x"), F.pow(1 + x / F.sqrt(9 * d), F.lit(3)).alias("v"), F.ln(uniform(*keys, i, F.lit("c"))).alias("lu"))
+
+    passed = F.filter(F.transform(F.sequence(F.lit(1), F.lit(PROPOSALS)), proposal), lambda p: (p["v"] > 0) & (p["lu"] < p["x"] * p["x"] / 2 + d - d * p["v"] + d * F.ln(F.greatest(p["v"], F.lit(1e-300)))))
+    v = F.coalesce(F.get(passed, F.lit(0))["v"], F.lit(1.0))
+    return F.ln(d * v) + F.when(alpha < 1, F.ln(uniform(*keys, F.lit("boost"))) / alpha).otherwise(0.0)
+
+
+def dirichlet_draw(df: DataFrame, by: list[str], alpha: str, *keys: str) -> DataFrame:
+    """A draw from Dir(alpha) in each group: gammas normalised in logarithms.  ``keys`` name the columns that fix the uniforms."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*by)
+    drawn = df.withColumn("_g", log_gamma_draw(F.col(alpha).cast("double"), *keys)).withColumn("_g", F.exp(F.col("_g") - F.max("_g").over(w)))
+    return drawn.withColumn("theta", F.col("_g") / F.sum("_g").over(w)).drop("_g")
 
 
 # ---- scalar normals -------------------------------------------------------------------------------

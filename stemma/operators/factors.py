@@ -135,17 +135,17 @@ def eliminate(factors: list[Factor], keep: Iterable[str]) -> Factor:
     return reduce(Factor.mul, sorted(factors, key=lambda f: -len(f.vars)))
 
 
-def check_size(structure: Structure, dims: dict[int, int], keep: Iterable[str] = ()) -> None:
+def check_size(scopes: list[set[str]], dims: dict[int, int], keep: Iterable[str] = ()) -> None:
     """Refuses plans whose intermediate factors would exceed ``MOST_CELLS`` rows per graph."""
-    scopes, keep = [set(s) for s in structure.scopes().values()], set(keep)
+    scopes, keep = [set(s) for s in scopes], set(keep)
+    cells = lambda joined: math.prod(dims[int(w[1:])] for w in joined)
     for v in elimination_order(scopes, keep):
         joined = set().union(*[s for s in scopes if v in s])
-        cells = 1
-        for w in joined:
-            cells *= dims[int(w[1:])]
-        if cells > MOST_CELLS:
-            raise ValueError(f"a factor over {sorted(joined)} would have {cells} cells")
+        if cells(joined) > MOST_CELLS:
+            raise ValueError(f"a factor over {sorted(joined)} would have {cells(joined)} cells")
         scopes = [s for s in scopes if v not in s] + [joined - {v}]
+    if cells(set().union(*scopes)) > MOST_CELLS:
+        raise ValueError(f"the result over {sorted(set().union(*scopes))} would have {cells(set().union(*scopes))} cells")
 
 
 @dataclass(frozen=True)
@@ -186,9 +186,8 @@ class Inference:
     def __init__(self, structure: Structure, model: Model, graphs: DataFrame, obs: DataFrame, groups: dict[int, int] | None = None, allowed: DataFrame | None = None, renormalize: bool = False):
         structure.order()
         groups = groups or dict.fromkeys(structure.nodes, 0)
-        check_size(structure, model.dims(groups))
         self.structure, self.groups, self.model = structure, groups, model
-        graphs = graphs.select(GRAPH).distinct()
+        graphs = self.graphs = graphs.select(GRAPH).distinct()
         parts: dict[tuple[str, int], Factor] = {}
         for kind, n in structure.scopes():
             x = var(n)
@@ -211,12 +210,19 @@ class Inference:
             parts[kind, n] = f
         self.parts = parts
 
+    def solve(self, ks: Iterable[tuple[str, int]], keep: Iterable[str]) -> Factor:
+        """The product of some parts, summed down to ``keep``."""
+        own, keep = [self.parts[k] for k in ks], set(keep)
+        check_size([set(f.vars) for f in own], self.model.dims(self.groups), keep)
+        return eliminate(own, keep)
+
     def joint(self, *nodes: int) -> Factor:
-        return eliminate(list(self.parts.values()), map(var, nodes))
+        return self.solve(self.parts, map(var, nodes))
 
     def log_marginal(self) -> DataFrame:
-        """graph_id, logz.  Components are multiplied, so graphs that fall apart count in full."""
-        return eliminate(list(self.parts.values()), ()).df.select(GRAPH, F.col("logw").alias("logz"))
+        """graph_id, logz.  Components are multiplied, so graphs that fall apart count in full; impossible evidence gives minus infinity."""
+        found = self.solve(self.parts, ()).df.select(GRAPH, F.col("logw").alias("logz"))
+        return self.graphs.join(found, GRAPH, "left").select(GRAPH, F.coalesce("logz", F.lit(-math.inf)).alias("logz"))
 
     def family(self, child: int) -> Factor:
         return self.joint(*self.structure.parents.get(child, ()), child)
@@ -243,11 +249,11 @@ class Inference:
         own = {("prior", node), ("cpt", node), ("like", node)}
         cut = set(cut) - {node}
         ks = self.reach(node, lambda k: k in own, cut)
-        return eliminate([self.parts[k] for k in ks], {var(node), *(var(c) for c in cut)} & {v for k in ks for v in self.parts[k].vars})
+        return self.solve(ks, {var(node), *(var(c) for c in cut)} & {v for k in ks for v in self.parts[k].vars})
 
     def down(self, node: int, edge: int, cut: Iterable[int] = ()) -> Factor:
         """V: everything that is reached down one hyperedge from the node."""
         parents, children = self.structure.edges[edge]
         cut = set(cut) - {node}
         ks = self.reach(node, lambda k: k[0] == "cpt" and k[1] in children, cut)
-        return eliminate([self.parts[k] for k in ks], {var(node), *(var(c) for c in cut)} & {v for k in ks for v in self.parts[k].vars})
+        return self.solve(ks, {var(node), *(var(c) for c in cut)} & {v for k in ks for v in self.parts[k].vars})

@@ -6,12 +6,17 @@ hyperedge above it (its parents') and any number below.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemma.operators.components import components as linked
 from stemma.sources.scratch import staged
 
 KEY = ["graph_id", "edge"]
+#: Rows of the incidence table of a graph that one task walks.
+TASK_ROWS = 1_000_000
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -83,45 +88,73 @@ def pairs(edges: DataFrame) -> DataFrame:
     return parents(edges).select("graph_id", F.col("other").alias("parent"), F.col("node").alias("child"))
 
 
-def recursive(spark: SparkSession, sql: str, **views: DataFrame) -> DataFrame:
-    """A recursive query over views.  Its depth is that of one graph, but its rows are those of all graphs, so their limit is lifted."""
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+def by_size(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Graphs that a task may hold, and the larger ones (None: there are none)."""
+    large = edges.groupBy("graph_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > TASK_ROWS).select("graph_id")
+    if large.isEmpty():
+        return edges, None
+    large = staged(large, "large")
+    return edges.join(large, "graph_id", "left_anti"), edges.join(large, "graph_id", "left_semi")
 
 
 def levels(edges: DataFrame, forward: bool = True) -> DataFrame:
-    """graph_id, node, level: the longest path from a root (or to a leaf), by a recursive query.
+    """graph_id, node, level: the longest path from a root (or to a leaf).
 
-    A node's work can start once all nodes of lower levels are done.  Directed cycles never end, so check
-    :func:`directed_cycles` first.
+    A node's work can start once all nodes of lower levels are done.  Graphs of up to ``TASK_ROWS`` rows
+    are walked by one task each, larger ones by a frontier over tables, one job a level.  Directed cycles raise.
     """
-    step = pairs(edges) if forward else pairs(edges).select("graph_id", F.col("child").alias("parent"), F.col("parent").alias("child"))
-    start = roots(edges) if forward else leaves(edges)
-    sql = """
-      with recursive walk(graph_id, node, level) as (
-        select graph_id, node, 0L from _starts
-        union all
-        select s.graph_id, s.child, w.level + 1 from walk w join _steps s on s.graph_id = w.graph_id and s.parent = w.node
-      ) select graph_id, node, max(level) as level from walk group by graph_id, node"""
-    return recursive(edges.sparkSession, sql, _starts=start, _steps=step)
+    small, large = by_size(edges)
+    done = walked(small, nodes(small).withColumn("marked", F.lit(False)), forward).select("graph_id", "node", "level")
+    if large is None:
+        return done
+    step = staged(steps(large, forward).distinct(), "steps")
+    now, seen = staged((roots if forward else leaves)(large).withColumn("level", F.lit(0).cast("long")), "frontier"), []
+    most = nodes(large).count()
+    while not now.isEmpty():
+        if len(seen) > most:
+            raise ValueError("directed cycle")
+        seen.append(now)
+        after = now.join(step, (step["graph_id"] == now["graph_id"]) & (step["a"] == now["node"])).select(step["graph_id"], F.col("b").alias("node"), (F.col("level") + 1).alias("level"))
+        now = staged(after.distinct(), "frontier")
+    reached = reduce(DataFrame.unionByName, seen, done.limit(0)).groupBy("graph_id", "node").agg(F.max("level").alias("level"))
+    return done.unionByName(reached)
+
+
+def steps(edges: DataFrame, forward: bool) -> DataFrame:
+    """(graph_id, a, b): a comes before b; a pair once for each hyperedge."""
+    ab = ("parent", "child") if forward else ("child", "parent")
+    return pairs(edges).select("graph_id", F.col(ab[0]).alias("a"), F.col(ab[1]).alias("b"))
+
+
+def walked(edges: DataFrame, marked: DataFrame, forward: bool) -> DataFrame:
+    """graph_id, node, level, n (marked nodes before it, by paths), a graph in a task.  marked: graph_id, node, marked for every node."""
+    from stemma.operators.local import walk_rows
+
+    own = marked.select("graph_id", F.col("node").alias("a"), F.col("node").alias("b"), "marked")
+    rows = steps(edges, forward).withColumn("marked", F.lit(False)).unionByName(own)
+    return rows.groupBy("graph_id").applyInPandas(walk_rows, "graph_id long, node long, level long, n long")
 
 
 def path_counts(edges: DataFrame, marked: DataFrame, above: bool) -> DataFrame:
     """graph_id, node, n: marked ancestors (or descendants), one reached over two paths counting twice.
 
-    marked: graph_id, node.
+    marked: graph_id, node.  Counts are sums over the neighbours' counts, never over paths; above 2^63 they raise.
     """
-    step = pairs(edges).select("graph_id", F.col("child" if above else "parent").alias("a"), F.col("parent" if above else "child").alias("b"))
-    sql = """
-      with recursive walk(graph_id, node, other) as (
-        select graph_id, a, b from _steps
-        union all
-        select s.graph_id, w.node, s.b from walk w join _steps s on s.graph_id = w.graph_id and s.a = w.other
-      ) select w.graph_id, w.node, count(*) as n from walk w join _marked m on m.graph_id = w.graph_id and m.node = w.other group by w.graph_id, w.node"""
-    counted = recursive(edges.sparkSession, sql, _steps=step, _marked=marked)
-    return nodes(edges).join(counted, ["graph_id", "node"], "left").na.fill(0, ["n"])
+    flags = nodes(edges).join(marked.select("graph_id", "node").distinct().withColumn("marked", F.lit(True)), ["graph_id", "node"], "left").na.fill(False, ["marked"])
+    small, large = by_size(edges)
+    done = walked(small, flags.join(nodes(small), ["graph_id", "node"], "left_semi"), above).select("graph_id", "node", "n")
+    if large is None:
+        return done
+    step = staged(steps(large, above).groupBy("graph_id", "a", "b").agg(F.count("*").alias("k")), "steps")
+    at = staged(levels(large, above).join(flags, ["graph_id", "node"]), "levels")
+    found = staged(at.filter("level = 0").select("graph_id", "node", "marked", F.lit(0).cast("long").alias("n")), "counts")
+    for level in range(1, (at.agg(F.max("level")).first()[0] or 0) + 1):
+        own = at.filter(F.col("level") == level)
+        into = own.join(step, (step["graph_id"] == own["graph_id"]) & (step["b"] == own["node"])).select(own["graph_id"], "node", own["marked"], "a", "k")
+        before = found.select("graph_id", F.col("node").alias("a"), (F.col("marked").cast("long") + F.col("n")).alias("m"))
+        summed = into.join(before, ["graph_id", "a"]).groupBy("graph_id", "node", "marked").agg(F.sum(F.col("m") * F.col("k")).alias("n"))
+        found = found.unionByName(staged(summed, "counts"))
+    return done.unionByName(found.select("graph_id", "node", "n"))
 
 
 def select_root(edges: DataFrame, affected: DataFrame) -> DataFrame:
@@ -150,19 +183,27 @@ def message_schedule(edges: DataFrame, cut: DataFrame | None = None) -> DataFram
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """graph_id, node, component: the lowest node that can be reached, by propagating minima to a fixed point."""
-    now = nodes(edges).withColumn("component", F.col("node"))
-    together = edges.select("graph_id", "edge", "node").distinct()
-    n = None
-    for _ in range(64):
-        least = together.join(now, ["graph_id", "node"]).groupBy(*KEY).agg(F.min("component").alias("m"))
-        best = together.join(least, KEY).groupBy("graph_id", "node").agg(F.min("m").alias("component"))
-        now = staged(best, "components")
-        total = now.agg(F.sum("component")).first()[0]
-        if total == n:
-            return now
-        n = total
-    raise RuntimeError("components did not settle")
+    """graph_id, node, component: the lowest node that can be reached; each hyperedge is a star around its lowest node."""
+    together = edges.select(*KEY, "node").distinct()
+    least = together.groupBy(*KEY).agg(F.min("node").alias("v"))
+    links = together.join(least, KEY).select("graph_id", F.col("node").alias("u"), "v")
+    return nodes(edges).join(linked(links, ["graph_id"]), ["graph_id", "node"], "left").select("graph_id", "node", F.coalesce("root", "node").alias("component"))
+
+
+def defects(edges: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """graph_id, defect, n: hyperedges without parents or children, nodes (of ``named``: graph_id, node) in no hyperedge, nodes with two hyperedges above.
+
+    A sound graph has no row.
+    """
+    sides = edges.groupBy(*KEY).agg(*[F.sum((F.col("role") == x).cast("long")).alias(x) for x in "pc"]).filter("p = 0 or c = 0")
+    out = sides.groupBy("graph_id").agg(F.count("*").alias("n")).withColumn("defect", F.lit("edge without a side"))
+    twice = members(edges, "c").groupBy("graph_id", "node").agg(F.count_distinct("edge").alias("k")).filter("k > 1").groupBy("graph_id").agg(F.count("*").alias("n")).withColumn("defect", F.lit("two edges above"))
+    out = out.unionByName(twice)
+    if named is not None:
+        # the set difference of two node tables
+        alone = named.select("graph_id", "node").exceptAll(nodes(edges)).groupBy("graph_id").agg(F.count("*").alias("n")).withColumn("defect", F.lit("isolated node"))
+        out = out.unionByName(alone)
+    return out.select("graph_id", "defect", "n")
 
 
 def directed_cycles(edges: DataFrame) -> DataFrame:

@@ -42,6 +42,29 @@ def cyclic_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[:1] if bad else pdf["graph_id"].iloc[:0]})
 
 
+def walk_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Levels and path sums of one graph in topological order; rows (a, b) are steps, rows (a, a) name the nodes."""
+    own = pdf["a"] == pdf["b"]
+    marked = {int(n): bool(m) for n, m in zip(pdf.loc[own, "a"], pdf.loc[own, "marked"], strict=True)}
+    after: dict[int, list[int]] = {n: [] for n in marked}
+    waits = dict.fromkeys(marked, 0)
+    for a, b in pdf.loc[~own, ["a", "b"]].itertuples(index=False):
+        after[a].append(b)
+        waits[b] += 1
+    level, n = dict.fromkeys(marked, 0), dict.fromkeys(marked, 0)
+    ready = [x for x, k in waits.items() if not k]
+    for x in ready:
+        for y in after[x]:
+            level[y] = max(level[y], level[x] + 1)
+            n[y] += n[x] + marked[x]
+            waits[y] -= 1
+            if not waits[y]:
+                ready.append(y)
+    if len(ready) < len(marked):
+        raise ValueError("directed cycle")
+    return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "node": ready, "level": [level[x] for x in ready], "n": [n[x] for x in ready]})
+
+
 def core(pairs: set[tuple[int, int]]) -> set[tuple[int, int]]:
     """The incidences that lie between cycles: nodes and hyperedges of degree one are stripped until none is left."""
     while True:

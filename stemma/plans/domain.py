@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,9 +11,13 @@ from stemma.functions import mendel
 from stemma.functions.special import uniform, uniform_sql
 from stemma.operators import evaluation, learning, local
 from stemma.operators.factors import cells
+from stemma.plans.chains import ctes
 from stemma.plans.registry import longs, query, r, table
 from stemma.sources import corpus, pedigree
-from stemma.sources.scratch import shared_dir
+from stemma.sources.scratch import shared_dir, staged
+
+#: Parts of the cross-validation.
+FOLDS = 3
 
 # ---- Mendelian tables -----------------------------------------------------------------------------
 
@@ -118,34 +123,71 @@ def inheritance_comparison(spark, d):
     return c.select("pedigree", "hypothesis", r("p").alias("p"), "is_best")
 
 
+#: Chance of passing the allele on, by state: two alleles, one, none; a male's only one on the X chromosome, or none.
+PASSES = {"two": (1.0, 0.5, 0.0), "male": (1.0, 0.0)}
+
+
+def joint_terms(m, g) -> str:
+    """ln of the joint weight of the family in ``wide``, from tables m and each person's group g(n)."""
+    terms = [f"ln(({m.prior[g(n)]!r})[x{n} + 1])" for n in range(4)]
+    terms += [f"ln(({m.cpt[(g(a), g(b), g(c))]!r})[x{a} + 1][x{b} + 1][x{c} + 1])" for a, b, c in ((0, 1, 4), (2, 3, 5), (4, 5, 6), (4, 5, 7))]
+    return " + ".join(terms + [f"ln(({m.emission[g(n)]!r})[x{n} + 1][y{n} + 1])" for n in range(8)])
+
+
+FITS = " and ".join(f"(e{n} = 'all' or list_contains(string_split(e{n}, ','), x{n}::varchar))" for n in range(8))
+
+
+def wide_sql() -> str:
+    """CTEs up to ``wide``: evidence and observations of each family and hypothesis in one row."""
+    base = comparison_sql()
+    return base[: base.index(", j as (")]
+
+
 def carrier_sql() -> str:
-    """Chance of passing the allele on, from the enumerated joint of the recessive hypothesis."""
-    base = comparison_sql().replace(", z as (select graph_id, hypothesis, ln(sum(exp(w))) as z from j group by 1, 2)", "")
-    m = MEANS["AR"]
-    terms = [f"ln(({m.prior[0]!r})[x{n} + 1])" for n in range(4)]
-    terms += [f"ln(({m.cpt[(0, 0, 0)]!r})[x{a} + 1][x{b} + 1][x{c} + 1])" for a, b, c in ((0, 1, 4), (2, 3, 5), (4, 5, 6), (4, 5, 7))]
-    terms += [f"ln(({m.emission[0]!r})[x{n} + 1][y{n} + 1])" for n in range(8)]
-    ok = " and ".join(f"(e{n} = 'all' or list_contains(string_split(e{n}, ','), x{n}::varchar))" for n in range(8))
-    joint = f"jj as (select graph_id, {', '.join(f'x{n}' for n in range(8))}, exp({' + '.join(terms)}) as v from wide, {', '.join(f'range(3) r{n}(x{n})' for n in range(8))} where pattern = 'AR' and {ok})"
-    base = base[: base.index(", j as (")]
-    return f"{base}, {joint} " + " union all ".join(f"select graph_id as pedigree, {n}::bigint as node, round(sum(v * (case x{n} when 0 then 1.0 when 1 then 0.5 else 0.0 end)) / sum(v), 6) + 0.0 as p from jj group by 1" for n in range(8))
+    """Chance of passing the allele on, from the enumerated joints of the recessive and the X-linked hypothesis."""
+    ctes, parts = [], []
+    for pattern in ("AR", "XL"):
+        m, g = MEANS[pattern], (lambda n, xl=pattern == "XL": SEX[n] if xl else 0)
+        states = ", ".join(f"range({len(m.emission[g(n)])}) r{n}(x{n})" for n in range(8))
+        ctes.append(f"j{pattern} as materialized (select graph_id, {', '.join(f'x{n}' for n in range(8))}, exp({joint_terms(m, g)}) as v from wide, {states} where pattern = '{pattern}' and {FITS})")
+        for n in range(8):
+            passes = PASSES["male" if pattern == "XL" and SEX[n] else "two"]
+            parts.append(f"select graph_id as pedigree, '{pattern}' as hypothesis, {n}::bigint as node, round(sum(v * ({list(passes)!r})[x{n} + 1]) / sum(v), 6) + 0.0 as p from j{pattern} group by 1")
+    return f"{wide_sql()}, {', '.join(ctes)} " + " union all ".join(parts)
 
 
 @query(carrier_sql())
 def carrier_probability(spark, d):
-    packed = hypotheses(spark, d).filter("graph_id % 3 = 1")
-    post = packed.groupBy("graph_id").applyInPandas(local.posterior_rows(MEANS["AR"]), local.POSTERIOR).filter("kind = 'node'")
-    wide = post.groupBy(F.floor(F.col("graph_id") / 3).alias("pedigree"), "node").agg(F.array(*[F.coalesce(F.max(F.when(F.col("state") == k, F.col("value"))), F.lit(0.0)) for k in range(3)]).alias("p"))
-    return wide.select("pedigree", "node", r(mendel.carrier_probability(F.lit("female"), F.col("p"), F.lit("AR"))).alias("p"))
+    """Chance of every person to pass the allele on, by their sex, under the recessive and the X-linked hypothesis."""
+    out = None
+    for k, pattern in enumerate(mendel.PATTERNS):
+        if pattern == "AD":
+            continue
+        packed = hypotheses(spark, d).filter(F.col("graph_id") % 3 == k)
+        post = packed.groupBy("graph_id").applyInPandas(local.posterior_rows(MEANS[pattern]), local.POSTERIOR).filter("kind = 'node'")
+        wide = post.groupBy(F.floor(F.col("graph_id") / 3).alias("pedigree"), "node").agg(F.array(*[F.coalesce(F.max(F.when(F.col("state") == k, F.col("value"))), F.lit(0.0)) for k in range(3)]).alias("p"))
+        sex = F.when(F.col("node") % 2 == 1, "male").otherwise("female")
+        own = wide.select("pedigree", F.lit(pattern).alias("hypothesis"), "node", r(mendel.carrier_probability(sex, F.col("p"), F.lit(pattern))).alias("p"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-@query()
+DRAWS = learning.prior_draws(mendel.priors("AR", 20.0, 3.0), 8, seed=4)
+
+
+def prior_mc_sql() -> str:
+    """The mean over the draws (fixed tables) of P(Y | draw), each by enumeration."""
+    states = ", ".join(f"range(3) r{n}(x{n})" for n in range(8))
+    joints = " union all ".join(f"select graph_id, {k} as draw, {joint_terms(m, lambda n: 0)} as w from wide, {states} where pattern = 'AR' and {FITS}" for k, m in enumerate(DRAWS))
+    return f"{wide_sql()}, j as ({joints}), z as (select graph_id, draw, sum(exp(w)) as p from j group by 1, 2) select graph_id as pedigree, round(ln(avg(p)), 6) as log_marginal from z group by 1"
+
+
+@query(prior_mc_sql())
 def prior_mc_marginal(spark, d):
     """ln of the mean of P(Y | draw) over eight draws of the recessive prior, for each pedigree."""
-    draws = learning.prior_draws(mendel.priors("AR", 20.0, 3.0), 8, seed=4)
-    z = learning.log_marginals(hypotheses(spark, d).filter("graph_id % 3 = 1"), draws)
     from stemma.functions.special import lse_agg
 
+    z = learning.log_marginals(hypotheses(spark, d).filter("graph_id % 3 = 1"), DRAWS)
     return z.groupBy(F.floor(F.col("graph_id") / 3).alias("pedigree")).agg(r(lse_agg("logz") - F.ln(F.count("*"))).alias("log_marginal"))
 
 
@@ -240,21 +282,25 @@ def group_features(spark, d):
 
 @query()
 def pattern_classifier(spark, d):
-    """A forest on pedigree features against the most probable pattern: its training accuracy by class."""
+    """A forest on pedigree features against the most probable pattern: accuracy by class on pedigrees of folds it didn't see."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     best = log_marginals(spark, d).groupBy("pedigree").agg(F.max_by("hypothesis", "logz").alias("best"))
     p = people(spark, d).groupBy(F.col("graph_id").alias("pedigree")).agg(F.sum(F.col("affected").cast("int")).alias("n"), F.sum((F.col("affected") & (F.col("grp") == 1)).cast("int")).alias("males"), F.sum((F.col("affected") & (F.col("node") < 4)).cast("int")).alias("roots"))
     rows = p.join(best, "pedigree").withColumn("label", (F.array_position(F.array(*map(F.lit, mendel.PATTERNS)), F.col("best")) - 1).cast("double"))
-    data = VectorAssembler(inputCols=["n", "males", "roots"], outputCol="features").transform(rows)
-    fitted = RandomForestClassifier(numTrees=10, maxDepth=4, seed=1).fit(data).transform(data)
-    return evaluation.class_accuracy(fitted, "label", "prediction").select("truth", "n", r("accuracy").alias("accuracy"))
+    data = staged(evaluation.folds(rows, "pedigree", FOLDS), "features")
+    assembled = VectorAssembler(inputCols=["n", "males", "roots"], outputCol="features").transform(data)
+    forest, out = RandomForestClassifier(numTrees=10, maxDepth=4, seed=1), None
+    for k in range(FOLDS):
+        own = forest.fit(assembled.filter(F.col("fold") != k)).transform(assembled.filter(F.col("fold") == k)).select("label", "prediction")
+        out = own if out is None else out.unionByName(own)
+    return evaluation.class_accuracy(out, "label", "prediction").select("truth", "n", r("accuracy").alias("accuracy"))
 
 
-@query()
+@query(f"with recursive {ctes()} select seq_id, round(logz, 6) as log_marginal, round(logz, 6) as streamed from z")
 def online_filter(spark, d):
-    """The stream's final message of every user beside the batch query's log-likelihood."""
+    """The stream's final message of every user beside the batch query's log-likelihood; the stream writes to files."""
     from stemma.plans import chains
     from stemma.streaming.online import online_filter as stream_filter
 
@@ -262,8 +308,8 @@ def online_filter(spark, d):
     stream = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
     code = F.array_position(F.array(*map(F.lit, chains.EVENTS)), F.col("event_type")) - 1
     rows = stream.select("user_id", F.col("ts").cast("timestamp").alias("at"), code.cast("int").alias("y"))
-    q = stream_filter(rows, chains.MODEL, "user_id", "at", "y").writeStream.format("memory").queryName("online_filter_out").outputMode("update").option("checkpointLocation", f"{shared_dir(spark)}/online-{id(rows)}").trigger(availableNow=True).start()
+    folder = f"{shared_dir(spark)}/online-{uuid.uuid4().hex}"
+    q = stream_filter(rows, chains.MODEL, "user_id", "at", "y").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    last = spark.table("online_filter_out").groupBy("seq_id").agg(F.max_by("logz", "n").alias("streamed"))
+    last = spark.read.parquet(f"{folder}/out").groupBy("seq_id").agg(F.max_by("logz", "n").alias("streamed"))
     return chains.hmm_log_marginal(spark, d).join(last, "seq_id", "left").select("seq_id", "log_marginal", r("streamed").alias("streamed"))
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from itertools import combinations_with_replacement
 
 from pyspark.sql import functions as F
@@ -182,14 +184,24 @@ def beta_binomial_log_marginal(spark, d):
     return rounded(expfam.dirichlet_evidence(expfam.counts(c, "l_linestatus", "y"), ["l_linestatus"], 2.0), "log_marginal", digits=4)
 
 
-_U = uniform_sql("o_orderstatus", "o_orderpriority", "i")
+_U = lambda *k: uniform_sql("o_orderstatus", "o_orderpriority", *k)
+_ALPHA = "case count(*) % 4 when 0 then 0.3 when 1 then 0.9 when 2 then 2.5 else count(*) / 7.0 end"
+GAMMA_SQL = f"""with a as (select o_orderstatus, o_orderpriority, ({_ALPHA})::double as alpha from orders group by 1, 2),
+    d as (select *, alpha + (case when alpha < 1 then 1 else 0 end) - {1 / 3!r} as d from a),
+    x as (select *, sqrt(-2 * ln({_U('i', "'a'")})) * cos({2 * math.pi!r} * {_U('i', "'b'")}) as x, ln({_U('i', "'c'")}) as lu from d, range(1, {expfam.PROPOSALS + 1}) t(i)),
+    v as (select *, power(1 + x / sqrt(9 * d), 3) as v from x),
+    f as (select o_orderstatus, o_orderpriority, min(i) as i from v where v > 0 and lu < x * x / 2 + d - d * v + d * ln(greatest(v, 1e-300)) group by 1, 2),
+    g as (select o_orderstatus, o_orderpriority, alpha, ln(d * v) + case when alpha < 1 then ln({_U("'boost'")}) / alpha else 0 end as g from v join f using (o_orderstatus, o_orderpriority, i)),
+    m as (select *, exp(g - max(g) over (partition by o_orderstatus)) as e from g)"""
 
 
-@query(f"with a as (select o_orderstatus, o_orderpriority, 1 + count(*) % 7 as alpha from orders group by 1, 2), g as (select o_orderstatus, o_orderpriority, alpha, sum(-ln({_U})) as g from a, range(1, 8) t(i) where i <= alpha group by 1, 2, 3) select o_orderstatus, o_orderpriority, alpha, round(g / sum(g) over (partition by o_orderstatus), 8) as theta from g")
+@query(f"{GAMMA_SQL} select o_orderstatus, o_orderpriority, round(alpha, 6) as alpha, round(e / sum(e) over (partition by o_orderstatus), 8) as theta from m")
 def dirichlet_sample(spark, d):
-    """Draws with integer parameters, fixed by hash uniforms."""
-    a = expfam.counts(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority").withColumn("alpha", 1 + F.col("n") % 7).drop("n")
-    return rounded(expfam.dirichlet_draw(a, ["o_orderstatus"], "alpha", "o_orderstatus", "o_orderpriority"), "theta", digits=8)
+    """Draws with parameters below and above one, fixed by hash uniforms."""
+    n = F.col("n")
+    alpha = F.when(n % 4 == 0, 0.3).when(n % 4 == 1, 0.9).when(n % 4 == 2, 2.5).otherwise(n / 7.0)
+    a = expfam.counts(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority").withColumn("alpha", alpha).drop("n")
+    return rounded(rounded(expfam.dirichlet_draw(a, ["o_orderstatus"], "alpha", "o_orderstatus", "o_orderpriority"), "theta", digits=8), "alpha")
 
 
 # ---- transitions and tensors ----------------------------------------------------------------------
@@ -271,10 +283,10 @@ def gumbel_softmax_sample(spark, d):
 
 @query(
     """with m as (select event_type, median(value) as med from events group by 1), dv as (select event_id, event_type, abs(value - med) as dev from events join m using (event_type)),
-    md as (select event_type, median(dev) as mad from dv group by 1) select event_id, event_type, round(0.6745 * dev / mad, 6) as z, cast(0.6745 * dev / mad > 3.5 as bigint) as is_outlier from dv join md using (event_type) where 0.6745 * dev / mad > 2"""
+    md as (select event_type, median(dev) as mad from dv group by 1) select event_id, event_type, round(0.6745 * dev / mad, 6) as z, cast(0.6745 * dev / mad > 3.5 as bigint) as is_outlier from dv join md using (event_type)"""
 )
 def mad_outliers(spark, d):
-    df = expfam.is_outlier(table(spark, d, "events"), ["event_type"], "value").filter("z > 2")
+    df = expfam.is_outlier(table(spark, d, "events"), ["event_type"], "value")
     return longs(df.select("event_id", "event_type", r("z").alias("z"), "is_outlier"), "is_outlier")
 
 

@@ -114,6 +114,41 @@ def graph_components(spark, d):
     return hg.components(edges(spark))
 
 
+BROKEN = {0: "0>1 ; 1>2", 1: "0,1>2 ; 3>2"}
+B_SQL = corpus.edges_sql(BROKEN)
+LOOSE = "(select 0::bigint as graph_id, 0::bigint as edge, 'p' as role, 0::bigint as node, 0::bigint as ord union all select 2, 0, 'p', 5, 0 union all select 2, 1, 'c', 5, 0)"
+
+
+@query(
+    f"""with e as (select * from {B_SQL} union select * from {LOOSE}), s as (select graph_id, edge, sum((role = 'p')::int) as p, sum((role = 'c')::int) as c from e group by 1, 2),
+    named as (select distinct graph_id, node from e union select 0, 99 union select 1, 98 union select 1, 97)
+    select graph_id, 'edge without a side' as defect, count(*) as n from s where p = 0 or c = 0 group by 1
+    union all select graph_id, 'two edges above', count(*) from (select graph_id, node from e where role = 'c' group by 1, 2 having count(distinct edge) > 1) group by 1
+    union all select graph_id, 'isolated node', count(*) from (select * from named except select graph_id, node from e) group by 1"""
+)
+def graph_defects(spark, d):
+    """What makes a graph invalid: hyperedges without parents or children, nodes with two hyperedges above, nodes in none."""
+    loose = spark.createDataFrame([(2, 0, "p", 5, 0), (2, 1, "c", 5, 0)], "graph_id long, edge long, role string, node long, ord long")
+    e = corpus.edge_table(spark, BROKEN).union(loose)
+    named = hg.nodes(e).union(spark.createDataFrame([(0, 99), (1, 98), (1, 97)], "graph_id long, node long"))
+    return hg.defects(e, named)
+
+
+@query(f"select graph_id, node from {N} except (select graph_id, node from {P} union select graph_id, node from {C} where edge = 0)")
+def graph_set_operations(spark, d):
+    """Nodes that are no parents and not in the first hyperedge: set union and difference of node tables."""
+    e = edges(spark)
+    first = hg.members(e, "c").filter("edge = 0").select("graph_id", "node")
+    return hg.nodes(e).subtract(hg.members(e, "p").select("graph_id", "node").union(first))
+
+
+@query(f"select graph_id, node from {P} intersect select graph_id, node from {C}")
+def graph_inner_nodes(spark, d):
+    """Nodes that are parents and children."""
+    e = edges(spark)
+    return hg.members(e, "p").select("graph_id", "node").intersect(hg.members(e, "c").select("graph_id", "node"))
+
+
 @query(f"with s as (select graph_id, edge, sum(case when role = 'p' then 1 else 0 end)::bigint as n_parents from {E} group by 1, 2) select n_parents, count(*) as n_edges from s group by 1")
 def graph_parameter_shapes(spark, d):
     return hg.parameter_shapes(edges(spark))

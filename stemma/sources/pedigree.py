@@ -125,10 +125,9 @@ def keyword_vector(text: Column, keywords=KEYWORDS) -> Column:
 
 
 def ethnicities(text: Column) -> Column:
-    """The parts of a free text: split at the first kind of separator found; letters only, lower case."""
-    t = F.coalesce(text, F.lit(""))
-    parts = F.when(F.instr(t, "/") > 0, F.split(t, "/")).when(F.instr(t, ";") > 0, F.split(t, ";")).when(F.instr(t, ",") > 0, F.split(t, ",")).when(F.instr(t, "and") > 0, F.split(t, "and")).otherwise(F.array(t))
-    return F.filter(F.transform(parts, lambda x: F.regexp_replace(F.lower(x), r"[ .\-]", "")), lambda x: x != "")
+    """The names in a free text, lower case, letters only: parted by strokes, commas, semicolons, plus and ampersand signs or the word "and"."""
+    named = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[/,;+&]|\band\b")
+    return F.filter(F.transform(named, lambda x: F.regexp_replace(x, r"[^\p{L}]+", "")), lambda x: F.length(x) > 0)
 
 
 def regions(names: Column, spelling: dict[str, str], region_of: dict[str, str]) -> Column:

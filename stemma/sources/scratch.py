@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one of our own only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary one of its own; on a cluster that is an error,
+    because executors don't share the driver's disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="stemma-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -30,10 +30,17 @@ def step(model: HMM, alpha: np.ndarray | None, y: int) -> np.ndarray:
         return np.log(np.exp(alpha - top) @ np.array(model.a)) + top + like
 
 
-def online_filter(stream: DataFrame, model: HMM, key: str, time: str, y: str, delay: str = "10 minutes") -> DataFrame:
-    """seq_id, n, logz, alpha after each micro-batch, for the keys it touched.  ``time`` is a timestamp."""
+def online_filter(stream: DataFrame, model: HMM, key: str, time: str, y: str, delay: str = "10 minutes", idle: int = 30 * 86_400, mode: str = "append") -> DataFrame:
+    """seq_id, n, logz, alpha after each micro-batch, for the keys it touched.  ``time`` is a timestamp.
+
+    A key's state goes ``idle`` seconds of event time after its last event, so the store doesn't grow
+    for ever; what comes later starts a new sequence.  ``mode``: that of the query's sink.
+    """
 
     def work(seq: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, n, alpha = state.get if state.exists else (-math.inf, 0, None)
         alpha = None if alpha is None else np.array(alpha)
         rows = pd.concat(list(parts)).sort_values([time, y])
@@ -43,8 +50,9 @@ def online_filter(stream: DataFrame, model: HMM, key: str, time: str, y: str, de
             alpha, last, n = step(model, alpha, int(value)), float(at), n + 1
         state.update((last, n, [float(x) for x in alpha] if alpha is not None else None))
         if alpha is not None:
+            state.setTimeoutTimestamp(max(int((last + idle) * 1000), state.getCurrentWatermarkMs() + 1))
             top = alpha.max()
             yield pd.DataFrame([(seq[0], n, float(np.log(np.exp(alpha - top).sum()) + top), [float(x) for x in alpha])], columns=["seq_id", "n", "logz", "alpha"])
 
     rows = stream.withWatermark(time, delay).select(key, time, y)
-    return rows.groupBy(key).applyInPandasWithState(work, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(work, OUT, STATE, mode, GroupStateTimeout.EventTimeTimeout)

@@ -355,7 +355,7 @@ def test_feedback_sets():
 def test_size_guard():
     s = factors.Structure.parse("0,1,2,3>4")
     with pytest.raises(ValueError):
-        factors.check_size(s, dict.fromkeys(s.nodes, 40))
+        factors.check_size([set(v) for v in s.scopes().values()], dict.fromkeys(s.nodes, 40))
 
 
 def test_learning_never_falls(spark):
@@ -420,3 +420,89 @@ def test_navigation_on_a_small_graph(spark):
     pairs = lambda df: {(r["node"], r["other"]) for r in df.collect()}
     assert pairs(hypergraph.mates(e)) == {(0, 1), (1, 0)} and pairs(hypergraph.siblings(e)) == {(2, 3), (3, 2)}
     assert {(r["node"], r["level"]) for r in hypergraph.levels(e).collect()} == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)}
+
+
+def random_graph(seed: int, n: int) -> str:
+    g = np.random.default_rng(seed)
+    out = []
+    for child in range(1, n):
+        ps = sorted({int(x) for x in g.integers(0, child, g.integers(1, 3))})
+        out.append(f"{','.join(map(str, ps))}>{child}")
+    return " ; ".join(out)
+
+
+def deep_graphs():
+    """A path of a thousand levels, forty diamonds, and a random graph."""
+    diamonds = " ; ".join(f"{3 * k}>{3 * k + 1},{3 * k + 2} ; {3 * k + 1},{3 * k + 2}>{3 * k + 3}" for k in range(40))
+    return {0: " ; ".join(f"{k}>{k + 1}" for k in range(1000)), 1: diamonds, 2: random_graph(3, 60)}
+
+
+@pytest.mark.parametrize("forward", [True, False])
+def test_deep_graphs(spark, forward):
+    edges = corpus.edge_table(spark, deep_graphs())
+    got = {(r["graph_id"], r["node"]): r["level"] for r in hypergraph.levels(edges, forward).collect()}
+    assert all(got[0, k] == (k if forward else 1000 - k) for k in range(1001))
+    assert got[1, 120 if forward else 0] == 80
+    marked = spark.createDataFrame([(0, 0), (0, 1000), (1, 0), (1, 120)], "graph_id long, node long")
+    n = {(r["graph_id"], r["node"]): r["n"] for r in hypergraph.path_counts(edges, marked, forward).collect()}
+    assert n[1, 120 if forward else 0] == 2**40 and n[0, 500] == 1 and n[0, 0 if forward else 1000] == 0
+    comp = {(r["graph_id"], r["node"]): r["component"] for r in hypergraph.components(edges).collect()}
+    assert set(comp.values()) == {0} and len(comp) == len(got)
+
+
+@pytest.mark.parametrize("forward", [True, False])
+def test_large_graphs_go_by_tables(spark, monkeypatch, forward):
+    edges = corpus.edge_table(spark, {0: "0>1 ; 1>2 ; 0,2>3 ; 3>4", 1: "0>1", 2: random_graph(5, 12)})
+    marked = spark.createDataFrame([(0, 0), (0, 4), (2, 0), (2, 3), (2, 11)], "graph_id long, node long")
+    want = [sorted(map(tuple, f.collect())) for f in (hypergraph.levels(edges, forward), hypergraph.path_counts(edges, marked, forward))]
+    monkeypatch.setattr(hypergraph, "TASK_ROWS", 4)
+    assert [sorted(map(tuple, f.collect())) for f in (hypergraph.levels(edges, forward), hypergraph.path_counts(edges, marked, forward))] == want
+
+
+def test_graph_plans_leave_the_session_alone(spark):
+    before = [t.name for t in spark.catalog.listTables()]
+    hypergraph.levels(corpus.edge_table(spark, {0: "0>1"})).collect()
+    assert [t.name for t in spark.catalog.listTables()] == before
+
+
+def test_impossible_evidence_keeps_its_graph(spark):
+    model = factors.Model({0: [1.0, 0.0]}, {0: [[0.5, 0.5], [0.5, 0.5]]}, {(0, 0): [[1.0, 0.0], [0.5, 0.5]]})
+    nodes = spark.createDataFrame([(g, n) for g in (0, 1) for n in (0, 1)], "graph_id long, node long")
+    obs = spark.createDataFrame([], "graph_id long, node long, m long, y long")
+    allowed = spark.createDataFrame([(1, 1, 1)], "graph_id long, node long, state long")
+    inf = factors.Inference(factors.Structure.parse("0>1"), model, nodes, obs, allowed=allowed)
+    assert {r["graph_id"]: r["logz"] for r in inf.log_marginal().collect()} == {0: 0.0, 1: float("-inf")}
+
+
+def test_joint_is_guarded(spark, monkeypatch):
+    model = factors.Model({0: [0.5, 0.5]}, {0: [[1.0], [1.0]]}, {(0, 0): [[0.5, 0.5], [0.5, 0.5]]})
+    nodes = spark.createDataFrame([(0, 0)], "graph_id long, node long")
+    inf = factors.Inference(factors.Structure.parse("0>1 ; 1>2 ; 2>3"), model, nodes, spark.createDataFrame([], "graph_id long, node long, m long, y long"))
+    monkeypatch.setattr(factors, "MOST_CELLS", 8)
+    inf.joint(0, 1)
+    with pytest.raises(ValueError):
+        inf.joint(0, 1, 2, 3)
+
+
+def test_gamma_draws_have_the_moments_of_any_alpha(spark):
+    for alpha in (0.2, 0.5, 1.0, 1.9, 30.0, 1e9):
+        x = spark.range(20_000).select(F.exp(expfam.log_gamma_draw(F.lit(alpha), "id")).alias("g")).agg(F.avg("g"), F.variance("g")).first()
+        assert abs(x[0] / alpha - 1) < 5 / (20_000 * alpha) ** 0.5 + 1e-9 and abs(x[1] / alpha - 1) < 0.35
+    tiny = expfam.dirichlet_draw(spark.range(50).selectExpr("id % 5 as k", "id", "1e-4 as alpha"), ["k"], "alpha", "id").groupBy("k").agg(F.sum("theta").alias("s")).collect()
+    assert all(abs(r["s"] - 1) < 1e-9 for r in tiny)
+
+
+def test_ethnicities_split_at_whole_words(spark):
+    texts = [("Holland and Finland", ["holland", "finland"]), ("A/B, c", ["a", "b", "c"]), (None, []), ("Chi-nese./ other", ["chinese", "other"]), ("and", []), ("Andorran & Polish; é", ["andorran", "polish", "é"])]
+    df = spark.createDataFrame([(t,) for t, _ in texts], "t string")
+    assert [r["e"] for r in df.select(pedigree.ethnicities(F.col("t")).alias("e")).collect()] == [w for _, w in texts]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from stemma.sources.scratch import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf)))
