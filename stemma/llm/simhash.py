@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from stemma.llm.common import map_rows, staged
-from stemma.llm.components import components
 from stemma.llm.sketch import sketch, sketch_links
+from stemma.operators.components import components
 
 #: Node pairs walked at once; beyond it the walk goes part by part, so memory is bounded.
 FRONTIER = 1 << 19

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.common import map_rows, staged
-from stemma.llm.components import components
+from stemma.operators.components import components
 
 HASHES, ROWS, BANDS = 256, 4, 24
 #: Of 256 minhashes so many agree in candidates: at a similarity of 0.8 fewer do in one pair of ten million, and no band does in three of a million.

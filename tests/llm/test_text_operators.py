@@ -14,7 +14,8 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from stemma.llm import chat, components, decontaminate, fingerprint, langid, licenses, packing, sharding, simhash, sketch, tokens, toxicity
+from stemma.llm import chat, decontaminate, fingerprint, langid, licenses, packing, sharding, simhash, sketch, tokens, toxicity
+from stemma.operators import components
 
 from tests.conftest import DATA
 
