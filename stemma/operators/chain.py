@@ -53,6 +53,36 @@ def bind(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+#: Steps that a scan appends to one list before it starts the next.
+RUN = 512
+
+
+def scan(xs: Column, start: Column, step) -> Column:
+    """Array of ``start`` and of the state after each x, state' = step(state, x).
+
+    A fold that appends copies all it has at each step.  Here it appends to a run of ``RUN`` states, and
+    the runs are joined at the end, so the time is linear but for the list of runs.
+    """
+
+    def runs(values: Column) -> Column:
+        n = F.ceil(F.size(values) / RUN).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.slice(values, i * RUN + 1, F.lit(RUN)))
+
+        def run(acc: Column, part: Column) -> Column:
+            made = F.aggregate(part, F.array(acc["last"]), lambda got, x: F.concat(got, F.array(step(F.element_at(got, -1), x))))
+            return bind(made, lambda got: F.struct(F.element_at(got, -1).alias("last"), F.concat(acc["done"], F.array(F.slice(got, F.lit(2), F.size(got)))).alias("done")))
+
+        zero = F.transform(F.array(start), lambda x: F.struct(x.alias("last"), F.array(F.array(x)).alias("done")))
+        return F.flatten(F.aggregate(cut, F.get(zero, F.lit(0)), run)["done"])
+
+    return bind(xs, runs)
+
+
+def rest(xs: Column) -> Column:
+    """All but the first."""
+    return F.slice(xs, F.lit(2), F.size(xs))
+
+
 def together(*names: str) -> Column:
     return F.struct(*[F.col(n) for n in names])
 
@@ -125,10 +155,7 @@ def forward(model: HMM, steps: Column, known: bool = False) -> Column:
     first = at(steps, 0)
     start = vector([s + at(first["like"], k) for k, s in enumerate(start_row(model, known_of(first, known)))])
 
-    def add(acc: Column, x: Column) -> Column:
-        return F.concat(acc, F.array(forward_step(model, at(acc, F.size(acc) - 1), x["like"], known_of(x, known))))
-
-    return F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), F.array(start), add)
+    return scan(rest(steps), start, lambda alpha, x: forward_step(model, alpha, x["like"], known_of(x, known)))
 
 
 def last_alpha(model: HMM, steps: Column, known: bool = False) -> Column:
@@ -144,12 +171,7 @@ def log_marginal(model: HMM, steps: Column, known: bool = False) -> Column:
 
 def backward(model: HMM, steps: Column, known: bool = False) -> Column:
     """array<array<double>>: ln P(y_t+1.. | x_t) for each t."""
-    zero = F.array(vector([0.0] * model.k))
-
-    def add(acc: Column, x: Column) -> Column:
-        return F.concat(acc, F.array(backward_step(model, at(acc, F.size(acc) - 1), x["like"], known_of(x, known))))
-
-    return F.reverse(F.aggregate(F.reverse(F.slice(steps, F.lit(2), F.size(steps))), zero, add))
+    return F.reverse(scan(F.reverse(rest(steps)), vector([0.0] * model.k), lambda beta, x: backward_step(model, beta, x["like"], known_of(x, known))))
 
 
 def messages(model: HMM, seqs: DataFrame, like, known: bool = False) -> DataFrame:
@@ -195,18 +217,21 @@ def argmax(xs: list[Column]) -> Column:
 
 
 def viterbi(model: HMM, steps: Column) -> Column:
-    """The most probable states: a fold with back pointers and one back along them; ties go to the lower state."""
+    """The most probable states: a scan with back pointers and one back along them; ties go to the lower state."""
     first = at(steps, 0)
-    start = F.struct(vector([ln(model.pi[k]) + at(first["like"], k) for k in range(model.k)]).alias("score"), F.array().cast("array<array<int>>").alias("back"))
+    ks = range(model.k)
+    start = F.struct(vector([ln(model.pi[k]) + at(first["like"], k) for k in ks]).alias("score"), F.array(*[F.lit(0)] * model.k).alias("back"))
 
     def add(acc: Column, x: Column) -> Column:
-        came = [[at(acc["score"], j) + ln(model.a[j][k]) for j in range(model.k)] for k in range(model.k)]
-        score = vector([F.greatest(*c) + at(x["like"], k) if model.k > 1 else c[0] + at(x["like"], k) for k, c in enumerate(came)])
-        return F.struct(score.alias("score"), F.concat(acc["back"], F.array(F.array(*[argmax(c) for c in came]))).alias("back"))
+        came = [[at(acc["score"], j) + ln(model.a[j][k]) for j in ks] for k in ks]
+        score = vector([(F.greatest(*c) if model.k > 1 else c[0]) + at(x["like"], k) for k, c in enumerate(came)])
+        return F.struct(score.alias("score"), F.array(*[argmax(c) for c in came]).alias("back"))
 
-    done = F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), start, add)
-    end = F.array(argmax([at(done["score"], k) for k in range(model.k)]))
-    return F.reverse(F.aggregate(F.reverse(done["back"]), end, lambda path, b: F.concat(path, F.array(at(b, at(path, F.size(path) - 1))))))
+    def path(done: Column) -> Column:
+        end = F.element_at(done, -1)["score"]
+        return F.reverse(scan(F.reverse(rest(done)), argmax([at(end, k) for k in ks]), lambda state, x: at(x["back"], state)))
+
+    return bind(scan(rest(steps), start, add), path)
 
 
 def draw(weights: list[Column], u: Column) -> Column:
@@ -224,33 +249,28 @@ def draw(weights: list[Column], u: Column) -> Column:
     return out
 
 
+def backwards(n: Column) -> Column:
+    """n - 2, .., 0; empty for n < 2."""
+    return F.when(n > 1, F.reverse(F.sequence(F.lit(0), n - 2))).otherwise(F.array().cast("array<int>"))
+
+
 def ffbs(model: HMM, us: Column) -> Column:
     """States drawn from P(x | Y): filter forward (column alpha), sample backward with the uniforms ``us`` by t."""
 
     def walk(m: Column) -> Column:
         n = F.size(m["alpha"])
         last = at(m["alpha"], n - 1)
-        end = F.array(draw([at(last, k) for k in range(model.k)], at(m["us"], n - 1)))
-
-        def add(path: Column, t: Column) -> Column:
-            nxt, a = at(path, F.size(path) - 1), at(m["alpha"], t)
-            return F.concat(path, F.array(draw([at(a, j) + at(vector([ln(p) for p in model.a[j]]), nxt) for j in range(model.k)], at(m["us"], t))))
-
-        back = F.when(n > 1, F.reverse(F.sequence(F.lit(0), n - 2))).otherwise(F.array().cast("array<int>"))
-        return F.reverse(F.aggregate(back, end, add))
+        end = draw([at(last, k) for k in range(model.k)], at(m["us"], n - 1))
+        before = lambda nxt, t: draw([at(at(m["alpha"], t), j) + at(vector([ln(p) for p in model.a[j]]), nxt) for j in range(model.k)], at(m["us"], t))
+        return F.reverse(scan(backwards(n), end, before))
 
     return bind(F.struct(F.col("alpha"), us.alias("us")), walk)
 
 
 def simulate(model: HMM, us: Column) -> Column:
     """States drawn from the prior with the uniforms ``us``."""
-    start = F.array(draw([F.lit(ln(p)) for p in model.pi], at(us, 0)))
-
-    def add(path: Column, u: Column) -> Column:
-        prev = at(path, F.size(path) - 1)
-        return F.concat(path, F.array(draw([at(vector([ln(model.a[j][k]) for j in range(model.k)]), prev) for k in range(model.k)], u)))
-
-    return F.aggregate(F.slice(us, F.lit(2), F.size(us)), start, add)
+    start = draw([F.lit(ln(p)) for p in model.pi], at(us, 0))
+    return scan(rest(us), start, lambda prev, u: draw([at(vector([ln(model.a[j][k]) for j in range(model.k)]), prev) for k in range(model.k)], u))
 
 
 def emit(model: HMM, state: Column, u: Column) -> Column:
@@ -333,23 +353,25 @@ def kalman_update(mean: Column, var: Column, ys: Column, c: float, r: float) ->
     return F.aggregate(ys, zero, add)
 
 
-def kalman_filter(steps: Column, model: LDS1, a: Column | None = None) -> Column:
+def kalman_filter(steps: Column, model: LDS1, a: Column | None = None, entering: tuple[Column, Column] | None = None) -> Column:
     """array<struct(m, v, l)> of filtered means, variances and cumulative log-likelihoods.
 
     steps: array of struct(ys array<double>, u double, z int); u is a control (null: none); with modes,
-    ``a`` is an array of transition factors that z picks from.
+    ``a`` is an array of transition factors that z picks from.  ``entering``: mean and variance predicted
+    for the first step, if it isn't the start.
     """
-    first = at(steps, 0)
-    start = kalman_update(F.lit(model.m0), F.lit(model.v0), first["ys"], model.c, model.r)
+    first, (m0, v0) = at(steps, 0), entering or (F.lit(model.m0), F.lit(model.v0))
 
-    def add(acc: Column, x: Column) -> Column:
-        s = at(acc, F.size(acc) - 1)
-        f = at(a, x["z"]) if a is not None else F.lit(model.a)
+    def add(s: Column, x: Column) -> Column:
+        f = factor_of(model, a, x)
         new = kalman_update(f * s["m"] + F.coalesce(x["u"], F.lit(0.0)), f * f * s["v"] + model.q, x["ys"], model.c, model.r)
-        made = F.transform(F.array(new), lambda n: F.struct(n["m"].alias("m"), n["v"].alias("v"), (s["l"] + n["l"]).alias("l")))
-        return F.concat(acc, made)
+        return bind(new, lambda n: F.struct(n["m"].alias("m"), n["v"].alias("v"), (s["l"] + n["l"]).alias("l")))
+
+    return scan(rest(steps), kalman_update(m0, v0, first["ys"], model.c, model.r), add)
 
-    return F.aggregate(F.slice(steps, F.lit(2), F.size(steps)), F.array(start), add)
+
+def factor_of(model: LDS1, a: Column | None, x: Column) -> Column:
+    return at(a, x["z"]) if a is not None else F.lit(model.a)
 
 
 def kalman_smoother(filtered: Column, steps: Column, model: LDS1) -> Column:
@@ -358,19 +380,17 @@ def kalman_smoother(filtered: Column, steps: Column, model: LDS1) -> Column:
     def walk(m: Column) -> Column:
         n = F.size(m["f"])
         last = at(m["f"], n - 1)
-        end = F.array(F.struct(last["m"].alias("m"), last["v"].alias("v"), F.lit(0.0).alias("c")))
+        end = F.struct(last["m"].alias("m"), last["v"].alias("v"), F.lit(0.0).alias("c"))
+        return F.reverse(scan(backwards(n), end, lambda s, t: smoothed_step(model, at(m["f"], t), s, F.lit(model.a), at(m["s"], t + 1)["u"])))
 
-        def add(acc: Column, t: Column) -> Column:
-            s, f = at(acc, F.size(acc) - 1), at(m["f"], t)
-            u = F.coalesce(at(m["s"], t + 1)["u"], F.lit(0.0))
-            p = model.a * model.a * f["v"] + model.q
-            g = f["v"] * model.a / p
-            return F.concat(acc, F.array(F.struct((f["m"] + g * (s["m"] - model.a * f["m"] - u)).alias("m"), (f["v"] + g * g * (s["v"] - p)).alias("v"), (g * s["v"]).alias("c"))))
+    return bind(F.struct(filtered.alias("f"), steps.alias("s")), walk)
 
-        back = F.when(n > 1, F.reverse(F.sequence(F.lit(0), n - 2))).otherwise(F.array().cast("array<int>"))
-        return F.reverse(F.aggregate(back, end, add))
 
-    return bind(F.struct(filtered.alias("f"), steps.alias("s")), walk)
+def smoothed_step(model: LDS1, f: Column, s: Column, a: Column, u: Column) -> Column:
+    """struct(m, v, c) of a step from its filtered f and the smoothed s after it, to which a and u lead."""
+    p = a * a * f["v"] + model.q
+    g = f["v"] * a / p
+    return F.struct((f["m"] + g * (s["m"] - a * f["m"] - F.coalesce(u, F.lit(0.0)))).alias("m"), (f["v"] + g * g * (s["v"] - p)).alias("v"), (g * s["v"]).alias("c"))
 
 
 def lds_moments(df: DataFrame) -> DataFrame:

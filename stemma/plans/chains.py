@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stemma.functions.special import digamma_sql, uniform, uniform_sql
 from stemma.operators import blocks, chain, dense
-from stemma.plans.registry import query, r, rounded, table
+from stemma.plans.registry import longs, query, r, rounded, table
 
 EVENTS = ["click", "error", "purchase", "signup", "view"]
 MODEL = chain.HMM((0.6, 0.4), ((0.7, 0.3), (0.2, 0.8)), ((0.1, 0.2, 0.3, 0.15, 0.25), (0.3, 0.25, 0.1, 0.2, 0.15)))
@@ -111,6 +111,18 @@ def hmm_forward_blocked(spark, d):
     return rows.select("seq_id", r(F.col("a")[0]).alias("a0"), r(F.col("a")[1]).alias("a1")).groupBy("seq_id", "a0", "a1").agg(F.count("*").alias("n"))
 
 
+@query(f"with recursive {ctes()} {per_state('b{k}', 'beta', 'bwd')}")
+def hmm_backward_blocked(spark, d):
+    m = blocks.steps_of(blocks.backward(MODEL, daily(spark, d), like), "beta", "v")
+    return rounded(states(m, "beta"), "beta")
+
+
+def states(m, name):
+    """One row per step and state from arrays v by state."""
+    rows = m.select("seq_id", F.col("t").cast("long").alias("t"), F.posexplode("v").alias("state", name))
+    return rows.withColumn("state", F.col("state").cast("long"))
+
+
 @query(f"with recursive {ctes()} {per_state('b{k}', 'beta', 'bwd')}")
 def hmm_backward(spark, d):
     m = event_sequences(spark, d).withColumn("beta", chain.backward(MODEL, steps_of(like)))
@@ -120,22 +132,39 @@ def hmm_backward(spark, d):
 POST = "(select seq_id, t, exp(a0 + b0 - logz) as g0, exp(a1 + b1 - logz) as g1 from fwd join bwd using (seq_id, t) join z using (seq_id))"
 
 
+@query(f"with recursive {ctes()} {per_state('g{k}', 'p', POST)}")
+def hmm_smoothed_blocked(spark, d):
+    m = blocks.smoothed(blocks.messages(MODEL, daily(spark, d), like))
+    return rounded(states(blocks.steps_of(m, "p", "v"), "p"), "p")
+
+
 @query(f"with recursive {ctes()} {per_state('g{k}', 'p', POST)}")
 def hmm_smoothed(spark, d):
     m = event_messages(spark, d)
     return rounded(chain.exploded(m, chain.smoothed(m), "p"), "p")
 
 
-@query(
+PAIR = (
     f"with recursive {ctes()} "
     + " union all ".join(f"select f.seq_id, f.t, {j}::bigint as src, {k}::bigint as dst, round(exp(f.a{j} + ln({MODEL.a[j][k]!r}) + l.l{k} + b.b{k} - logz), 6) + 0.0 as p from fwd f join bwd b on b.seq_id = f.seq_id and b.t = f.t + 1 join lik l on l.seq_id = f.seq_id and l.t = f.t + 1 join z on z.seq_id = f.seq_id" for j in range(2) for k in range(2))
 )
+
+
+@query(PAIR)
 def hmm_pair_joint(spark, d):
     m = event_messages(spark, d)
     rows = m.select("seq_id", F.posexplode(chain.pair_joint(MODEL)).alias("t", "x")).select("seq_id", F.col("t").cast("long").alias("t"), F.posexplode("x").alias("c", "p"))
     return rows.select("seq_id", "t", F.floor(F.col("c") / K).alias("src"), (F.col("c") % K).cast("long").alias("dst"), r("p").alias("p"))
 
 
+@query(PAIR)
+def hmm_pair_joint_blocked(spark, d):
+    """The same pairs from blocks, those across the blocks' ends included."""
+    m = blocks.pair_joint(MODEL, blocks.messages(MODEL, daily(spark, d), like))
+    rows = blocks.steps_of(m, "p", "x").select("seq_id", "t", F.posexplode("x").alias("c", "p"))
+    return rows.select("seq_id", F.col("t").cast("long").alias("t"), F.floor(F.col("c") / K).alias("src"), (F.col("c") % K).cast("long").alias("dst"), r("p").alias("p"))
+
+
 A = [[math.log(p) for p in row] for row in MODEL.a]
 VITERBI = f"""with recursive lik as materialized ({LIKE}), len as (select seq_id, max(t) as n from lik group by 1),
   best as (select seq_id, t, ln({MODEL.pi[0]!r}) + l0 as s0, ln({MODEL.pi[1]!r}) + l1 as s1, 0 as p0, 0 as p1 from lik where t = 0
@@ -153,6 +182,13 @@ def hmm_viterbi(spark, d):
     return p.select("seq_id", F.col("t").cast("long").alias("t"), F.col("state").cast("long").alias("state"))
 
 
+@query(VITERBI)
+def hmm_viterbi_blocked(spark, d):
+    """The same path: each block lists its path for every state that may follow it."""
+    p = blocks.steps_of(blocks.viterbi(MODEL, daily(spark, d), like), "path", "state")
+    return longs(p, "t", "state")
+
+
 CUT = "case when event_id % 17 = 3 then event_id % 2 end"
 
 
@@ -278,18 +314,26 @@ def draw_sql(w0: str, w1: str, u: str) -> str:
 U_FFBS = uniform_sql("'ffbs'", "seq_id", "t")
 
 
-@query(
-    f"""with recursive {ctes()}, fu as (select f.*, {U_FFBS} as u from fwd f), draw as (
+FFBS = f"""with recursive {ctes()}, fu as (select f.*, {U_FFBS} as u from fwd f), draw as (
       select f.seq_id, f.t, {draw_sql('a0', 'a1', 'u')} as state from fu f join len n on n.seq_id = f.seq_id and n.n = f.t
       union all select f.seq_id, f.t, {draw_sql(f'f.a0 + case when d.state = 0 then {A[0][0]!r} else {A[0][1]!r} end', f'f.a1 + case when d.state = 0 then {A[1][0]!r} else {A[1][1]!r} end', 'f.u')} from draw d join fu f on f.seq_id = d.seq_id and f.t = d.t - 1)
       select seq_id, t, state::bigint as state from draw"""
-)
+
+
+@query(FFBS)
 def hmm_ffbs_sample(spark, d):
     m = event_sequences(spark, d).withColumn("alpha", chain.forward(MODEL, steps_of(like)))
     us = F.transform(F.sequence(F.lit(0), F.size("alpha") - 1), lambda t: uniform(F.lit("ffbs"), F.col("seq_id"), t))
     return m.withColumn("us", us).select("seq_id", F.posexplode(chain.ffbs(MODEL, F.col("us"))).alias("t", "state")).select("seq_id", F.col("t").cast("long").alias("t"), F.col("state").cast("long").alias("state"))
 
 
+@query(FFBS)
+def hmm_ffbs_sample_blocked(spark, d):
+    """The same draws from blocks."""
+    p = blocks.ffbs(MODEL, daily(spark, d), like, lambda t: uniform(F.lit("ffbs"), F.col("seq_id"), t))
+    return longs(blocks.steps_of(p, "path", "state"), "t", "state")
+
+
 N_SIM = 12
 
 
@@ -362,6 +406,20 @@ def kalman1d_filter(spark, d):
     return f.select("seq_id", F.col("t").cast("long").alias("t"), r("s.m").alias("mean"), r("s.v").alias("variance"))
 
 
+def kalman_blocks(spark, d, z=None):
+    """Steps in blocks of a day."""
+    b = blocks.block_table(coded(spark, d), "user_id", ["ts", "event_id"], F.datediff(F.col("ts"), F.lit("1970-01-01").cast("date")), "value", "event_id")
+    step = lambda x: F.struct(F.array(F.ln(1 + x["value"])).alias("ys"), F.lit(None).cast("double").alias("u"), (z(x) if z else F.lit(0)).cast("int").alias("z"))
+    return b.select("seq_id", "block", F.transform("xs", step).alias("steps"))
+
+
+@query(f"with recursive {kalman_ctes()} select seq_id, t, round(m, 6) as mean, round(v, 6) as variance from kf")
+def kalman1d_filter_blocked(spark, d):
+    """The same filter from five numbers for each block."""
+    f = blocks.steps_of(blocks.kalman_filtered(LDS, kalman_blocks(spark, d)), "f", "s")
+    return f.select("seq_id", F.col("t").cast("long").alias("t"), r("s.m").alias("mean"), r("s.v").alias("variance"))
+
+
 @query(f"with recursive {kalman_ctes()} select k.seq_id, round(ll, 5) as log_marginal from kf k join len n on n.seq_id = k.seq_id and n.n = k.t")
 def kalman1d_log_marginal(spark, d):
     return kalman_steps(spark, d).select("seq_id", r(F.element_at(chain.kalman_filter(F.col("steps"), LDS), -1)["l"], 5).alias("log_marginal"))
@@ -374,6 +432,13 @@ def switching_kalman1d(spark, d):
     return steps.select("seq_id", r(F.element_at(chain.kalman_filter(F.col("steps"), LDS, chain.vector(MODES)), -1)["l"], 5).alias("log_marginal"))
 
 
+@query(f"with recursive {kalman_ctes('(case when b.event_id % 2 = 0 then ' + repr(MODES[0]) + ' else ' + repr(MODES[1]) + ' end)')} select k.seq_id, round(ll, 5) as log_marginal from kf k join len n on n.seq_id = k.seq_id and n.n = k.t")
+def switching_kalman1d_blocked(spark, d):
+    """Modes that change inside the blocks and at their ends."""
+    b = kalman_blocks(spark, d, lambda x: x["event_id"] % 2)
+    return blocks.kalman_log_marginal(LDS, b, chain.vector(MODES)).select("seq_id", r("logz", 5).alias("log_marginal"))
+
+
 _P = f"({LDS.a!r} * {LDS.a!r} * k.v + {LDS.q!r})"
 _G = f"(k.v * {LDS.a!r} / {_P})"
 SMOOTH = f""", ks as (select k.seq_id, k.t, k.m, k.v, 0.0::double as c from kf k join len n on n.seq_id = k.seq_id and n.n = k.t
@@ -391,6 +456,12 @@ def kalman1d_smooth(spark, d):
     return s.select("seq_id", F.col("t").cast("long").alias("t"), r("s.m").alias("mean"), r("s.v").alias("variance"))
 
 
+@query(f"with recursive {kalman_ctes()} {SMOOTH} select seq_id, t, round(m, 6) as mean, round(v, 6) as variance from ks")
+def kalman1d_smooth_blocked(spark, d):
+    s = blocks.steps_of(blocks.kalman_smoothed(LDS, kalman_blocks(spark, d)), "s", "s")
+    return s.select("seq_id", F.col("t").cast("long").alias("t"), r("s.m").alias("mean"), r("s.v").alias("variance"))
+
+
 @query(
     f"""with recursive {kalman_ctes()} {SMOOTH}, j as (select a.*, b.m as nm, b.v as nv, o.o from ks a left join ks b on b.seq_id = a.seq_id and b.t = a.t + 1 join obs o on o.seq_id = a.seq_id and o.t = a.t),
     mo as (select sum(case when nm is not null then m * m + v end) as xx, sum(nm * m + c) as xn, sum(nm * nm + nv) as nn, count(nm) as steps, sum(m * m + v) as all_xx, sum(o * m) as yx, sum(o * o) as yy, count(o) as obs from j)

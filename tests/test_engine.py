@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stemma.functions import mendel, special
-from stemma.operators import chain, dense, expfam, factors, hypergraph, learning, local
+from stemma.operators import blocks, chain, dense, expfam, factors, hypergraph, learning, local
 from stemma.plans import graphs
 from stemma.sources import corpus, pedigree
 
@@ -506,3 +506,78 @@ def test_a_cluster_needs_a_shared_folder():
     conf = SimpleNamespace(get=lambda *a: None)
     with pytest.raises(ValueError):
         shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf)))
+
+
+# ---- long chains ----------------------------------------------------------------------------------
+
+
+def long_chain(spark, n: int):
+    return spark.range(n).select(F.lit(1).cast("long").alias("k"), F.col("id").alias("t"), (F.pmod(F.xxhash64("id"), F.lit(3))).cast("int").alias("y"))
+
+
+LONG = chain.HMM((0.6, 0.4), ((0.9, 0.1), (0.2, 0.8)), ((0.5, 0.3, 0.2), (0.1, 0.3, 0.6)))
+
+
+def scaled_forward(ys):
+    """Filtered probabilities and log P(Y) by scaling, and the best path's logarithm."""
+    a, e = np.array(LONG.a), np.array(LONG.e)
+    x, z, best = np.array(LONG.pi), 0.0, np.log(LONG.pi) + np.log(e[:, ys[0]])
+    for t, y in enumerate(ys):
+        x = (x @ a if t else x) * e[:, y]
+        z += math.log(x.sum())
+        x /= x.sum()
+        if t:
+            best = (best[:, None] + np.log(a)).max(axis=0) + np.log(e[:, y])
+    return x, z, best.max()
+
+
+def test_a_million_steps_in_blocks(spark):
+    n = 1_000_000
+    rows = long_chain(spark, n)
+    table = blocks.block_table(rows, "k", ["t"], F.floor(F.col("t") / 1000), "y")
+    like = lambda x: chain.categorical(LONG, x["y"])
+    ys = [r["y"] for r in rows.orderBy("t").select("y").collect()]
+    last, z, best = scaled_forward(ys)
+    m = blocks.messages(LONG, table, like)
+    got = m.select("logz", F.element_at("alpha", -1).alias("a"), "block").orderBy(F.desc("block")).first()
+    assert abs(got["logz"] / z - 1) < 1e-9 and np.allclose(np.exp(np.array(got["a"]) - got["logz"]), last, atol=1e-9)
+    path = [s for r in blocks.viterbi(LONG, table, like).orderBy("block").collect() for s in r["path"]]
+    a, e = np.log(LONG.a), np.log(LONG.e)
+    lp = math.log(LONG.pi[path[0]]) + e[path[0], ys[0]] + sum(a[i, j] + e[j, y] for i, j, y in zip(path, path[1:], ys[1:], strict=False))
+    assert len(path) == n and abs(lp / best - 1) < 1e-9
+
+
+def test_a_long_row_takes_linear_time(spark):
+    n = 200_000
+    seqs = chain.sequences(long_chain(spark, n), "k", ["t"], "y")
+    steps = F.transform("xs", lambda x: F.struct(chain.categorical(LONG, x["y"]).alias("like")))
+    row = seqs.select(F.size(chain.viterbi(LONG, steps)).alias("n"), F.element_at(chain.forward(LONG, steps), -1).alias("a"), F.size(chain.backward(LONG, steps)).alias("b")).first()
+    ys = [r["y"] for r in long_chain(spark, n).orderBy("t").select("y").collect()]
+    _, z, _ = scaled_forward(ys)
+    assert row["n"] == row["b"] == n and abs(np.logaddexp(*row["a"]) / z - 1) < 1e-9
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 511, 512, 513, 1500])
+def test_scan_lists_every_state(spark, n):
+    got = spark.range(1).select(chain.scan(F.filter(F.sequence(F.lit(0), F.lit(n)), lambda x: x < n), F.lit(5), lambda s, x: s + x).alias("s")).first()["s"]
+    assert got == [5 + k * (k - 1) // 2 for k in range(n + 1)]
+
+
+@pytest.mark.parametrize("width", [1, 3, 50])
+def test_blocked_kalman_equals_the_whole(spark, width):
+    """Controls, missing and repeated measurements, modes; any width of block."""
+    model, g = chain.LDS1(0.5, 1.5, 0.9, 0.3, 1.2, 0.4), np.random.default_rng(2)
+    rows = [(s, t, [None if g.random() < 0.2 else float(g.normal()) for _ in range(int(g.integers(0, 3)))], None if g.random() < 0.5 else float(g.normal()), int(g.integers(0, 2))) for s in range(3) for t in range(1 + 10 * s)]
+    df = spark.createDataFrame(rows, "k long, t long, ys array<double>, u double, z int")
+    factors_ = chain.vector((0.9, -0.4))
+    whole = chain.sequences(df, "k", ["t"], "ys", "u", "z").select("seq_id", F.col("xs").alias("steps")).withColumn("f", chain.kalman_filter(F.col("steps"), model))
+    whole = whole.withColumn("s", chain.kalman_smoother(F.col("f"), F.col("steps"), model)).withColumn("fz", chain.kalman_filter(F.col("steps"), model, factors_))
+    table = blocks.block_table(df, "k", ["t"], F.floor(F.col("t") / width), "ys", "u", "z").withColumnRenamed("xs", "steps")
+    want = {(r["seq_id"], t): (x["m"], x["v"], y["m"], y["v"], y["c"], w["m"], w["v"]) for r in whole.collect() for t, (x, y, w) in enumerate(zip(r["f"], r["s"], r["fz"], strict=True))}
+    f = blocks.steps_of(blocks.kalman_filtered(model, table), "f", "x")
+    s = blocks.steps_of(blocks.kalman_smoothed(model, table), "s", "y")
+    w = blocks.steps_of(blocks.kalman_filtered(model, table, factors_), "f", "w")
+    got = {(r["seq_id"], r["t"]): (r["x"]["m"], r["x"]["v"], r["y"]["m"], r["y"]["v"], r["y"]["c"], r["w"]["m"], r["w"]["v"]) for r in f.join(s, ["seq_id", "t"]).join(w, ["seq_id", "t"]).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    z = {r["seq_id"]: r["logz"] for r in blocks.kalman_log_marginal(model, table, factors_).collect()}
+    assert all(abs(z[r["seq_id"]] - r["fz"][-1]["l"]) < 1e-9 for r in whole.collect())
