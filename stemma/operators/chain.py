@@ -282,8 +282,8 @@ def emit(model: HMM, state: Column, u: Column) -> Column:
 # ---- expected statistics and learning ------------------------------------------------------------
 
 
-def expected_stats(model: HMM, m: DataFrame, y: str = "y") -> DataFrame:
-    """kind ('initial', 'transition', 'emission'), i, j, value: sums over all sequences, combined on the map side."""
+def expected_stats(model: HMM, m: DataFrame, y: str = "y", with_loglik: bool = False) -> DataFrame:
+    """kind ('initial', 'transition', 'emission'; 'loglik' if asked for), i, j, value: sums over all sequences, combined on the map side."""
     k, d = model.k, len(model.e[0])
     cell = lambda kind, i, j, v: F.struct(F.lit(kind).alias("kind"), F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), v.alias("value"))
 
@@ -300,8 +300,11 @@ def expected_stats(model: HMM, m: DataFrame, y: str = "y") -> DataFrame:
     def emitted(seen: Column, i: int, y: int) -> Column:
         return F.aggregate(seen, F.lit(0.0), lambda a, s: a + F.when(s["y"] == y, at(s["p"], i)).otherwise(0.0))
 
-    g = m.select(F.struct(smoothed(m).alias("gamma"), pair_joint(model).alias("xi"), F.transform("xs", lambda x: x[y].cast("long")).alias("ys")).alias("x"))
-    cells = g.select(F.explode(bind(F.col("x"), sums)).alias("c")).select("c.*")
+    g = m.select(F.struct(smoothed(m).alias("gamma"), pair_joint(model).alias("xi"), F.transform("xs", lambda x: x[y].cast("long")).alias("ys")).alias("x"), "logz")
+    every = bind(F.col("x"), sums)
+    if with_loglik:
+        every = F.concat(every, F.array(cell("loglik", 0, 0, F.col("logz"))))
+    cells = g.select(F.explode(every).alias("c")).select("c.*")
     return cells.groupBy("kind", "i", "j").agg(F.sum("value").alias("value"))
 
 
@@ -318,8 +321,8 @@ def fit_em(model: HMM, seqs: DataFrame, rounds: int = 10, tolerance: float = 1e-
     trace: list[float] = []
     for _ in range(rounds):
         m = messages(model, seqs, lambda x, p=model: categorical(p, x["y"]))
-        stats = expected_stats(model, m).collect()
-        trace.append(m.agg(F.sum("logz")).first()[0])
+        stats = expected_stats(model, m, with_loglik=True).collect()
+        trace.append(next(r["value"] for r in stats if r["kind"] == "loglik"))
         model = m_step(model, stats)
         if len(trace) > 1 and abs(trace[-1] - trace[-2]) <= tolerance * abs(trace[-2]):
             break

@@ -1,7 +1,7 @@
 """Small dense linear algebra for grouped work: matrix distributions, Kalman filters and LDS learning in numpy.
 
 Statistics are summed by Spark; what is here runs on matrices of a few dimensions, per key inside
-``applyInPandas`` or on the driver for parameters.
+``mapInPandas`` (many sequences in one pass) or on the driver for parameters.
 """
 
 from __future__ import annotations
@@ -137,6 +137,12 @@ class Regression:
     def log_likelihood(self, x, y) -> float:
         return mvn_logpdf(np.asarray(y), self.a @ np.asarray(x), self.cov)
 
+    def inverse(self, x: Normal) -> tuple[Regression, Normal]:
+        """x given y as a regression (with an intercept, in the normal of y): the same joint, turned round."""
+        y = Normal(self.a @ x.mean, sym(self.a @ x.cov @ self.a.T + self.cov))
+        gain = np.linalg.solve(y.cov, self.a @ x.cov).T
+        return Regression(gain, sym(x.cov - gain @ self.a @ x.cov)), y
+
     def to_joint(self, n1, n2):
         """Natural parameters of (y, x) when x has natural parameters n1, n2."""
         p = np.linalg.inv(self.cov)
@@ -342,42 +348,150 @@ class LDS:
         return replace(self, a=u @ np.diag(np.clip(s, low, high)) @ w)
 
 
-def sequence_of(pdf: pd.DataFrame) -> list[list[np.ndarray]]:
-    """ys by t from rows t, m, d, y; a measurement with a missing dimension is left out."""
-    a = pdf[["t", "m", "d", "y"]].to_numpy(dtype=float)
-    a = a[np.lexsort((a[:, 2], a[:, 1], a[:, 0]))]
-    out: list[list[np.ndarray]] = [[] for _ in range(int(a[-1, 0]) + 1)]
-    for part in np.split(a, np.flatnonzero((np.diff(a[:, :2], axis=0) != 0).any(axis=1)) + 1):
-        if not np.isnan(part[:, 3]).any():
-            out[int(part[0, 0])].append(part[:, 3])
+#: Steps of all sequences that numpy works on side by side.
+SIDE_BY_SIDE = 200_000
+
+
+def smooth_many(model: LDS, ys: np.ndarray, lengths: np.ndarray, us: np.ndarray | None = None, zs: np.ndarray | None = None):
+    """:meth:`LDS.smooth` for N sequences at once: ys (N, T, M, d_obs) with NaN for what is missing, us (N, T, d), zs (N, T).
+
+    Gives means (N, T, d), covariances (N, T, d, d), covariances with the next step (N, T - 1, d, d), log P(Y) (N).
+    """
+    n, steps, repeats, _ = ys.shape
+    d, c, eye = len(model.m0), model.c, np.eye(len(model.m0))
+    trans = (lambda t: np.stack(model.modes)[zs[:, t]]) if zs is not None and model.modes else (lambda t: np.broadcast_to(model.a, (n, d, d)))
+    move = lambda t: np.nan_to_num(us[:, t]) if us is not None else 0.0
+    turned = lambda x: np.swapaxes(x, -1, -2)
+    means, covs, loglik = np.empty((n, steps, d)), np.empty((n, steps, d, d)), np.zeros(n)
+    m, v = np.tile(model.m0, (n, 1)), np.tile(model.v0, (n, 1, 1))
+    for t in range(steps):
+        if t:
+            a = trans(t)
+            m, v = np.einsum("nij,nj->ni", a, m) + move(t), a @ v @ turned(a) + model.q
+        for k in range(repeats):
+            seen = ~np.isnan(ys[:, t, k]).any(axis=1)
+            if not seen.any():
+                continue
+            s = c @ v @ c.T + model.r
+            gain = turned(np.linalg.solve(s, c @ v))
+            gap = np.where(seen[:, None], ys[:, t, k], 0.0) - m @ c.T
+            loglik += np.where(seen, -0.5 * (np.einsum("ni,ni->n", gap, np.linalg.solve(s, gap[..., None])[..., 0]) + np.linalg.slogdet(s)[1] + len(c) * LN_2PI), 0.0)
+            left = eye - gain @ c
+            m = np.where(seen[:, None], m + np.einsum("nij,nj->ni", gain, gap), m)
+            v = np.where(seen[:, None, None], left @ v @ turned(left) + gain @ model.r @ turned(gain), v)
+        means[:, t], covs[:, t] = m, v
+    cross = np.zeros((n, max(0, steps - 1), d, d))
+    for t in range(steps - 2, -1, -1):
+        a, inside = trans(t + 1), t + 1 < lengths
+        p = a @ covs[:, t] @ turned(a) + model.q
+        g = turned(np.linalg.solve(p, a @ covs[:, t]))
+        cross[:, t] = np.where(inside[:, None, None], g @ covs[:, t + 1], 0.0)
+        gap = means[:, t + 1] - np.einsum("nij,nj->ni", a, means[:, t]) - move(t + 1)
+        covs[:, t] = np.where(inside[:, None, None], covs[:, t] + g @ (covs[:, t + 1] - p) @ turned(g), covs[:, t])
+        means[:, t] = np.where(inside[:, None], means[:, t] + np.einsum("nij,nj->ni", g, gap), means[:, t])
+    return means, covs, cross, loglik
+
+
+def packed(obs: DataFrame, controls: DataFrame | None = None, modes: DataFrame | None = None) -> DataFrame:
+    """seq_id, ys, us, zs: a sequence in a row, from obs (seq_id, t, m, d, y), controls (seq_id, t, d, u) and modes (seq_id, t, z)."""
+    lists = lambda df, name, *cols: df.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    out = lists(obs, "ys", "t", "m", "d", "y")
+    for df, name, cols in ((controls, "us", ("t", "d", "u")), (modes, "zs", ("t", "z"))):
+        out = out.join(lists(df, name, *cols), "seq_id", "left") if df is not None else out.withColumn(name, F.lit(None).cast("array<struct<t:bigint>>"))
     return out
 
 
-def lds_rows(model: LDS):
-    """Moments of one sequence for the M-step, named and flattened."""
+def batches(pdf: pd.DataFrame, model: LDS):
+    """(ids, ys, lengths, us, zs) of sequences of like length, a bounded number of steps at a time."""
+    rows = []
+    for r in pdf.itertuples(index=False):
+        a = np.array([(x["t"], x["m"], x["d"], np.nan if x["y"] is None else x["y"]) for x in r.ys], float)
+        rows.append((int(a[:, 0].max()) + 1, r, a))
+    rows.sort(key=lambda x: x[0])
+    while rows:
+        width = rows[-1][0]
+        take = max(1, SIDE_BY_SIDE // width)
+        part, rows = rows[-take:], rows[:-take]
+        n, repeats = len(part), int(max(a[:, 1].max() for *_, a in part)) + 1
+        ys = np.full((n, width, repeats, len(model.r)), np.nan)
+        us = np.zeros((n, width, len(model.m0))) if part[0][1].us is not None or any(r.us is not None for _, r, _ in part) else None
+        zs = np.zeros((n, width), np.int64) if model.modes else None
+        for k, (_, r, a) in enumerate(part):
+            ys[(k, *a[:, :3].astype(np.int64).T)] = a[:, 3]
+            for x in r.us if us is not None and r.us is not None else []:
+                us[k, x["t"], x["d"]] = np.nan if x["u"] is None else x["u"]
+            for x in r.zs if zs is not None and r.zs is not None else []:
+                zs[k, x["t"]] = x["z"]
+        yield [int(r.seq_id) for _, r, _ in part], ys, np.array([t for t, *_ in part]), us, zs
+
+
+def kalman(model: LDS, seqs: DataFrame, controls: DataFrame | None = None, modes: DataFrame | None = None) -> DataFrame:
+    """seq_id, t, d, mean, variance (smoothed) and logz; many sequences in one pass of numpy."""
+
+    def run(parts):
+        for pdf in parts:
+            for ids, ys, lengths, us, zs in batches(pdf, model):
+                ms, vs, _, z = smooth_many(model, ys, lengths, us, zs)
+                var = np.diagonal(vs, axis1=2, axis2=3)
+                yield pd.DataFrame({"seq_id": ids, "logz": z, "mean": [m[:k].ravel() for m, k in zip(ms, lengths, strict=True)], "variance": [v[:k].ravel() for v, k in zip(var, lengths, strict=True)]})
+
+    d = len(model.m0)
+    out = packed(seqs, controls, modes).mapInPandas(run, "seq_id long, logz double, mean array<double>, variance array<double>")
+    rows = out.select("seq_id", "logz", F.posexplode(F.arrays_zip("mean", "variance")).alias("_i", "_x"))
+    return rows.select("seq_id", F.floor(F.col("_i") / d).alias("t"), (F.col("_i") % d).cast("long").alias("d"), "_x.mean", "_x.variance", "logz")
+
+
+def log_marginals(model: LDS, rows: DataFrame) -> DataFrame:
+    """seq_id, logz of packed sequences."""
+
+    def run(parts):
+        for pdf in parts:
+            for ids, ys, lengths, us, zs in batches(pdf, model):
+                yield pd.DataFrame({"seq_id": ids, "logz": smooth_many(model, ys, lengths, us, zs)[3]})
+
+    return rows.mapInPandas(run, "seq_id long, logz double")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ys = sequence_of(pdf)
-        ms, vs, cross, loglik = model.smooth(ys)
-        e = [np.outer(m, m) + v for m, v in zip(ms, vs, strict=True)]
-        tot = {
-            "loglik": np.array([loglik]), "n": np.array([1.0]), "m0": ms[0], "e0": e[0], "steps": np.array([len(ys) - 1.0]),
-            "xx": sum(e[:-1], np.zeros_like(e[0])), "nn": sum(e[1:], np.zeros_like(e[0])), "nx": sum((np.outer(b, a) + c.T for a, b, c in zip(ms, ms[1:], cross, strict=False)), np.zeros_like(e[0])),
-            "obs": np.array([float(sum(map(len, ys)))]), "oxx": sum((len(y) * x for x, y in zip(e, ys, strict=True)), np.zeros_like(e[0])),
-            "yx": sum((np.outer(y, m) for m, t in zip(ms, ys, strict=True) for y in t), np.zeros_like(model.c)), "yy": sum((np.outer(y, y) for t in ys for y in t), np.zeros_like(model.r)),
-        }
-        return pd.DataFrame([(k, i, float(x)) for k, v in tot.items() for i, x in enumerate(np.ravel(v))], columns=["name", "i", "value"])
+def summed(ms: np.ndarray, second: np.ndarray, after: np.ndarray, ys: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
+    """Moments for the M-step, summed over sequences: second = E[x x'], after = E[x_t+1 x_t']."""
+    n, steps = ms.shape[:2]
+    at = np.arange(steps)[None]
+    inside, has_next = at < lengths[:, None], at[:, : steps - 1] + 1 < lengths[:, None]
+    seen = ~np.isnan(ys).any(axis=3)
+    y = np.where(seen[..., None], ys, 0.0)
+    masked = lambda x, m: np.einsum("ntij,nt->ij", x, m.astype(float))
+    return {
+        "n": np.array([float(n)]), "m0": ms[:, 0].sum(axis=0), "e0": second[:, 0].sum(axis=0), "steps": np.array([float(has_next.sum())]),
+        "xx": masked(second[:, : steps - 1], has_next), "nn": masked(second[:, 1:], has_next), "nx": masked(after, has_next),
+        "obs": np.array([float((seen & inside[..., None]).sum())]), "oxx": np.einsum("ntij,ntm->ij", second, seen.astype(float)),
+        "yx": np.einsum("ntmi,ntj->ij", y, ms), "yy": np.einsum("ntmi,ntmj->ij", y, y),
+    }
 
-    return run
 
+def named(tot: dict[str, np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame([(k, i, float(x)) for k, v in tot.items() for i, x in enumerate(np.ravel(v))], columns=["name", "i", "value"])
 
-def lds_em_step(model: LDS, seqs: DataFrame) -> tuple[LDS, float]:
-    """seqs: seq_id, t, m, d, y.  Moments are summed by Spark; only they return to the driver."""
-    per = seqs.groupBy("seq_id").applyInPandas(lds_rows(model), "name string, i long, value double")
+
+def totals(rows: DataFrame, run) -> dict[str, np.ndarray]:
+    """Flat sums by name; only they return to the driver."""
     got: dict[str, dict[int, float]] = {}
-    for r in per.groupBy("name", "i").agg(F.sum("value").alias("value")).collect():
+    for r in rows.mapInPandas(run, "name string, i long, value double").groupBy("name", "i").agg(F.sum("value").alias("value")).collect():
         got.setdefault(r["name"], {})[r["i"]] = r["value"]
-    a = {k: np.array([v[i] for i in range(len(v))]) for k, v in got.items()}
+    return {k: np.array([v[i] for i in range(len(v))]) for k, v in got.items()}
+
+
+def lds_em_step(model: LDS, rows: DataFrame) -> tuple[LDS, float]:
+    """rows: packed sequences without controls.  One Spark job; moments are summed by Spark."""
+
+    def run(parts):
+        for pdf in parts:
+            for _, ys, lengths, us, zs in batches(pdf, model):
+                ms, vs, cross, z = smooth_many(model, ys, lengths, us, zs)
+                second = np.einsum("nti,ntj->ntij", ms, ms) + vs
+                after = np.einsum("nti,ntj->ntij", ms[:, 1:], ms[:, :-1]) + np.swapaxes(cross, -1, -2)
+                yield named(summed(ms, second, after, ys, lengths) | {"loglik": np.array([z.sum()])})
+
+    a = totals(rows, run)
     d = len(model.m0)
     sq = lambda k: a[k].reshape(d, d)
     n = a["n"][0]
@@ -387,15 +501,20 @@ def lds_em_step(model: LDS, seqs: DataFrame) -> tuple[LDS, float]:
     return LDS(m0, sym(sq("e0") / n - np.outer(m0, m0)), dyn.a, dyn.cov, out.a, out.cov), float(a["loglik"][0])
 
 
-def kalman_rows(model: LDS):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ms, vs, _, z = model.smooth(sequence_of(pdf))
-        sid = int(pdf["seq_id"].iloc[0])
-        return pd.DataFrame([(sid, t, d, float(m[d]), float(v[d, d]), z) for t, (m, v) in enumerate(zip(ms, vs, strict=True)) for d in range(len(m))], columns=["seq_id", "t", "d", "mean", "variance", "logz"])
-
-    return run
+def lds_gibbs_step(model: LDS, rows: DataFrame, prior: MatrixNormalInverseWishart, out_prior: MatrixNormalInverseWishart, start: NormalInverseWishart, seed: int) -> LDS:
+    """States drawn from P(x | Y) on the executors (seeded by sequence), then parameters from their conjugate posteriors."""
 
+    def run(parts):
+        for pdf in parts:
+            for ids, ys, lengths, _, _ in batches(pdf, model):
+                for i, y, k in zip(ids, ys, lengths, strict=True):
+                    xs = model.sample_states([[r for r in step if not np.isnan(r).any()] for step in y[:k]], np.random.default_rng([seed, i % (1 << 32), i >> 32 & 0xFFFF_FFFF]))[None]
+                    pairs = np.einsum("nti,ntj->ntij", xs, xs)
+                    yield named(summed(xs, pairs, np.einsum("nti,ntj->ntij", xs[:, 1:], xs[:, :-1]), y[None, :k], np.array([k])))
 
-def kalman(model: LDS, seqs: DataFrame) -> DataFrame:
-    """seq_id, t, d, mean, variance (smoothed) and logz, one sequence per call."""
-    return seqs.groupBy("seq_id").applyInPandas(kalman_rows(model), "seq_id long, t long, d long, mean double, variance double, logz double")
+    a, g, d = totals(rows, run), np.random.default_rng(seed), len(model.m0)
+    sq = lambda k: a[k].reshape(d, d)
+    first = start.update(a["n"][0], a["m0"], sq("e0")).sample(g)
+    dyn = prior.update(a["steps"][0], sq("xx"), sq("nx"), sq("nn")).sample(g)
+    out = out_prior.update(a["obs"][0], sq("oxx"), a["yx"].reshape(model.c.shape), a["yy"].reshape(model.r.shape)).sample(g)
+    return LDS(first.mean, first.cov, dyn.a, dyn.cov, out.a, out.cov)

@@ -86,6 +86,17 @@ def mniw_update_1d(stats: DataFrame, by: list[str], m0: float, v0: float, nu0: f
     return stats.select(*by, v_inv.alias("v_inv"), m.alias("m"), (F.col("n") + float(nu0)).alias("nu"), (F.col("yy") + psi0 + m0 * m0 / v0 - m * m * v_inv).alias("psi"))
 
 
+# ---- inverse Wishart (one dimension) ---------------------------------------------------------------
+
+
+def inverse_wishart_1d(stats: DataFrame, by: list[str], mean: float, nu0: float, psi0: float) -> DataFrame:
+    """Posterior of a variance around a known mean, from normal statistics: by, nu, psi, mode, expected_precision, expected_log, log_marginal."""
+    nu, psi = F.col("n") + float(nu0), F.col("s_0_0") - 2 * mean * F.col("s_0") + F.col("n") * mean * mean + float(psi0)
+    norm = lambda v, p: v / 2 * math.log(2) + lgamma(v / 2) - v / 2 * F.ln(p)
+    log_marginal = norm(nu, psi) - norm(as_column(nu0), as_column(psi0)) - F.col("n") / 2 * LN_2PI
+    return stats.select(*by, nu.alias("nu"), psi.alias("psi"), (psi / (nu + 2)).alias("mode"), (nu / psi).alias("expected_precision"), (F.ln(psi / 2) - digamma(nu / 2)).alias("expected_log"), log_marginal.alias("log_marginal"))
+
+
 # ---- Dirichlet ----------------------------------------------------------------------------------
 
 
@@ -191,6 +202,29 @@ def natural_loglik(stats: list[Column], naturals: list, n: Column, log_partition
     return total(s * as_column(p) for s, p in zip(stats, naturals, strict=True)) - n * as_column(log_partition)
 
 
+def score(stats: list[Column], expected: list, n: Column) -> list[Column]:
+    """Derivatives of the log-likelihood in the natural parameters: statistics minus n times their expectation."""
+    return [s - n * as_column(e) for s, e in zip(stats, expected, strict=True)]
+
+
+def log_stat_mgf(naturals: list[Column], shifts: list, log_partition) -> Column:
+    """ln E exp(<shift, statistics>): the log partition at the shifted parameters minus that at the parameters."""
+    moved = [p + as_column(s) for p, s in zip(naturals, shifts, strict=True)]
+    return log_partition(moved) - log_partition(naturals)
+
+
+def normal_log_partition(naturals: list[Column]) -> Column:
+    """A(eta) of a scalar normal, eta = (-1 / 2v, m / v), statistics (x^2, x)."""
+    a, b = naturals
+    return -b * b / (4 * a) - 0.5 * F.ln(-2 * a) + 0.5 * LN_2PI
+
+
+def regression_joint(slope: Column, intercept: Column, noise: Column, mean: Column, var: Column) -> dict[str, Column]:
+    """The joint of y = slope x + intercept + noise and x: mean and variance of y, covariance, and x given y turned round."""
+    y, cov = slope * slope * var + noise, slope * var
+    return {"mean_y": slope * mean + intercept, "var_y": y, "cov_xy": cov, "slope_back": cov / y, "intercept_back": mean - cov / y * (slope * mean + intercept), "noise_back": var - cov * cov / y}
+
+
 def is_outlier(df: DataFrame, by: list[str], x: str, threshold: float = 3.5) -> DataFrame:
     """Rows with the modified z-score 0.6745 |x - median| / MAD and whether it exceeds the threshold."""
     med = df.groupBy(*by).agg(F.median(x).alias("_median"))

@@ -1,6 +1,7 @@
 """Models with one face: fit, predict, generate and score, over sequences or over graphs.
 
     HMMModel(start).fit(sequences, method="em" | "cavi" | "gibbs").predict(sequences)
+    LDSModel(start).fit(packed(obs), method="em" | "gibbs").predict(obs)
     GraphModel(start).fit(packed, method="em" | "cavi" | "svi" | "gibbs").posterior(packed)
 """
 
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions.special import digamma_py, uniform
-from stemma.operators import chain, learning, local
+from stemma.operators import chain, dense, learning, local
 from stemma.operators.chain import HMM
 from stemma.operators.factors import Model
+from stemma.sources.scratch import staged
 
 
 def rows_of(m: HMM) -> list[tuple[float, ...]]:
@@ -61,6 +63,7 @@ class HMMModel:
         self.posterior: HMM | None = None
 
     def fit(self, seqs: DataFrame, method: str = "em", rounds: int = 20, burn_in: int = 5, seed: int = 0) -> HMMModel:
+        seqs = staged(seqs, "sequences")
         if method == "em":
             self.params, self.trace = chain.fit_em(self.params, seqs, rounds)
         elif method == "cavi":
@@ -68,10 +71,11 @@ class HMMModel:
             for _ in range(rounds):
                 m = expected_log(alpha)
                 msg = chain.messages(m, seqs, lambda x, m=m: chain.categorical(m, x["y"]))
-                z = msg.agg(F.sum("logz")).first()[0]
+                stats = chain.expected_stats(m, msg, with_loglik=True).collect()
+                z = next(r["value"] for r in stats if r["kind"] == "loglik")
                 kl = sum(learning.dirichlet_kl(list(q), list(p)) for q, p in zip(rows_of(alpha), rows_of(self.prior), strict=True))
                 self.trace.append(z - kl)
-                c = chain_counts(m, chain.expected_stats(m, msg).collect())
+                c = chain_counts(m, stats)
                 alpha = plus(self.prior, c)
             self.posterior, self.params = alpha, each(alpha, lambda r: [a / sum(r) for a in r])
         elif method == "gibbs":
@@ -105,6 +109,54 @@ class HMMModel:
         return rows.withColumn("y", chain.emit(self.params, F.col("x"), uniform(F.lit(seed + 1), F.col("seq_id"), F.col("t"))))
 
 
+class LDSModel:
+    """A linear dynamical system.  Sequences: rows of :func:`stemma.operators.dense.packed`."""
+
+    def __init__(self, start: dense.LDS):
+        self.params, self.trace, self.draws = start, [], []
+
+    def fit(self, rows: DataFrame, method: str = "em", rounds: int = 20, burn_in: int = 5, seed: int = 0, tolerance: float = 1e-8) -> LDSModel:
+        rows = staged(rows, "sequences")
+        if method == "em":
+            for _ in range(rounds):
+                self.params, z = dense.lds_em_step(self.params, rows)
+                self.trace.append(z)
+                if len(self.trace) > 1 and abs(z - self.trace[-2]) <= tolerance * abs(self.trace[-2]):
+                    break
+        elif method == "gibbs":
+            d, o = len(self.params.m0), len(self.params.r)
+            flat = lambda a: dense.MatrixNormalInverseWishart(np.zeros(a.shape), 10 * np.eye(a.shape[1]), np.eye(len(a)), len(a) + 2.0)
+            priors = flat(np.zeros((d, d))), flat(np.zeros((o, d))), dense.NormalInverseWishart(np.zeros(d), 0.1, np.eye(d), d + 2.0)
+            for k in range(burn_in + rounds):
+                self.params = dense.lds_gibbs_step(self.params, rows, *priors, seed * 100_003 + k)
+                if k >= burn_in:
+                    self.draws.append(self.params)
+        else:
+            raise ValueError(f"no method {method}")
+        return self
+
+    def predict(self, obs: DataFrame, controls: DataFrame | None = None, modes: DataFrame | None = None) -> DataFrame:
+        """seq_id, t, d, mean, variance, logz of the smoothed states."""
+        return dense.kalman(self.params, obs, controls, modes)
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        return dense.log_marginals(self.params, rows)
+
+    def generate(self, ids: DataFrame, length: int, seed: int = 0) -> DataFrame:
+        """seq_id, t, d, y for each seq_id of ``ids``, from dynamics that stay bounded."""
+        model = self.params.stabilised()
+
+        def run(parts):
+            import pandas as pd
+
+            for pdf in parts:
+                for i in pdf["seq_id"]:
+                    _, ys = model.simulate(length, 1, np.random.default_rng([seed, int(i) % (1 << 32), int(i) >> 32 & 0xFFFF_FFFF]))
+                    yield pd.DataFrame([(int(i), t, d, float(y)) for t, row in enumerate(ys[:, 0]) for d, y in enumerate(row)], columns=["seq_id", "t", "d", "y"])
+
+        return ids.select("seq_id").mapInPandas(run, "seq_id long, t long, d long, y double")
+
+
 class GraphModel:
     """Hypergraphs, grouped or not, with or without evidence and feedback.  ``packed``: one row per graph."""
 

@@ -479,27 +479,128 @@ def lds1d_em_step(spark, d):
 LDS2 = dense.LDS(np.array([3.0, 1.0]), np.eye(2), np.array([[0.8, 0.1], [-0.1, 0.7]]), 0.3 * np.eye(2), np.array([[1.0, 0.0], [0.5, 1.0]]), 0.5 * np.eye(2))
 
 
-def two_dimensional(spark, d):
-    """seq_id, t, m, d, y: the value's logarithm and the event's code."""
+def numbered(spark, d):
+    """seq_id, t and the coded event."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = coded(spark, d).select(F.col("user_id").alias("seq_id"), (F.row_number().over(w) - 1).cast("long").alias("t"), F.array(F.ln(1 + F.col("value")), F.col("y").cast("double")).alias("v"))
+    return coded(spark, d).select(F.col("user_id").alias("seq_id"), (F.row_number().over(w) - 1).cast("long").alias("t"), "event_id", "value", "y")
+
+
+def two_dimensional(spark, d):
+    """seq_id, t, m, d, y: the value's logarithm and the event's code."""
+    rows = numbered(spark, d).select("seq_id", "t", F.array(F.ln(1 + F.col("value")), F.col("y").cast("double")).alias("v"))
     return rows.select("seq_id", "t", F.lit(0).cast("long").alias("m"), F.posexplode("v").alias("d", "y")).withColumn("d", F.col("d").cast("long"))
 
 
-@query()
+def products(x, y):
+    """Product of two matrices of SQL expressions."""
+    return [[" + ".join(f"({x[i][k]}) * ({y[k][j]})" for k in range(2)) for j in range(2)] for i in range(2)]
+
+
+def numbers(a) -> list[list[str]]:
+    return [[repr(float(v)) for v in row] for row in a]
+
+
+def turned(x):
+    return [list(c) for c in zip(*x, strict=True)]
+
+
+def inverted(x, det: str):
+    return [[f"({x[1][1]}) / {det}", f"-({x[0][1]}) / {det}"], [f"-({x[1][0]}) / {det}", f"({x[0][0]}) / {det}"]]
+
+
+def entries(x, name: str) -> str:
+    return ", ".join(f"{x[i][j]} as {name}{i}{j}" for i in range(2) for j in range(2))
+
+
+def named_matrix(name: str, of: str = ""):
+    return [[f"{of}{name}{i}{j}" for j in range(2)] for i in range(2)]
+
+
+def kalman_nd_sql(modes=None, control: str = "0.0", tail: str = "") -> str:
+    """kf (m0, m1, v00.., ll) and ks (smoothed), one two-dimensional measurement a step, modes and a control of the first dimension."""
+    c, r_ = numbers(LDS2.c), numbers(LDS2.r)
+    pick_ = lambda z: numbers(LDS2.a) if modes is None else [[f"(case {z} when 0 then {modes[0][i][j]!r} else {modes[1][i][j]!r} end)" for j in range(2)] for i in range(2)]
+
+    def predicted(k: str, b: str) -> str:
+        a = pick_(f"{b}z")
+        v = products(products(a, named_matrix("v", k)), turned(a))
+        v = [[f"{v[i][j]} + {float(LDS2.q[i][j])!r}" for j in range(2)] for i in range(2)]
+        return ", ".join(f"({a[i][0]}) * {k}m0 + ({a[i][1]}) * {k}m1 + {f'{b}u' if i == 0 else '0.0'} as pm{i}" for i in range(2)) + ", " + entries(v, "p")
+
+    cp = products(c, named_matrix("p"))
+    spread = products(cp, turned(c))
+    spread = [[f"{spread[i][j]} + {r_[i][j]}" for j in range(2)] for i in range(2)]
+    gain = products(products(named_matrix("p"), turned(c)), inverted(named_matrix("s"), "det"))
+    si = inverted(named_matrix("s"), "det")
+    kcp = products(named_matrix("g"), cp)
+    quad = " + ".join(f"e{i} * ({si[i][j]}) * e{j}" for i in range(2) for j in range(2))
+
+    def updated(source: str) -> str:
+        one = f"select *, {entries(spread, 's')}, {', '.join(f'o{i} - (({c[i][0]}) * pm0 + ({c[i][1]}) * pm1) as e{i}' for i in range(2))} from ({source})"
+        two = f"select *, s00 * s11 - s01 * s10 as det from ({one})"
+        three = f"select *, {entries(gain, 'g')} from ({two})"
+        return f"select seq_id, t, {', '.join(f'pm{i} + g{i}0 * e0 + g{i}1 * e1 as m{i}' for i in range(2))}, {', '.join(f'p{i}{j} - ({kcp[i][j]}) as v{i}{j}' for i in range(2) for j in range(2))}, ll - 0.5 * ({quad} + ln(det) + 2 * ln(2 * pi())) as ll from ({three})"
+
+    first = ", ".join(f"{float(x)!r}::double as pm{i}" for i, x in enumerate(LDS2.m0)) + ", " + ", ".join(f"{float(LDS2.v0[i][j])!r}::double as p{i}{j}" for i in range(2) for j in range(2))
+    obs = f"obs as materialized (select seq_id, t, ln(1 + value) as o0, y::double as o1, (event_id % 2) as z, ({control})::double as u from ({SEQ})), len as (select seq_id, max(t) as n from obs group by 1)"
+    kf = f"kf as ({updated(f'select seq_id, t, o0, o1, 0.0::double as ll, {first} from obs where t = 0')} union all {updated(f'select b.seq_id, b.t, b.o0, b.o1, k.ll, {predicted("k.", "b.")} from kf k join obs b on b.seq_id = k.seq_id and b.t = k.t + 1')})"
+    a = pick_("z")
+    pi = inverted(named_matrix("p"), "det")
+    back = products(products(named_matrix("v"), turned(a)), pi)
+    gap = [f"(sm{i} - pm{i})" for i in range(2)]
+    sv = products(products(named_matrix("g"), [[f"(w{i}{j} - p{i}{j})" for j in range(2)] for i in range(2)]), turned(named_matrix("g")))
+    joined = f"select k.seq_id, k.t, k.m0, k.m1, {', '.join(f'k.v{i}{j}' for i in range(2) for j in range(2))}, b.z, {', '.join(f's.m{i} as sm{i}' for i in range(2))}, {', '.join(f's.v{i}{j} as w{i}{j}' for i in range(2) for j in range(2))}, {predicted('k.', 'b.')} from ks s join kf k on k.seq_id = s.seq_id and k.t = s.t - 1 join obs b on b.seq_id = s.seq_id and b.t = s.t"
+    gained = f"select *, {entries(back, 'g')} from (select *, p00 * p11 - p01 * p10 as det from ({joined}))"
+    step = f"select seq_id, t, {', '.join(f'm{i} + g{i}0 * {gap[0]} + g{i}1 * {gap[1]} as m{i}' for i in range(2))}, {', '.join(f'v{i}{j} + {sv[i][j]} as v{i}{j}' for i in range(2) for j in range(2))} from ({gained})"
+    ks = f"ks as (select k.seq_id, k.t, k.m0, k.m1, {', '.join(f'k.v{i}{j}' for i in range(2) for j in range(2))} from kf k join len n on n.seq_id = k.seq_id and n.n = k.t union all {step})"
+    tail = tail or f"{SMOOTHED_2D}"
+    return f"with recursive {obs}, {kf}, z as (select k.seq_id, k.ll as logz from kf k join len n on n.seq_id = k.seq_id and n.n = k.t), {ks} {tail}"
+
+
+SMOOTHED_2D = " union all ".join(f"select seq_id, t, {i}::bigint as d, round(m{i}, 6) as mean, round(v{i}{i}, 6) as variance, round(logz, 6) as logz from ks join z using (seq_id)" for i in range(2))
+
+
+@query(kalman_nd_sql())
 def kalman_nd(spark, d):
     """Smoothed two-dimensional states of every sequence, and its log-likelihood."""
     return rounded(dense.kalman(LDS2, two_dimensional(spark, d)), "mean", "variance", "logz")
 
 
+MODES2 = (((0.8, 0.1), (-0.1, 0.7)), ((0.5, 0.0), (0.2, 0.6)))
+
+
+@query(kalman_nd_sql(MODES2, "case when event_id % 3 = 0 then 0.25 else 0.0 end"))
+def kalman_nd_control(spark, d):
+    """The same with dynamics picked by a known mode and a control that is given at some steps only."""
+    model = dense.replace(LDS2, modes=tuple(map(np.array, MODES2)))
+    rows = numbered(spark, d)
+    modes = rows.select("seq_id", "t", (F.col("event_id") % 2).alias("z"))
+    controls = rows.filter("event_id % 3 = 0").select("seq_id", "t", F.lit(0).cast("long").alias("d"), F.lit(0.25).alias("u"))
+    return rounded(dense.kalman(model, two_dimensional(spark, d), controls, modes), "mean", "variance", "logz")
+
+
+@query(kalman_nd_sql(tail="select seq_id, round(logz, 6) as log_marginal from z"))
+def lds_model_score(spark, d):
+    """Log-likelihoods by the model of linear systems."""
+    from stemma.operators.facade import LDSModel
+
+    return LDSModel(LDS2).score(dense.packed(two_dimensional(spark, d))).select("seq_id", r("logz").alias("log_marginal"))
+
+
+@query(VITERBI)
+def hmm_model_predict(spark, d):
+    """The most probable path by the model of chains."""
+    from stemma.operators.facade import HMMModel
+
+    return longs(HMMModel(MODEL).predict(event_sequences(spark, d)), "t", "state")
+
+
 @query()
 def lds_em_nd(spark, d):
-    """Log-likelihoods over three EM steps of a two-dimensional system."""
-    model, out, seqs = LDS2, [], two_dimensional(spark, d).cache()
-    for k in range(3):
-        model, z = dense.lds_em_step(model, seqs)
-        out.append((k, round(z, 4)))
-    seqs.unpersist()
-    return spark.createDataFrame(out, "iteration long, loglik double")
+    """Log-likelihoods over three EM steps of a two-dimensional system; they never fall."""
+    from stemma.operators.facade import LDSModel
+
+    fitted = LDSModel(LDS2).fit(dense.packed(two_dimensional(spark, d)), "em", rounds=3)
+    return spark.createDataFrame([(k, round(z, 4)) for k, z in enumerate(fitted.trace)], "iteration long, loglik double")

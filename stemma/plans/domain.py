@@ -256,6 +256,21 @@ def pedigree_headers(spark, d):
     return n.crossJoin(pedigree.headers(files).select("inheritance_pattern", "ethnicity1"))
 
 
+ANSWERS = [("p1", "true", "2", "AD"), ("p2", "FALSE", "0", "AR"), ("p3", "False", "1", "XL"), ("p4", "true", "3", "other"), ("p5", None, "1", "AD"), ("p6", "true", "4", None)]
+COMPLETE = [a for a in ANSWERS if None not in a and a[3] in mendel.PATTERNS]
+
+
+@query("select * from (values " + ", ".join(f"('{i}', '{int(b.lower() == 'true')}', '{n}', '{p}', {mendel.PATTERNS.index(p)})" for i, b, n, p in COMPLETE) + ") t(id, skipping, n_affected, pattern, label)")
+def csv_label_join(spark, d):
+    """Answers and labels written as CSV by the sink, read back, joined by patient; complete rows of the three patterns."""
+    folder = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    rows = spark.createDataFrame([(i, b, n) for i, b, n, _ in ANSWERS], "`Patient ID` string, skipping string, n_affected string")
+    pedigree.write_csv(rows, f"{folder}/answers")
+    pedigree.write_csv(spark.createDataFrame([(i, p) for i, *_, p in ANSWERS if p], "`Patient ID` string, `Inheritance Pattern` string"), f"{folder}/labels")
+    got = pedigree.labelled_answers(spark, f"{folder}/answers", f"{folder}/labels")
+    return got.select(F.col("Patient ID").alias("id"), "skipping", "n_affected", "pattern", F.col("label").cast("int").alias("label"))
+
+
 @query("select doc_id, " + ", ".join(f"(contains(lower(text), '{k}'))::bigint as has_{k}" for k in pedigree.KEYWORDS) + " from documents")
 def keyword_vector(spark, d):
     """Which keywords occur in each whole text."""

@@ -269,6 +269,59 @@ def tensor_categorical_sample(spark, d):
     return u.select(F.get("cells", walk["k"]).alias("c")).groupBy("c.o_orderstatus", "c.o_orderpriority").agg(F.count("*").alias("n"))
 
 
+@query(f"with c as (select o_orderstatus, o_orderpriority, c_mktsegment, count(*) + 2.0 as alpha from ({JOINED}) group by 1, 2, 3), a as (select *, sum(alpha) over (partition by o_orderstatus, o_orderpriority) as t from c) select o_orderstatus, o_orderpriority, c_mktsegment, alpha, round({digamma_sql('alpha')} - {digamma_sql('t')}, 8) as expected_log from a")
+def tensor_transition_dirichlet_expected_log(spark, d):
+    """A Dirichlet row for each pair of parents' states: posterior and expected logarithms."""
+    a = expfam.dirichlet_update(tensor_transition_suffstats(spark, d), 2.0).drop("n")
+    return rounded(expfam.dirichlet_expected_log(a, ["o_orderstatus", "o_orderpriority"]), "expected_log", digits=8)
+
+
+LOGS = "select event_type, count(*) as n, sum(x) as s, sum(x * x) as ss from (select event_type, ln(1 + value) as x from events) group by 1"
+
+
+def log_values(spark, d):
+    return expfam.normal_stats(table(spark, d, "events").withColumn("x", F.ln(1 + F.col("value"))), ["event_type"], ["x"])
+
+
+@query(
+    f"with m as (select event_type, n + 4.0 as nu, ss - 6 * s + 9 * n + 2.5 as psi, n from ({LOGS})) select event_type, nu, round(psi, 4) as psi, round(psi / (nu + 2), 6) as mode, round(nu / psi, 6) as expected_precision, round(ln(psi / 2) - {digamma_sql('nu / 2')}, 6) as expected_log, "
+    "round(nu / 2 * ln(2) + lgamma(nu / 2) - nu / 2 * ln(psi) - (2 * ln(2) + lgamma(2.0) - 2 * ln(2.5)) - n / 2.0 * ln(2 * pi()), 3) as log_marginal from m"
+)
+def inverse_wishart_update_1d(spark, d):
+    """Posterior of the variance of values around a known mean, its mode, expectations and evidence."""
+    out = expfam.inverse_wishart_1d(log_values(spark, d), ["event_type"], 3.0, 4.0, 2.5)
+    out = rounded(rounded(out, "mode", "expected_precision", "expected_log"), "psi", digits=4)
+    return rounded(out, "log_marginal", digits=3)
+
+
+@query(f"select event_type, round(ss - n * (9.0 + 1.5), 3) as d_square, round(s - n * 3.0, 3) as d_linear from ({LOGS})")
+def normal_score(spark, d):
+    """Derivatives of the log-likelihood of a normal (mean 3, variance 1.5) in its natural parameters."""
+    a, b = expfam.score([F.col("s_0_0"), F.col("s_0")], [9.0 + 1.5, 3.0], F.col("n"))
+    return log_values(spark, d).select("event_type", r(a, 3).alias("d_square"), r(b, 3).alias("d_linear"))
+
+
+@query(f"with m as (select event_type, s / n as m, ss / n - (s / n) * (s / n) as v from ({LOGS})), k as (select *, 1 - 2 * 0.05 * v as k from m) select event_type, round(-0.5 * ln(k) + (0.05 * m * m + 0.3 * m + 0.045 * v) / k, 6) as log_mgf from k")
+def normal_log_stat_mgf(spark, d):
+    """ln E exp(0.05 x^2 + 0.3 x) under each type's fitted normal."""
+    m, v = F.col("mean_0"), F.col("cov_0_0")
+    fitted = expfam.normal_mle(table(spark, d, "events").withColumn("x", F.ln(1 + F.col("value"))), ["event_type"], ["x"])
+    return fitted.select("event_type", r(expfam.log_stat_mgf([-0.5 / v, m / v], [0.05, 0.3], expfam.normal_log_partition)).alias("log_mgf"))
+
+
+@query(f"select l_linestatus, round(regr_slope(x0, x1), 6) as slope_back, round(regr_intercept(x0, x1), 6) as intercept_back, round(avg(x1), 6) as mean_y, round(covar_pop(x0, x1), 6) as cov_xy from ({XS_SQL}) group by 1")
+def regression_turned_round(spark, d):
+    """The joint of a fitted regression and its input, and the regression of the input on the output that follows from it."""
+    s = expfam.regression_stats(measures(spark, d), ["l_linestatus"], [F.lit(1.0), F.col("x0")], F.col("x1"))
+    n, mean = F.col("n"), F.col("xx_0_1") / F.col("n")
+    var = F.col("xx_1_1") / n - mean * mean
+    slope = (F.col("xy_1") / n - mean * F.col("xy_0") / n) / var
+    intercept = F.col("xy_0") / n - slope * mean
+    noise = F.col("yy") / n - F.col("xy_0") / n * F.col("xy_0") / n - slope * slope * var
+    j = expfam.regression_joint(slope, intercept, noise, mean, var)
+    return s.select("l_linestatus", *[r(j[k]).alias(k) for k in ("slope_back", "intercept_back", "mean_y", "cov_xy")])
+
+
 _g = lambda k: f"(ln(0.2 * {k + 1}) - ln(-ln(" + uniform_sql("'gumbel'", "event_id", str(k)) + ")))"
 
 

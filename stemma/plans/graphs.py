@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stemma.functions.special import uniform, uniform_sql
+from stemma.functions.special import digamma_sql, uniform, uniform_sql
 from stemma.operators import hypergraph as hg
 from stemma.operators import learning, local
 from stemma.operators.factors import Inference, Model, Structure, var
@@ -415,6 +415,23 @@ def graph_V(spark, d):
     return CASES[""].inference(spark, d).down(4, 2).df.select("graph_id", F.col("x4").alias("state"), r("logw").alias("logw"))
 
 
+@query(nodes_sql(CASES[""]))
+def graph_model_posterior(spark, d):
+    """Smoothed nodes by the model of graphs."""
+    from stemma.operators.facade import GraphModel
+
+    post = GraphModel(CASES[""].model).posterior(CASES[""].packed(spark, d))
+    return post.filter("kind = 'node'").select("graph_id", "node", "state", r("value").alias("p"))
+
+
+@query(logz_sql(CASES["_fbs"]))
+def graph_model_marginal(spark, d):
+    """log P(Y) across cycles by the model of graphs."""
+    from stemma.operators.facade import GraphModel
+
+    return GraphModel(CASES["_fbs"].model).marginal(CASES["_fbs"].packed(spark, d)).select("graph_id", r("logz").alias("log_marginal"))
+
+
 @query()
 def graph_loopy_bp(spark, d):
     """Damped loopy belief propagation on graphs with a cycle, beside the exact answer."""
@@ -482,19 +499,98 @@ def ghmm_svi_step(spark, d):
     return long_table(spark, learning.each(c, lambda n: [(1 - RATE) + RATE * (1.0 + total / part * x) for x in n]), "alpha", 6)
 
 
-@query()
+def parameter_rows(m: Model) -> list[tuple[str, str, str, list[float]]]:
+    """(kind, key, states before the last, row) of every innermost row."""
+    from stemma.operators.factors import cells
+
+    rows: dict[tuple, list] = {}
+    for kind, t in (("root", m.prior), ("emission", m.emission), ("cpt", m.cpt)):
+        for k, x in t.items():
+            for c, p in cells(x):
+                rows.setdefault((kind, ",".join(map(str, k)) if isinstance(k, tuple) else str(k), ",".join(map(str, c[:-1]))), []).append(p)
+    return [(*k, v) for k, v in rows.items()]
+
+
+def iterated_sql(case: Case, rounds: int, start: Model, used, after, bound: str = "0.0") -> str:
+    """log P(Y) of every graph, again and again: cells p0.. of the rows, the tables made of them, the joint, the counts, new cells.
+
+    used(names of a row) are the parameters that the joint takes, after(names of the row's counts) the next
+    cells; bound is subtracted from log P(Y), an expression over the cells.
+    """
+    s, rows = case.structure, parameter_rows(start)
+    names, n = {}, 0
+    for kind, key, head, row_ in rows:
+        names[kind, key, head] = [f"p{n + i}" for i in range(len(row_))]
+        n += len(row_)
+
+    def nested(kind: str, key: str, dims: tuple[int, ...], head: tuple[int, ...] = ()) -> str:
+        if len(dims) == 1:
+            return "[" + ", ".join(used(names[kind, key, ",".join(map(str, head))])) + "]"
+        return "[" + ", ".join(nested(kind, key, dims[1:], (*head, i)) for i in range(dims[0])) + "]"
+
+    key_of = lambda v: ",".join(str(case.groups[x]) for x in (*s.parents.get(v, ()), v))
+    tables = {}
+    for v in s.nodes:
+        kind = "cpt" if v in s.parents else "root"
+        tables[kind, key_of(v)] = nested(kind, key_of(v), tuple(case.k(x) for x in (*s.parents.get(v, ()), v)))
+        tables["emission", str(case.groups[v])] = nested("emission", str(case.groups[v]), (case.k(v), D_OBS))
+    column = {k: f"t{i}" for i, k in enumerate(tables)}
+    nodes = ", ".join(f"({v})" for v in s.nodes)
+    obs = f"""obs as materialized (select graph_id, node, m, floor({uniform_sql("'obs'", 'graph_id', 'node', 'm')} * {D_OBS})::bigint as y from (select n_nationkey::bigint as graph_id, node, m from nation, (values {nodes}) t(node), range({M_OBS}) r(m)))"""
+    cells_ = ", ".join(f"{x!r}::double as {name}" for (*_, row_), of in zip(rows, names.values(), strict=True) for x, name in zip(row_, of, strict=True))
+    ctes, out = [obs, f"s0 as (select {cells_})"], []
+    where = " and ".join(f"(g.graph_id % 2 = 1 or x{v} in ({', '.join(map(str, states))}))" for v, states in case.evidence.items())
+    for i in range(rounds):
+        ctes.append(f"t_{i} as materialized (select {', '.join(f'{sql} as {column[k]}' for k, sql in tables.items())} from s{i})")
+        terms, joins, parts = [], [], []
+        for v in s.nodes:
+            em, kind, vs = column["emission", str(case.groups[v])], ("cpt" if v in s.parents else "root"), (*s.parents.get(v, ()), v)
+            ctes.append(f"l{v}_{i} as materialized (select graph_id, [{', '.join(f'sum(ln({em}[{k + 1}][y + 1]))' for k in range(case.k(v)))}] as l from obs, t_{i} where node = {v} group by 1)")
+            joins.append(f"join l{v}_{i} l{v} on l{v}.graph_id = g.graph_id")
+            terms.append(f"ln({column[kind, key_of(v)]}{''.join(f'[x{x} + 1]' for x in vs)}) + l{v}.l[x{v} + 1]")
+            cell = " || ',' || ".join(f"x{x}" for x in vs)
+            parts.append(f"select '{kind}' as kind, '{key_of(v)}' as key, cast({cell} as varchar) as cell, exp(w - z) as v from j_{i} join z_{i} using (graph_id)")
+            parts.append(f"select 'emission', '{case.groups[v]}', x{v} || ',' || y, exp(w - z) from j_{i} join z_{i} using (graph_id) join obs on obs.graph_id = j_{i}.graph_id and obs.node = {v}")
+        ctes.append(f"j_{i} as materialized (select g.graph_id, {', '.join(f'x{v}' for v in s.nodes)}, {' + '.join(terms)} as w from (select n_nationkey::bigint as graph_id from nation) g {' '.join(joins)}, t_{i}, {', '.join(f'range({case.k(v)}) r{v}(x{v})' for v in s.nodes)}" + (f" where {where}" if where else "") + ")")
+        ctes.append(f"z_{i} as materialized (select graph_id, {LSE.replace('joint_', f'j_{i}')} as z from j_{i} group by 1)")
+        out.append(f"select {i}::bigint as iteration, (select sum(z) from z_{i}) - (select {bound} from s{i}) as value")
+        if i + 1 < rounds:
+            ctes.append(f"c_{i} as materialized (select kind, key, cell, sum(v) as value from ({' union all '.join(parts)}) group by 1, 2, 3)")
+            counted = ", ".join(f"sum(case when kind = '{k}' and key = '{key}' and cell = '{head + ',' if head else ''}{j}' then value else 0 end) as {name}" for (k, key, head), of in names.items() for j, name in enumerate(of))
+            ctes.append(f"s{i + 1} as materialized (select {', '.join(f'{e} as {x}' for of in names.values() for e, x in zip(after(of), of, strict=True))} from (select {counted} from c_{i}))")
+    return f"with {', '.join(ctes)} " + " union all ".join(out)
+
+
+def row_sum(xs: list[str]) -> str:
+    return f"({' + '.join(xs)})"
+
+
+@query(f"select iteration, round(value, 5) as logp from ({iterated_sql(LEARN, 5, LEARN.model, lambda xs: xs, lambda xs: [f'{x} / {row_sum(xs)}' for x in xs])})")
 def ghmm_em_5iters_logp(spark, d):
     """log P(Y) over five EM iterations; it never falls."""
     _, trace = learning.fit_em(LEARN.packed(spark, d), LEARN.model, rounds=5)
     return spark.createDataFrame([(i, round(z, 5)) for i, z in enumerate(trace)], "iteration long, logp double")
 
 
-@query()
+#: Dirichlet parameters that CAVI starts from; the prior is one everywhere.
+START = learning.each(LEARN.model, lambda row_: [1.0 + 5 * p for p in row_])
+
+
+def elbo_sql() -> str:
+    expected = lambda xs: [f"exp({digamma_sql(x)} - {digamma_sql(row_sum(xs))})" for x in xs]
+    rows, n, kl = parameter_rows(START), 0, []
+    for *_, row_ in rows:
+        xs = [f"p{n + i}" for i in range(len(row_))]
+        n += len(row_)
+        kl.append(f"lgamma({row_sum(xs)}) - lgamma({len(xs)}) - ({' + '.join(f'lgamma({x})' for x in xs)}) + " + " + ".join(f"({x} - 1) * ({digamma_sql(x)} - {digamma_sql(row_sum(xs))})" for x in xs))
+    return iterated_sql(LEARN, 4, START, expected, lambda xs: [f"1.0 + {x}" for x in xs], " + ".join(kl))
+
+
+@query(f"select iteration, round(value, 5) as elbo from ({elbo_sql()})")
 def ghmm_elbo(spark, d):
     """The bound over four CAVI iterations; it never falls."""
     prior = learning.each(LEARN.model, lambda row_: [1.0] * len(row_))
-    start = learning.each(LEARN.model, lambda row_: [1.0 + 5 * p for p in row_])
-    _, trace = learning.fit_cavi(LEARN.packed(spark, d), prior, start, rounds=4)
+    _, trace = learning.fit_cavi(LEARN.packed(spark, d), prior, START, rounds=4)
     return spark.createDataFrame([(i, round(z, 5)) for i, z in enumerate(trace)], "iteration long, elbo double")
 
 

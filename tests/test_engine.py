@@ -197,7 +197,7 @@ def test_lds_em_rises(spark):
     df = spark.createDataFrame(rows, "seq_id long, t long, m long, d long, y double")
     model, zs = dense.LDS(np.zeros(2), np.eye(2), 0.3 * np.eye(2), np.eye(2), np.eye(2), np.eye(2)), []
     for _ in range(4):
-        model, z = dense.lds_em_step(model, df)
+        model, z = dense.lds_em_step(model, dense.packed(df))
         zs.append(z)
     assert all(b >= a - 1e-8 for a, b in zip(zs, zs[1:], strict=False))
 
@@ -581,3 +581,48 @@ def test_blocked_kalman_equals_the_whole(spark, width):
     assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
     z = {r["seq_id"]: r["logz"] for r in blocks.kalman_log_marginal(model, table, factors_).collect()}
     assert all(abs(z[r["seq_id"]] - r["fz"][-1]["l"]) < 1e-9 for r in whole.collect())
+
+
+# ---- many linear systems at once -------------------------------------------------------------------
+
+
+def test_many_sequences_equal_one_by_one():
+    g = np.random.default_rng(8)
+    model = dense.LDS(np.array([0.5, -1.0]), np.diag([1.0, 2.0]), np.eye(2), 0.3 * np.eye(2) + 0.05, g.normal(size=(3, 2)), 0.4 * np.eye(3), (np.array([[0.8, 0.1], [0.0, 0.7]]), np.array([[0.2, -0.5], [0.4, 0.3]])))
+    lengths = np.array([1, 5, 9, 9])
+    ys, us, zs = g.normal(size=(4, 9, 2, 3)), g.normal(size=(4, 9, 2)), g.integers(0, 2, (4, 9))
+    ys[g.random((4, 9, 2)) < 0.3, 0] = np.nan
+    us[g.random((4, 9, 2)) < 0.3] = np.nan
+    for i, n in enumerate(lengths):
+        ys[i, n:] = np.nan
+    ms, vs, cross, z = dense.smooth_many(model, ys, lengths, us, zs)
+    for i, n in enumerate(lengths):
+        own = [[y for y in step if not np.isnan(y).any()] for step in ys[i, :n]]
+        m, v, c, logz = model.smooth(own, us[i], zs[i])
+        assert np.allclose(ms[i, :n], m) and np.allclose(vs[i, :n], v) and np.allclose(cross[i, : n - 1], c if c else np.zeros((0, 2, 2))) and abs(z[i] - logz) < 1e-8
+
+
+def test_systems_fit_and_generate(spark):
+    from stemma.operators.facade import LDSModel
+
+    true = dense.LDS(np.zeros(2), np.eye(2), np.array([[0.9, 0.1], [0.0, 0.7]]), 0.2 * np.eye(2), np.eye(2), 0.2 * np.eye(2))
+    ids = spark.range(12).withColumnRenamed("id", "seq_id")
+    obs = LDSModel(true).generate(ids, 30, seed=3).withColumn("m", F.lit(0).cast("long"))
+    rows = dense.packed(obs)
+    start = dense.LDS(np.zeros(2), np.eye(2), 0.3 * np.eye(2), np.eye(2), np.eye(2), np.eye(2))
+    em = LDSModel(start).fit(rows, "em", rounds=5)
+    assert len(em.trace) == 5 and all(b >= a - 1e-9 for a, b in zip(em.trace, em.trace[1:], strict=False))
+    gibbs = [LDSModel(start).fit(rows, "gibbs", rounds=2, burn_in=1, seed=4).params.a for _ in range(2)]
+    assert np.allclose(*gibbs) and not np.allclose(gibbs[0], start.a)
+    assert em.predict(obs).count() == 12 * 30 * 2 and em.score(rows).count() == 12
+
+
+def test_regressions_turn_round():
+    g = np.random.default_rng(1)
+    r, x = dense.Regression(g.normal(size=(2, 3)), 0.3 * np.eye(2)), dense.Normal(g.normal(size=3), np.eye(3) + 0.2)
+    back, y = r.inverse(x)
+    for _ in range(5):
+        a, b = g.normal(size=3), g.normal(size=2)
+        joint = x.log_likelihood(a) + r.log_likelihood(a, b)
+        other = y.log_likelihood(b) + dense.mvn_logpdf(a, x.mean + back.a @ (b - y.mean), back.cov)
+        assert abs(joint - other) < 1e-9
