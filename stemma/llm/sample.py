@@ -9,6 +9,8 @@ from stemma.llm.common import staged
 
 #: The hash that orders the ids of a class, and how many times the wanted ids are looked at.
 RANGE, MARGIN = 1 << 30, 4
+#: Slices of the hash below the cut, whose sizes come to the driver for each class.
+SLICES = 256
 
 
 def counted(marks: DataFrame) -> dict:
@@ -30,19 +32,33 @@ def drawn(marks: DataFrame, counts: dict, most: dict, seed: str, exclusive: bool
     while True:
         if exclusive:
             cuts = dict.fromkeys(cuts, max(cuts.values()))
-        near = marks.filter(F.col("place") < of({y: int(c * RANGE) for y, c in cuts.items()}))
+        below = {y: max(1, int(c * RANGE)) for y, c in cuts.items()}
+        near = marks.filter(F.col("place") < of(below))
         if exclusive:
-            near = near.groupBy("i", "place").agg(F.min("y").alias("y"), F.max("y").alias("_other")).filter(F.col("y") == F.col("_other"))
+            near = near.groupBy("i", "place").agg(F.min("y").alias("y"), F.max("y").alias("_other")).filter(F.col("y") == F.col("_other")).select("y", "i", "place")
         else:
             near = near.distinct()
-        # at most a few times the sample, so a class may be ranked by one task
-        rank = F.row_number().over(Window.partitionBy("y").orderBy("place", "i"))
-        found = staged(near.withColumn("_rank", rank).filter(F.col("_rank") <= of(most)).select("y", "i"), "drawn")
-        got = counted(found)
-        short = {y for y, c in cuts.items() if c < 1 and got.get(y, 0) < most[y]}
+        near = staged(near.withColumn("slice", F.floor(F.col("place") * SLICES / of(below))), "near")
+        sizes: dict = {y: {} for y in counts}
+        for r in near.groupBy("y", "slice").count().collect():
+            sizes[r["y"]][r["slice"]] = r["count"]
+        short = {y for y, c in cuts.items() if c < 1 and sum(sizes[y].values()) < most[y]}
         if not short:
-            return found
+            break
         cuts = {y: min(1.0, 16 * c) if y in short else c for y, c in cuts.items()}
+    # whole slices of the hash, and the first of the slice in which the sample ends
+    last, left = {}, {}
+    for y, own in sizes.items():
+        last[y], left[y] = SLICES, most[y]
+        for k in sorted(own):
+            if own[k] > left[y]:
+                last[y] = k
+                break
+            left[y] -= own[k]
+    whole = near.filter(F.col("slice") < of(last)).select("y", "i")
+    rank = F.row_number().over(Window.partitionBy("y").orderBy("place", "i"))
+    rest = near.filter(F.col("slice") == of(last)).withColumn("_rank", rank).filter(F.col("_rank") <= of(left)).select("y", "i")
+    return staged(whole.unionByName(rest), "drawn")
 
 
 def with_texts(ids: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
