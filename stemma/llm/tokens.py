@@ -2,13 +2,15 @@
 
 The slow part of a byte-pair tokenizer is the merging inside a word.  Both encoders here cut a text at
 places which the tokenizer's own splitting pattern can never join, encode each distinct piece once per
-worker with the library, and look repeated pieces up.  The table of pieces is bounded.
+worker with the library, and look repeated pieces up; a word with signs at its ends is made of its parts.
+The table of pieces is bounded.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -17,10 +19,12 @@ from pyspark.sql import DataFrame
 
 from stemma.llm.common import map_rows
 
-#: Pieces that a worker remembers; further pieces are encoded each time they occur.
-REMEMBERED = 500_000
+#: Pieces that a worker remembers (about 200 bytes each); further pieces are encoded each time they occur.
+REMEMBERED = 600_000
 #: Pieces longer than this are encoded but not remembered.
 LONGEST_REMEMBERED = 64
+#: Signs at the ends of a word that its letters are parted from; not the apostrophe (contractions) nor what special tokens are written with.
+ENDS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~¡«»¿"
 
 
 @lru_cache(maxsize=4)
@@ -31,22 +35,29 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-class Remembered:
-    """piece -> value, filled by encoding all new pieces of a call in one batch."""
+class Remembered(dict):
+    """piece -> value.  A piece that is not there is made on the spot, and kept while there is room."""
 
-    def __init__(self, encode: Callable[[list[str]], list]):
-        self.encode, self.known = encode, {}
+    def __init__(self, make: Callable):
+        self.make = make
 
-    def look_up(self, pieces: list[str]) -> list:
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            fresh = list({p for p, v in zip(pieces, found, strict=True) if v is None})
-            made = dict(zip(fresh, self.encode(fresh), strict=True))
-            found = [made[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
-            room = REMEMBERED - len(self.known)
-            if room > 0:
-                self.known.update((p, v) for p, v in list(made.items())[:room] if len(p) <= LONGEST_REMEMBERED)
-        return found
+    def __missing__(self, piece: str):
+        value = self.make(piece)
+        if len(self) < REMEMBERED and len(piece) <= LONGEST_REMEMBERED:
+            self[piece] = value
+        return value
+
+
+def parted(piece: str) -> tuple[str, str, str] | None:
+    """Signs, letters, signs, if a piece is that, in Latin-1: the patterns of both tokenizers cut there for certain.
+
+    Most new pieces are a known word beside another sign.
+    """
+    core = piece.strip(ENDS)
+    if core and len(core) < len(piece) and core.isalpha() and max(core) <= "\xff":
+        at = piece.index(core)
+        return piece[:at], core, piece[at + len(core) :]
+    return None
 
 
 class WordIds:
@@ -62,33 +73,29 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.pieces = Remembered(self._encode)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.pieces = Remembered(self._made)
+
+    def _encode(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _made(self, piece: str) -> bytes:
+        parts = parted(piece)
+        return b"".join(self.pieces[p] for p in parts if p) if parts else self._encode(piece)
+
+    def one(self, text: str) -> bytes:
+        if self.odd.search(text):
+            return self._encode(text)
+        try:
+            text.encode("latin-1")
+            # the strings of special tokens are matched before folding, exactly as written
+            text = text if "<|" in text else text.lower()
+        except UnicodeEncodeError:
+            pass
+        return b"".join(map(self.pieces.__getitem__, text.split()))
 
     def many(self, texts: list[str]) -> list[bytes]:
-        words: list[list[str] | None] = []
-        for text in texts:
-            if self.odd.search(text):
-                words.append(None)
-                continue
-            try:
-                text.encode("latin-1")
-                # the strings of special tokens are matched before folding, exactly as written
-                text = text if "<|" in text else text.lower()
-            except UnicodeEncodeError:
-                pass
-            words.append(text.split())
-        found = self.pieces.look_up([w for ws in words if ws for w in ws])
-        out, at = [], 0
-        for text, ws in zip(texts, words, strict=True):
-            if ws is None:
-                out.append(self._encode([text])[0])
-            else:
-                out.append(b"".join(found[at : at + len(ws)]))
-                at += len(ws)
-        return out
+        return list(map(self.one, texts))
 
 
 class ByteCounts:
@@ -105,20 +112,26 @@ class ByteCounts:
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.first, self.rest = Remembered(self._count), Remembered(lambda p: self._count([" " + x for x in p]))
+        self.first, self.rest = Remembered(self._bare), Remembered(self._after_blank)
+
+    def _count(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False))
+
+    def _bare(self, piece: str) -> int:
+        parts = parted(piece)
+        return sum(self.first[p] for p in parts if p) if parts else self._count(piece)
+
+    def _after_blank(self, piece: str) -> int:
+        """The blank goes with the first part."""
+        parts = [p for p in parted(piece) or () if p]
+        return self.rest[parts[0]] + sum(self.first[p] for p in parts[1:]) if parts else self._count(" " + piece)
 
-    def _count(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def one(self, text: str) -> int:
+        words = self.sure.split(text) if self.doubtful.search(text) else text.split(" ")
+        return self.first[words[0]] + sum(map(self.rest.__getitem__, words[1:]))
 
     def many(self, texts: list[str]) -> list[int]:
-        words = [self.sure.split(t) if self.doubtful.search(t) else t.split(" ") for t in texts]
-        heads = self.first.look_up([w[0] for w in words])
-        found = self.rest.look_up([x for w in words for x in w[1:]])
-        out, at = [], 0
-        for w, head in zip(words, heads, strict=True):
-            out.append(head + sum(found[at : at + len(w) - 1]))
-            at += len(w) - 1
-        return out
+        return list(map(self.one, texts))
 
     def starts(self, text: str) -> np.ndarray:
         """Character offset at which each token starts."""

@@ -56,6 +56,23 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(data, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text[:50]
 
 
+def test_pieces_with_signs_equal_the_library(monkeypatch):
+    """Random words, signs and white space of all kinds; with room for every piece and for few."""
+    from tokenizers import Tokenizer
+
+    ids, counts = Tokenizer.from_file(WORDS), Tokenizer.from_file(BYTES)
+    r = random.Random(11)
+    bits = ["word", "Été", "ß", "don", "s", "ll", "VE", "12", "3", "²", "ª", "µ", "é", "ñ", "中", "İ", "ا", "क़", "\u0301", "'", "'s", "'T", "’", *tokens.ENDS, "<|", "|>", "<|endoftext|>", "<|startoftext|>", " ", " ", " ", "  ", "\n", "\t", "\u00a0", "\x1c", "…", "🙂"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 14))) for _ in range(4000)]
+    latin = [b for b in bits if max(b) <= "\xff"]
+    texts += ["".join(r.choice(latin) for _ in range(r.randrange(1, 14))) for _ in range(4000)]
+    for room in (1_000_000, 50):
+        monkeypatch.setattr(tokens, "REMEMBERED", room)
+        for text, data, n in zip(texts, tokens.WordIds(WORDS).many(texts), tokens.ByteCounts(BYTES).many(texts), strict=True):
+            assert np.frombuffer(data, "<u4").tolist() == ids.encode(text, add_special_tokens=False).ids, text
+            assert n == len(counts.encode(text, add_special_tokens=False)), text
+
+
 def test_token_counts_equal_the_library(spark):
     from tokenizers import Tokenizer
 
