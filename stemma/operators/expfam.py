@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions.special import LN_2PI, as_column, digamma, lgamma, total
+from stemma.sources.scratch import staged
 
 # ---- sufficient statistics ----------------------------------------------------------------------
 
@@ -225,9 +226,29 @@ def regression_joint(slope: Column, intercept: Column, noise: Column, mean: Colu
     return {"mean_y": slope * mean + intercept, "var_y": y, "cov_xy": cov, "slope_back": cov / y, "intercept_back": mean - cov / y * (slope * mean + intercept), "noise_back": var - cov * cov / y}
 
 
+def medians(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
+    """by.., the exact median of x (nulls are skipped), however many rows a group has.
+
+    Equal values are counted first; the values are dealt to ranges; the ranges' sums tell in which the
+    middle lies, and only that range is ranked.
+    """
+    from pyspark.sql import Window
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("_x")).agg(F.count("*").alias("_n"))
+    values = staged(values.repartitionByRange(parts, *by, "_x").withColumn("_p", F.spark_partition_id()), "values")
+    group, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_p")
+    sums = values.groupBy(*by, "_p").agg(F.sum("_n").alias("_m")).withColumn("_before", F.sum("_m").over(order) - F.col("_m")).withColumn("_all", F.sum("_m").over(group))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    holds = lambda k, begin, n: ((k >= begin) & (k < begin + n)).cast("int")
+    middle = sums.filter(holds(low, F.col("_before"), F.col("_m")) + holds(high, F.col("_before"), F.col("_m")) > 0).drop("_m")
+    ranked = values.join(middle, [*by, "_p"]).withColumn("_begin", F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_p").orderBy("_x")) - F.col("_n"))
+    times = holds(low, F.col("_begin"), F.col("_n")) + holds(high, F.col("_begin"), F.col("_n"))
+    return ranked.groupBy(*by).agg((F.sum(F.col("_x") * times) / 2).alias(name))
+
+
 def is_outlier(df: DataFrame, by: list[str], x: str, threshold: float = 3.5) -> DataFrame:
     """Rows with the modified z-score 0.6745 |x - median| / MAD and whether it exceeds the threshold."""
-    med = df.groupBy(*by).agg(F.median(x).alias("_median"))
-    dev = df.join(med, by).withColumn("_dev", F.abs(F.col(x) - F.col("_median")))
-    mad = dev.groupBy(*by).agg(F.median("_dev").alias("_mad"))
+    dev = df.join(medians(df, by, x, "_median"), by).withColumn("_dev", F.abs(F.col(x) - F.col("_median")))
+    mad = medians(dev, by, "_dev", "_mad")
     return dev.join(mad, by).withColumn("z", 0.6745 * F.col("_dev") / F.col("_mad")).withColumn("is_outlier", F.col("z") > threshold).drop("_median", "_dev", "_mad")

@@ -49,7 +49,7 @@ def count_rows(params, relaxed: bool = False):
 
 def expected_counts(packed: DataFrame, params) -> dict[tuple[str, str, str], float]:
     """kind, key, cell -> sum over all graphs (parameter-sized)."""
-    per = packed.groupBy("graph_id").applyInPandas(count_rows(params), COUNTS)
+    per = local.per_graph(packed, count_rows(params), COUNTS)
     return {(r["kind"], r["key"], r["cell"]): r["value"] for r in per.groupBy("kind", "key", "cell").agg(F.sum("value").alias("value")).collect()}
 
 
@@ -174,7 +174,7 @@ def with_uniforms(packed: DataFrame, seed: int) -> DataFrame:
 
 def sample_states(packed: DataFrame, params: Model, seed: int) -> DataFrame:
     """graph_id, node, state drawn from P(x | Y), fixed by the seed."""
-    return with_uniforms(packed, seed).groupBy("graph_id").applyInPandas(local.sampled_rows(params), "graph_id long, node long, state long")
+    return local.per_graph(with_uniforms(packed, seed), local.sampled_rows(params), "graph_id long, node long, state long")
 
 
 def state_counts(packed: DataFrame, states: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def log_marginals(packed: DataFrame, draws: list[Model]) -> DataFrame:
         gid = int(pdf["graph_id"].iloc[0])
         return pd.DataFrame([(gid, k, local.graph_of(pdf, d).log_marginal()) for k, d in enumerate(draws)], columns=["graph_id", "draw", "logz"])
 
-    return packed.groupBy("graph_id").applyInPandas(run, "graph_id long, draw long, logz double")
+    return local.per_graph(packed, run, "graph_id long, draw long, logz double")
 
 
 # ---- neural emissions ----------------------------------------------------------------------------
@@ -300,7 +300,7 @@ def fit_neural(packed: DataFrame, params: Model, net: Recogniser, rounds: int =
     """Maximises the summed objective by Adam; gradients are summed by Spark, the network stays on the driver."""
     adam, trace = Adam(rate), []
     for _ in range(rounds):
-        per = packed.groupBy("graph_id").applyInPandas(neural_rows(params, net, labels), "i long, value double")
+        per = local.per_graph(packed, neural_rows(params, net, labels), "i long, value double")
         got = {r["i"]: r["value"] for r in per.groupBy("i").agg(F.sum("value").alias("value")).collect()}
         flat, grads, at = np.array([got[i] for i in range(len(got) - 1)]), [], 0
         for w in net.w:

@@ -1,4 +1,4 @@
-"""Work on one small graph at a time, for ``applyInPandas`` keyed by graph_id.
+"""Work on one small graph at a time: a packed row, or all rows of a graph_id by ``applyInPandas``.
 
 What needs graph-shaped control flow (searches, schedules, loopy propagation) or dense tensors is done
 here in numpy, a graph per call; graphs are independent, so this scales with their number.
@@ -15,6 +15,17 @@ import pandas as pd
 MOST_CELLS = 100_000_000
 
 
+def per_graph(packed, run, schema: str):
+    """run (a frame of one row to a frame) on every row of a packed table, where it is: nothing is shuffled."""
+
+    def work(parts):
+        for pdf in parts:
+            for i in range(len(pdf)):
+                yield run(pdf.iloc[i : i + 1])
+
+    return packed.mapInPandas(work, schema)
+
+
 def hyperedges(pdf: pd.DataFrame) -> list[tuple[int, tuple[int, ...], tuple[int, ...]]]:
     """(edge, parents in order, children in order), by edge."""
     out = []

@@ -326,7 +326,7 @@ def logz_sql(case: Case) -> str:
 
 
 def posterior(case: Case, spark, d):
-    return case.packed(spark, d).groupBy("graph_id").applyInPandas(local.posterior_rows(case.model), local.POSTERIOR)
+    return local.per_graph(case.packed(spark, d), local.posterior_rows(case.model), local.POSTERIOR)
 
 
 def nodes_query(case: Case):
@@ -437,7 +437,7 @@ def graph_loopy_bp(spark, d):
     """Damped loopy belief propagation on graphs with a cycle, beside the exact answer."""
     case = CASES["_fbs"]
     packed = case.packed(spark, d)
-    loopy = packed.groupBy("graph_id").applyInPandas(local.loopy_rows(case.model), "graph_id long, node long, state long, p double")
+    loopy = local.per_graph(packed, local.loopy_rows(case.model), "graph_id long, node long, state long, p double")
     exact = posterior(case, spark, d).filter("kind = 'node'").select("graph_id", "node", "state", F.col("value").alias("exact"))
     return loopy.join(exact, ["graph_id", "node", "state"]).select("graph_id", "node", "state", r("p").alias("p"), r("exact").alias("exact"))
 

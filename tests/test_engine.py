@@ -626,3 +626,12 @@ def test_regressions_turn_round():
         joint = x.log_likelihood(a) + r.log_likelihood(a, b)
         other = y.log_likelihood(b) + dense.mvn_logpdf(a, x.mean + back.a @ (b - y.mean), back.cov)
         assert abs(joint - other) < 1e-9
+
+
+def test_medians_are_exact(spark):
+    g = np.random.default_rng(4)
+    rows = [(k, None if g.random() < 0.1 else float(np.round(g.normal(), 1 + k))) for k in range(4) for _ in range(int(g.integers(1, 400)))] + [(9, 7.0)] * 500 + [(8, None)] + [(7, 1.0), (7, 2.0)]
+    df = spark.createDataFrame(rows, "k long, x double").repartition(6)
+    got = {r["k"]: r["m"] for r in expfam.medians(df, ["k"], "x", "m").collect()}
+    want = {k: float(np.median([x for j, x in rows if j == k and x is not None])) for k in (0, 1, 2, 3, 7, 9)}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
