@@ -44,6 +44,42 @@ def test_samples_of_one_hot_id(spark):
     assert sample.drawn(marks, sample.counted(marks), {0: 25}, "s").count() == 25
 
 
+def plain_density(lex, text):
+    """Every entry searched for at every place of the folded text."""
+    folded = toxicity.fold(text or "")
+    spared = [(a, a + len(f) - 1) for e in lex.exceptions for f in [toxicity.fold(e)] for a in range(len(folded)) if folded.startswith(f, a)]
+    total = hits = 0
+    for a in range(len(folded)):
+        found = [(x, len(w)) for w, x in lex.weights.items() if folded.startswith(w, a)]
+        if found:
+            best = max(x for x, _ in found)
+            end = a + min(n for x, n in found if x == best) - 1
+            if not any(x <= a and min(end, a + 2) <= y for x, y in spared):
+                total, hits = total + best, hits + 1
+    return total / (1 + math.log1p(folded.count(" ") / 100)), hits
+
+
+def test_toxicity_equals_a_plain_search():
+    lex = toxicity.Lexicon({" idiot ": 4.0, " idi": 2.0, " idio": 4.0, " trash ": 3.0, " stup": 3.0, " scum ": 2.5}, ("trash can", "pond scum", "idiot box"))
+    r = random.Random(2)
+    for _ in range(500):
+        text = " ".join(r.choice(["idiot", "1diot", "idi", "idiom", "trash", "can", "tra$h", "stupidly", "pond", "scum", "box", "fine", "ídiot", "день"]) for _ in range(r.randrange(0, 40)))
+        got, want = lex.density(text), plain_density(lex, text)
+        assert got[1] == want[1] and abs(got[0] - want[0]) < 1e-9, text
+
+
+def test_long_conversations_take_linear_time(spark):
+    from stemma.llm import chat
+
+    n = 60_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 5 < 2, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t%<|"), F.col("id").cast("string")).alias("text"))
+    r = chat.format_chats(rows).withColumn("turns", chat.parse_chats(F.col("formatted"))).first()
+    assert [(t["role"], t["text"]) for t in r["turns"]] == [("user" if i % 5 < 2 else "assistant", f"t%<|{i}") for i in range(n)]
+    assert len(r["loss_spans"]) == n * 3 // 5
+    for s, i in list(zip(r["loss_spans"], [i for i in range(n) if i % 5 > 1], strict=True))[::997]:
+        assert r["formatted"][s["begin"] : s["begin"] + s["length"]] == f"t%25<%7C{i}"
+
+
 def labelled(spark):
     r = random.Random(3)
     plain = corpus(300, seed=4)
