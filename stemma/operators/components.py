@@ -14,8 +14,9 @@ def star(edges: DataFrame, large: bool, by: list[str]) -> DataFrame:
     """Links each node's neighbours to the smallest id around it.
 
     large: the neighbours above the node, over links in both directions; small: the node's lower
-    neighbours and itself.  The minimum is aggregated before the shuffle and then joined back from a table, so
-    that adaptive execution may split the partition of a node with very many links.
+    neighbours and itself.  The minimum is aggregated before the shuffle and then joined back; in the large
+    star, where a node may have very many links, from a table, so that adaptive execution may split its
+    partition.
     """
     if large:
         both = edges.union(edges.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,7 +24,9 @@ def star(edges: DataFrame, large: bool, by: list[str]) -> DataFrame:
     else:
         both = edges.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         near = F.min("v")
-    least = staged(both.groupBy(*by, "u").agg(near.alias("m")), "least")
+    least = both.groupBy(*by, "u").agg(near.alias("m"))
+    if large:
+        least = staged(least, "least")
     joined = both.join(least, [*by, "u"])
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
