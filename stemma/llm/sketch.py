@@ -151,7 +151,8 @@ def candidates(sketches: DataFrame) -> DataFrame:
 
 def shingle_sets(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """root, tid, fp, grams (the sorted set of 64-bit shingle hashes) of the members (tid, fp, root), one row each."""
-    own = texts.join(members, "tid").groupBy("tid").agg(F.first("fp").alias("fp"), F.first("root").alias("root"), F.first("text").alias("text"))
+    # copies of a text meet before they are shuffled
+    own = texts.groupBy("tid").agg(F.first("text").alias("text")).join(members, "tid")
     make = lambda: lambda columns: [(r, i, f, np.unique(shingle_hashes(t, width)).tobytes()) for r, i, f, t in zip(*columns, strict=True)]
     return map_rows(own.select("root", "tid", "fp", "text"), make, "root long, tid long, fp long, grams binary")
 
