@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from stemma.sources.scratch import shared_dir, staged
 
-__all__ = ["crc_mod", "map_rows", "shared_dir", "staged", "table"]
+__all__ = ["bounded", "crc_mod", "map_rows", "shared_dir", "staged", "table"]
 
 #: Rows that a Python stage turns into Python objects at once; texts may be long.
 SLICE_ROWS = 128
+#: Bytes of a join's side that may be broadcast; beyond them it is shuffled, and adaptive execution splits hot keys.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,11 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def bounded(df: DataFrame, size: int) -> DataFrame:
+    """``df`` marked for broadcast if its measured ``size`` in bytes allows it, as it is otherwise."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], Iterable[tuple]]], schema: str) -> DataFrame:
     """``mapInArrow`` with plain lists.
 

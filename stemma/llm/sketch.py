@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import map_rows, staged
+from stemma.llm.common import bounded, map_rows, staged
 from stemma.operators.components import components
 
 HASHES, ROWS, BANDS = 256, 4, 24
@@ -28,6 +28,8 @@ BANDED = 2 * ROWS * BANDS
 HOT_BUCKET = 4_096
 #: Bytes of shingle hashes of a cluster that one task compares; a larger cluster is dealt to several tasks by pairs of parts.
 PART_BYTES = 1 << 24
+#: Bytes of a large cluster's row without its head, for the check of what is broadcast.
+ROOT_BYTES = 64
 
 _rng = np.random.default_rng(20_240_501)
 MUL = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -165,12 +167,16 @@ def sketch_links(sketches: DataFrame, texts: DataFrame, width: int = 5) -> DataF
     near = components(candidates(sketches))
     members = sketches.select("tid", "fp").join(near, F.col("tid") == F.col("node")).select("tid", "fp", "root")
     sets = staged(shingle_sets(members, texts, width), "sets")
-    large = sets.groupBy("root").agg(F.sum(F.length("grams")).alias("size"), F.min_by("grams", "tid").alias("head"), F.min_by("fp", "tid").alias("head_fp")).filter(F.col("size") > PART_BYTES)
-    large = staged(large, "large")
-    small = sets.join(F.broadcast(large.select("root")), "root", "left_anti").select(F.col("root").alias("key"), F.col("fp").alias("id"), "grams")
-    if large.isEmpty():
-        return compared(small)
-    grid, stars = dealt_by_pairs(sets.join(F.broadcast(large), "root"))
+    # sizes first: only the sets of large clusters are looked at for a head
+    large = staged(sets.groupBy("root").agg(F.sum(F.length("grams")).alias("size")).filter(F.col("size") > PART_BYTES).select("root"), "large")
+    n = large.count()
+    if not n:
+        return compared(sets.select(F.col("root").alias("key"), F.col("fp").alias("id"), "grams"))
+    large = bounded(large, n * ROOT_BYTES)
+    small = sets.join(large, "root", "left_anti").select(F.col("root").alias("key"), F.col("fp").alias("id"), "grams")
+    heads = staged(sets.join(large, "root").groupBy("root").agg(F.min_by("grams", "tid").alias("head"), F.min_by("fp", "tid").alias("head_fp")), "heads")
+    size = heads.agg(F.sum(F.length("head") + ROOT_BYTES)).first()[0]
+    grid, stars = dealt_by_pairs(sets.join(bounded(heads, size), "root"), n)
     return compared(small.unionByName(grid)).unionByName(stars)
 
 
@@ -178,10 +184,10 @@ def compared(cells: DataFrame) -> DataFrame:
     return by_key(cells, lambda x: np.frombuffer(x, np.uint64), similar, "u long, v long")
 
 
-def dealt_by_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def dealt_by_pairs(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Cells (key, id, grams) of large clusters in which every two texts meet that may still have to be linked, and the links to heads.
 
-    rows: root, tid, fp, grams and the cluster's head, head_fp.  Texts at 0.8 from the head are linked to it
+    rows: root, tid, fp, grams and the cluster's head, head_fp, of ``n`` clusters.  Texts at 0.8 from the head are linked to it
     and need not meet each other; every part of the others meets every part of all.
     """
 
@@ -194,10 +200,10 @@ def dealt_by_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         return work
 
-    rows = staged(map_rows(rows.select("root", "tid", "fp", "grams", "head", "head_fp"), make, "root long, tid long, fp long, head_fp long, held boolean, grams binary"), "heads")
+    rows = staged(map_rows(rows.select("root", "tid", "fp", "grams", "head", "head_fp"), make, "root long, tid long, fp long, head_fp long, held boolean, grams binary"), "held")
     bytes_of = lambda held: F.coalesce(F.sum(F.when(F.col("held") == held, F.length("grams"))), F.lit(0))
     parts = rows.groupBy("root").agg(*[F.ceil(bytes_of(held) / PART_BYTES).cast("int").alias(n) for n, held in (("apart", False), ("near", True))])
-    rows = rows.join(F.broadcast(parts), "root")
+    rows = rows.join(bounded(parts, n * ROOT_BYTES), "root")
     own = F.pmod(F.xxhash64(F.lit(1), "tid"), F.when(F.col("held"), F.col("near")).otherwise(F.col("apart"))).cast("int")
     upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     cell = lambda kind, a, b: F.xxhash64(F.lit(kind), "root", a, b)

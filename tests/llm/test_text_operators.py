@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from stemma.llm import chat, decontaminate, fingerprint, langid, licenses, packing, sharding, simhash, sketch, tokens, toxicity
+from stemma.llm import chat, common, decontaminate, fingerprint, langid, licenses, packing, sharding, simhash, sketch, tokens, toxicity
 from stemma.operators import components
 
 from tests.conftest import DATA
@@ -204,9 +204,11 @@ def test_similarity_is_exact_around_the_threshold(spark):
     assert {x["doc_id"] for x in simhash.keep_one(documents(spark, texts, True)).collect()} == want
 
 
-@pytest.mark.parametrize(("n", "low", "high"), [(6, 16, 30), (6, 36, 50), (150, 22, 22)])
-def test_hot_buckets_and_clusters_lose_no_link(spark, monkeypatch, n, low, high):
+@pytest.mark.parametrize(("n", "low", "high", "broadcast"), [(6, 16, 30, True), (6, 36, 50, True), (150, 22, 22, True), (6, 36, 50, False)])
+def test_hot_buckets_and_clusters_lose_no_link(spark, monkeypatch, n, low, high, broadcast):
     monkeypatch.setattr(sketch, "HOT_BUCKET", 1)
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(sketch, "PART_BYTES", 8_000, raising=False)
     texts = family(n, 22, low, high)
     assert {x["doc_id"] for x in simhash.keep_one(documents(spark, texts, True)).collect()} == brute_kept(texts)
