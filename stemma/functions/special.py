@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,6 +78,17 @@ def normal_logpdf(x: Column, mean, var) -> Column:
     return -0.5 * ((x - mean) * (x - mean) / var + F.ln(var) + LN_2PI)
 
 
+def normal_full_logpdf(residuals: list[Column], cov) -> Column:
+    """ln N(residuals; 0, cov) for a whole covariance; null if a residual is.
+
+    The residuals are whitened by the inverse of the Cholesky factor, whose entries are literals.
+    """
+    low = np.linalg.cholesky(np.asarray(cov, float))
+    w = np.linalg.inv(low)
+    z = [total(float(w[i, j]) * residuals[j] for j in range(i + 1)) for i in range(len(residuals))]
+    return -0.5 * total(x * x for x in z) - float(np.log(np.diag(low)).sum() + len(residuals) / 2 * LN_2PI)
+
+
 def uniform(*keys: Column | str) -> Column:
     """A number in (0, 1) that depends on the keys alone: 48 bits of their md5, the same on every run and engine."""
     text = F.concat_ws("|", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])

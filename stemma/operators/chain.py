@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.functions.special import lse, lse_array, normal_logpdf, total
+from stemma.functions.special import lse, lse_array, normal_full_logpdf, normal_logpdf, total
 
 NEVER = -1e300
 
@@ -112,6 +114,31 @@ def gaussian_diagonal(means, variances, ys: Column) -> Column:
     return vector([one(m, v) for m, v in zip(means, variances, strict=True)])
 
 
+def gaussian_full(means, covs, ys: Column) -> Column:
+    """Several dimensions with a whole covariance per state; null entries of the array ``ys`` are integrated out.
+
+    There is one marginal for each set of entries that may be seen, so the dimensions must be few.
+    """
+    d = len(means[0])
+    seen = [list(s) for n in range(d, 0, -1) for s in combinations(range(d), n)]
+
+    def one(m, cov) -> Column:
+        # the first that isn't null is that of exactly the entries that are seen
+        return F.coalesce(*[normal_full_logpdf([at(ys, i) - float(m[i]) for i in s], np.asarray(cov, float)[np.ix_(s, s)]) for s in seen], F.lit(0.0))
+
+    return vector([one(m, c) for m, c in zip(means, covs, strict=True)])
+
+
+def regression_full(matrices, intercepts, covs, previous: Column, xs: Column) -> Column:
+    """Mode likelihoods of a step of a vector chain, x = A previous + b + noise; zero for a step without a predecessor."""
+
+    def one(a, b, cov) -> Column:
+        d = range(len(b))
+        return F.coalesce(normal_full_logpdf([at(xs, i) - (total(float(a[i][j]) * at(previous, j) for j in d) + float(b[i])) for i in d], cov), F.lit(0.0))
+
+    return vector([one(a, b, c) for a, b, c in zip(matrices, intercepts, covs, strict=True)])
+
+
 def regression(slopes, intercepts, variances, previous: Column, x: Column) -> Column:
     """Mode likelihoods of a step of a continuous chain; zero for the first step, which has no predecessor."""
     return vector([F.coalesce(normal_logpdf(x, s * previous + b, v), F.lit(0.0)) for s, b, v in zip(slopes, intercepts, variances, strict=True)])

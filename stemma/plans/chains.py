@@ -379,6 +379,49 @@ def slds_log_marginal(spark, d):
     return seqs.withColumn("pairs", pairs).select("seq_id", r(chain.log_marginal(MODEL, steps), 5).alias("log_marginal"))
 
 
+# ---- vector emissions with whole covariances ----
+
+CENTRES, COVS = ((2.0, 1.0), (4.0, 2.5)), (((1.0, 0.3), (0.3, 0.8)), ((0.5, -0.2), (-0.2, 1.2)))
+TURNS, DRIFTS = (((0.2, 0.1), (0.0, 0.3)), ((0.6, -0.1), (0.2, 0.5))), ((2.5, 1.0), (1.0, 0.5))
+
+
+def normal2_sql(a: str, b: str, cov) -> str:
+    """ln N((a, b); 0, cov) by the inverse of the two by two matrix."""
+    (c, e), (_, f) = cov
+    det = c * f - e * e
+    return f"(-0.5 * (({f!r} * power({a}, 2) - 2 * {e!r} * ({a}) * ({b}) + {c!r} * power({b}, 2)) / {det!r} + ln({det!r}) + 2 * ln(2 * pi())))"
+
+
+def full_sql(k: int) -> str:
+    a, b = f"v - {CENTRES[k][0]!r}", f"w - {CENTRES[k][1]!r}"
+    return f"coalesce({normal2_sql(a, b, COVS[k])}, {LOGPDF.format(x='v', m=CENTRES[k][0], v=COVS[k][0][0])}, 0.0) as l{k}"
+
+
+def turned_sql(k: int) -> str:
+    a, b = (f"{x} - ({TURNS[k][i][0]!r} * pv + {TURNS[k][i][1]!r} * pw + {DRIFTS[k][i]!r})" for i, x in enumerate("vw"))
+    return f"coalesce({normal2_sql(a, b, COVS[k])}, 0.0) as l{k}"
+
+
+FULL = f"select seq_id, t, {', '.join(map(full_sql, range(K)))} from (select seq_id, t, ln(1 + value) as v, case when y < 4 then y::double end as w from ({SEQ}))"
+TURNED = f"select seq_id, t, {', '.join(map(turned_sql, range(K)))} from (select seq_id, t, v, w, lag(v) over s as pv, lag(w) over s as pw from (select seq_id, t, ln(1 + value) as v, y::double as w from ({SEQ})) window s as (partition by seq_id order by t))"
+
+
+@query(f"with recursive {ctes(FULL)} select seq_id, round(logz, 5) as log_marginal from z")
+def gaussian_hmm_full_covariance(spark, d):
+    """Two-dimensional emissions with a whole covariance per state; the second entry is missing at views."""
+    both = lambda x: F.array(F.ln(1 + x["value"]), F.when(x["y"] < 4, x["y"].cast("double")))
+    steps = steps_of(lambda x: chain.bind(both(x), lambda v: chain.gaussian_full(CENTRES, COVS, v)))
+    return event_sequences(spark, d, "value").select("seq_id", r(chain.log_marginal(MODEL, steps), 5).alias("log_marginal"))
+
+
+@query(f"with recursive {ctes(TURNED)} select seq_id, round(logz, 5) as log_marginal from z")
+def slds_vector_log_marginal(spark, d):
+    """Modes of a two-dimensional chain: each is a matrix, a drift and a covariance of the noise."""
+    seqs = event_sequences(spark, d, "value").withColumn("vs", F.transform("xs", lambda x: F.array(F.ln(1 + x["value"]), x["y"].cast("double"))))
+    steps = F.transform("vs", lambda v, i: F.struct(chain.regression_full(TURNS, DRIFTS, COVS, F.when(i > 0, F.get(F.col("vs"), i - 1)), v).alias("like")))
+    return seqs.select("seq_id", r(chain.log_marginal(MODEL, steps), 5).alias("log_marginal"))
+
+
 # ---- scalar Kalman --------------------------------------------------------------------------------
 
 LDS = chain.LDS1(3.0, 2.0, 0.8, 0.5, 1.1, 0.7)
