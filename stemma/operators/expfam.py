@@ -7,12 +7,15 @@ expected statistics, entropies and divergences are scalar expressions over the f
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations_with_replacement
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.functions.special import LN_2PI, as_column, digamma, lgamma, total
+from stemma.functions.special import LN_2PI, as_column, digamma, lgamma, normal_full_logpdf, total, uniform
+from stemma.operators.chain import bind, scan
 from stemma.sources.scratch import staged
 
 # ---- sufficient statistics ----------------------------------------------------------------------
@@ -157,8 +160,6 @@ def log_gamma_draw(alpha: Column, *keys: str) -> Column:
     brought back by a power of a further uniform, in logarithms, so that tiny alphas don't vanish.
     ``keys`` with a number and a letter fix each uniform.
     """
-    from stemma.functions.special import uniform
-
     d = F.greatest(alpha, F.lit(0.0)) + F.when(alpha < 1, 1.0).otherwise(0.0) - 1 / 3
 
     def proposal(i: Column) -> Column:
@@ -179,6 +180,79 @@ def dirichlet_draw(df: DataFrame, by: list[str], alpha: str, *keys: str) -> Data
     return drawn.withColumn("theta", F.col("_g") / F.sum("_g").over(w)).drop("_g")
 
 
+def dirichlet_log_terms(c: DataFrame, by: list[str], theta: str, prior: float) -> DataFrame:
+    """by, log_params, log_likelihood, log_joint, log_marginal, log_posterior of given proportions ``theta`` and counts ``n``.
+
+    One row per cell; the prior is symmetric.  The joint is that of the proportions and the counted sequence.
+    """
+    size, n, t = F.count("*"), F.sum("n"), F.ln(F.col(theta))
+    front = lgamma(size * float(prior)) - size * lgamma(as_column(prior))
+    params = front + F.sum((float(prior) - 1) * t)
+    likelihood = F.sum(F.col("n") * t)
+    marginal = front - lgamma(n + size * float(prior)) + F.sum(lgamma(F.col("n") + float(prior)))
+    terms = c.groupBy(*by).agg(params.alias("log_params"), likelihood.alias("log_likelihood"), marginal.alias("log_marginal"))
+    return terms.withColumn("log_joint", F.col("log_params") + F.col("log_likelihood")).withColumn("log_posterior", F.col("log_joint") - F.col("log_marginal"))
+
+
+# ---- tensors --------------------------------------------------------------------------------------
+
+
+def along(cells: list[Column], shape: list[int], axis: int, matrix: np.ndarray) -> list[Column]:
+    """The cells (last axis fastest) of a tensor multiplied by a matrix along one axis; zeros cost nothing."""
+    at = np.arange(len(cells)).reshape(shape)
+    lines, out = np.moveaxis(at, axis, -1).reshape(-1, shape[axis]), [F.lit(0.0)] * len(cells)
+    for line in lines:
+        for i, k in enumerate(line):
+            out[k] = total(float(m) * cells[j] for m, j in zip(matrix[i], line, strict=True) if m)
+    return out
+
+
+def tensor_normal_loglik(cells: list[Column], mean: np.ndarray, covs: list) -> Column:
+    """Log density of a tensor given as columns (last axis fastest) with one covariance per axis: each axis is whitened for itself."""
+    mean = np.asarray(mean, float)
+    lows = [np.linalg.cholesky(np.asarray(c, float)) for c in covs]
+    z = [x - float(m) for x, m in zip(cells, mean.ravel(), strict=True)]
+    for axis, low in enumerate(lows):
+        z = along(z, list(mean.shape), axis, np.linalg.inv(low))
+    log_det = sum(mean.size / len(low) * float(np.log(np.diag(low)).sum()) for low in lows)
+    return -0.5 * total(x * x for x in z) - (log_det + mean.size / 2 * LN_2PI)
+
+
+def tensor_regression_predict(a: np.ndarray, inputs: list[list[Column]]) -> list[Column]:
+    """The outputs (first axis of ``a``) of a form that is linear in each of the inputs."""
+    a = np.asarray(a, float)
+    return [total(float(a[(o, *k)]) * reduce(lambda p, x: p * x, [x[i] for x, i in zip(inputs, k, strict=True)]) for k in np.ndindex(*a.shape[1:])) for o in range(a.shape[0])]
+
+
+def tensor_regression_loglik(a: np.ndarray, cov, inputs: list[list[Column]], outputs: list[Column]) -> Column:
+    return normal_full_logpdf([y - m for y, m in zip(outputs, tensor_regression_predict(a, inputs), strict=True)], cov)
+
+
+def tensor_regression_stats(df: DataFrame, by: list[str], inputs: list[list[Column]], output: Column) -> DataFrame:
+    """Moments of an output on all products of one entry of each input, last input fastest (see :func:`regression_stats`)."""
+    products = reduce(lambda p, x: [a * b for a in p for b in x], inputs)
+    return regression_stats(df, by, products, output)
+
+
+# ---- Metropolis -----------------------------------------------------------------------------------
+
+
+def metropolis_chain(log_p, start: Column, steps: int, width: float, *keys) -> Column:
+    """array<struct(x, lp, moved)> of a random walk per row, the start first: proposals within ``width``, uniforms fixed by the keys.
+
+    ``log_p`` maps a state column to its unnormalised log density; ``keys`` are columns of the row.
+    """
+    row = lambda x, lp, moved: F.struct(x.alias("x"), lp.alias("lp"), moved.alias("moved"))
+    u = lambda k, letter: uniform(*keys, k, F.lit(letter))
+
+    def step(s: Column, k: Column) -> Column:
+        proposed = s["x"] + width * (2 * u(k, "step") - 1)
+        tried = bind(proposed, lambda y: F.struct(y.alias("y"), log_p(y).alias("lq")))
+        return bind(tried, lambda t: F.when(F.ln(u(k, "take")) < t["lq"] - s["lp"], row(t["y"], t["lq"], F.lit(1))).otherwise(row(s["x"], s["lp"], F.lit(0))))
+
+    return scan(F.sequence(F.lit(1), F.lit(steps)), bind(start, lambda x: row(x, log_p(x), F.lit(0))), step)
+
+
 # ---- scalar normals -------------------------------------------------------------------------------
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations_with_replacement, product
 
-from itertools import combinations_with_replacement
-
+import numpy as np
 from pyspark.sql import functions as F
 
 from stemma.functions.special import digamma_sql, gumbel, normal_logpdf, uniform, uniform_sql
@@ -391,3 +391,94 @@ def cv_folds(spark, d):
 )
 def class_upsample(spark, d):
     return evaluation.upsample(table(spark, d, "labels"), "toxic", "doc_id").select("doc_id", "toxic", "copy")
+
+
+# ---- tensors ----------------------------------------------------------------------------------------
+
+CELLS = ["l_quantity / 25", "l_extendedprice / 30000", "l_discount * 20", "l_tax * 25"]
+TENSOR_MEAN = [[1.0, 1.2], [1.0, 0.9]]
+TENSOR_COVS = [[[1.0, 0.3], [0.3, 0.8]], [[0.9, -0.2], [-0.2, 0.7]]]
+TENSOR_A = [[[0.5, 0.4], [0.2, -0.1]], [[1.0, -0.3], [0.1, 0.25]]]
+
+
+def kron_sql(z: list[str], mean: list[float], cov) -> str:
+    """ln N(z; mean, cov) with the whole inverse written out."""
+    back = np.linalg.inv(np.asarray(cov))
+    quad = " + ".join(f"({float(back[i, j])!r}) * ({z[i]} - {mean[i]!r}) * ({z[j]} - {mean[j]!r})" for i, j in product(range(len(z)), repeat=2))
+    return f"-0.5 * ({quad}) - {0.5 * float(np.log(np.linalg.det(np.asarray(cov))))!r} - {len(z) / 2} * ln(2 * pi())"
+
+
+@query(f"select l_returnflag, round(sum({kron_sql(CELLS, [x for row in TENSOR_MEAN for x in row], np.kron(*TENSOR_COVS))}), 3) as loglik from lineitem group by 1")
+def tensor_normal_loglik(spark, d):
+    """Two by two tensors of a line's measures with one covariance per axis; the SQL uses their Kronecker product."""
+    part = expfam.tensor_normal_loglik([F.expr(c) for c in CELLS], TENSOR_MEAN, TENSOR_COVS)
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(r(F.sum(part), 3).alias("loglik"))
+
+
+INPUTS = [["1.0::double", "l_quantity / 25"], ["1.0::double", "l_extendedprice / 30000"]]
+FORM = [" + ".join(f"({TENSOR_A[o][i][j]!r}) * ({INPUTS[0][i]}) * ({INPUTS[1][j]})" for i, j in product(range(2), repeat=2)) for o in range(2)]
+
+
+def tensor_inputs():
+    return [[F.lit(1.0), F.expr(xs[1])] for xs in INPUTS]
+
+
+@query(f"select l_returnflag, round(sum({kron_sql([f'(l_discount * 20 - ({FORM[0]}))', f'(l_tax * 25 - ({FORM[1]}))'], [0.0, 0.0], TENSOR_COVS[0])}), 3) as loglik from lineitem group by 1")
+def tensor_regression_loglik(spark, d):
+    """Two outputs that are linear in each of two inputs."""
+    part = expfam.tensor_regression_loglik(TENSOR_A, TENSOR_COVS[0], tensor_inputs(), [F.col("l_discount") * 20, F.col("l_tax") * 25])
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(r(F.sum(part), 3).alias("loglik"))
+
+
+PRODUCTS = [f"({a}) * ({b})" for a in INPUTS[0] for b in INPUTS[1]]
+
+
+@query(
+    f"select l_returnflag, count(*) as n, {', '.join(f'round(sum({PRODUCTS[i]} * {PRODUCTS[j]}), 3) as xx_{i}_{j}' for i, j in combinations_with_replacement(range(4), 2))}, "
+    f"{', '.join(f'round(sum({x} * l_discount * 20), 3) as xy_{i}' for i, x in enumerate(PRODUCTS))}, round(sum(power(l_discount * 20, 2)), 3) as yy from lineitem group by 1"
+)
+def tensor_regression_suffstats(spark, d):
+    out = expfam.tensor_regression_stats(table(spark, d, "lineitem"), ["l_returnflag"], tensor_inputs(), F.col("l_discount") * 20)
+    return rounded(out, *[c for c in out.columns if c not in ("l_returnflag", "n")], digits=3)
+
+
+# ---- joint, posterior and a random walk --------------------------------------------------------------
+
+PRIOR = 1.5
+FRONT = f"lgamma(k * {PRIOR}) - k * lgamma({PRIOR})"
+
+
+@query(
+    f"""with c as (select o_orderstatus, o_orderpriority, count(*) as n from orders group by 1, 2), p as (select o_orderpriority, count(*) / (select count(*)::double from orders) as theta from orders group by 1),
+    s as (select o_orderstatus, count(*) as k, sum(n) as n, sum(({PRIOR} - 1) * ln(theta)) as a, sum(n * ln(theta)) as b, sum(lgamma(n + {PRIOR})) as g from c join p using (o_orderpriority) group by 1),
+    t as (select o_orderstatus, {FRONT} + a as log_params, b as log_likelihood, {FRONT} - lgamma(n + k * {PRIOR}) + g as log_marginal from s)
+    select o_orderstatus, round(log_params, 5) as log_params, round(log_likelihood, 4) as log_likelihood, round(log_marginal, 4) as log_marginal, round(log_params + log_likelihood, 4) as log_joint,
+    round(log_params + log_likelihood - log_marginal, 4) as log_posterior from t"""
+)
+def dirichlet_log_terms(spark, d):
+    """Prior, joint and posterior density of the overall proportions of priorities, given the counts of each status."""
+    orders = table(spark, d, "orders")
+    p = expfam.proportions(expfam.counts(orders, "o_orderpriority"), [], name="theta").select("o_orderpriority", "theta")
+    c = expfam.counts(orders, "o_orderstatus", "o_orderpriority").join(p, "o_orderpriority")
+    out = rounded(expfam.dirichlet_log_terms(c, ["o_orderstatus"], "theta", PRIOR), "log_params", digits=5)
+    return rounded(out, "log_likelihood", "log_marginal", "log_joint", "log_posterior", digits=4)
+
+
+WALK, WIDTH = 100, 0.5
+WALK_P = "(-abs(({x}) - m) * 4.0 - 0.5 * power({x}, 2) / 9.0)"
+
+
+@query(
+    f"""with recursive m as (select event_type, s / n as m from ({LOGS})), u as (select event_type, m, k, {uniform_sql("'mh'", 'event_type', 'k', "'step'")} as us, {uniform_sql("'mh'", 'event_type', 'k', "'take'")} as ut from m, range(1, {WALK + 1}) as t(k)),
+    w as (select event_type, 0::bigint as k, m + 1.0 as x, {WALK_P.format(x='m + 1.0')} as lp, 0 as moved from m
+      union all select event_type, k, case when ok then y else x end, case when ok then lq else lp end, ok::int from (
+        select *, ln(ut) < lq - lp as ok from (select *, {WALK_P.format(x='y')} as lq from (select u.event_type, u.k, u.m, w.x, w.lp, u.ut, w.x + {WIDTH} * (2 * u.us - 1) as y from w join u on u.event_type = w.event_type and u.k = w.k + 1))))
+    select event_type, sum(moved)::bigint as moved, round(avg(x), 6) as mean, round(arg_max(x, k), 6) as last from w group by 1"""
+)
+def metropolis_chain(spark, d):
+    """A random walk per event type to a peaked density around its mean, with fixed uniforms."""
+    rows = log_values(spark, d).select("event_type", (F.col("s_0") / F.col("n")).alias("m"))
+    density = lambda x: -F.abs(x - F.col("m")) * 4.0 - 0.5 * F.pow(x, F.lit(2)) / 9.0
+    out = rows.withColumn("w", expfam.metropolis_chain(density, F.col("m") + 1.0, WALK, WIDTH, F.lit("mh"), "event_type"))
+    fold = lambda name: F.aggregate("w", F.lit(0.0), lambda a, s: a + s[name])
+    return longs(out.select("event_type", fold("moved").alias("moved"), r(fold("x") / F.size("w")).alias("mean"), r(F.element_at("w", -1)["x"]).alias("last")), "moved")
