@@ -184,7 +184,7 @@ class GraphModel:
         return self
 
     def posterior(self, packed: DataFrame) -> DataFrame:
-        return local.per_graph(packed, local.posterior_rows(self.params), local.POSTERIOR)
+        return local.posteriors(packed, self.params)
 
     def marginal(self, packed: DataFrame) -> DataFrame:
         return learning.log_marginals(packed, [self.params]).drop("draw")

@@ -1,18 +1,28 @@
-"""Work on one small graph at a time: a packed row, or all rows of a graph_id by ``applyInPandas``.
+"""Work on small graphs: a packed row each, or all rows of a graph_id by ``applyInPandas``.
 
 What needs graph-shaped control flow (searches, schedules, loopy propagation) or dense tensors is done
-here in numpy, a graph per call; graphs are independent, so this scales with their number.
+here in numpy.  Graphs are independent, so this scales with their number; posteriors are found for all
+graphs of one structure in a batch at once, the rest a graph per call.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import product
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 
 MOST_CELLS = 100_000_000
+#: Graphs that are solved in one pass, and cells of a tensor over more than one graph; a batch that needs more is halved.
+BATCH_GRAPHS, BATCH_CELLS = 1024, 4_000_000
+#: The name of the axis of graphs.
+GRAPHS = "graphs"
+
+
+class TooLarge(ValueError):
+    pass
 
 
 def per_graph(packed, run, schema: str):
@@ -35,6 +45,15 @@ def hyperedges(pdf: pd.DataFrame) -> list[tuple[int, tuple[int, ...], tuple[int,
     return out
 
 
+@lru_cache(maxsize=4096)
+def gathered(incidence: tuple[tuple[int, str, int, int], ...]) -> list[tuple[int, tuple[int, ...], tuple[int, ...]]]:
+    """The hyperedges of sorted (edge, role, ord, node)."""
+    sides: dict[int, dict[str, list[int]]] = {}
+    for e, role, _, n in incidence:
+        sides.setdefault(e, {}).setdefault(role, []).append(n)
+    return [(e, tuple(x.get("p", ())), tuple(x.get("c", ()))) for e, x in sides.items()]
+
+
 def cyclic(edges) -> bool:
     todo = {n for _, p, c in edges for n in (*p, *c)}
     above = {n: set() for n in todo}
@@ -189,8 +208,9 @@ def product_of(tensors: list[Tensor]) -> Tensor:
     for t in tensors:
         for n, size in zip(t.names, t.values.shape, strict=True):
             shape[names.index(n)] = size
-    if shape.prod() > MOST_CELLS:
-        raise ValueError(f"a tensor over {names} would have {shape.prod():.0f} cells")
+    many = GRAPHS in names and shape[names.index(GRAPHS)] > 1
+    if shape.prod() > (BATCH_CELLS if many else MOST_CELLS):
+        raise TooLarge(f"a tensor over {names} would have {shape.prod():.0f} cells")
     return Tensor(names, sum((t.expand(names) for t in tensors), np.zeros(tuple(int(s) for s in shape))))
 
 
@@ -217,7 +237,7 @@ class Graph:
         self.edges, self.grp = edges, grp
         self.parents = {n: p for _, p, c in edges for n in c}
         self.nodes = sorted({n for _, p, c in edges for n in (*p, *c)} | set(grp))
-        self.tensors = []
+        self.fixed: list[Tensor] = []
         self.like: dict[int, np.ndarray] = {}
         with np.errstate(divide="ignore"):
             for n in self.nodes:
@@ -227,12 +247,12 @@ class Graph:
                 if allowed and n in allowed:
                     like = np.where([k in allowed[n] for k in range(len(like))], like, -np.inf)
                 self.like[n] = like
-                self.tensors.append(Tensor((n,), like))
                 if n in self.parents:
                     p = self.parents[n]
-                    self.tensors.append(Tensor((*p, n), np.log(np.array(params.cpt[(*(grp[m] for m in p), g)], dtype=float))))
+                    self.fixed.append(Tensor((*p, n), np.log(np.array(params.cpt[(*(grp[m] for m in p), g)], dtype=float))))
                 else:
-                    self.tensors.append(Tensor((n,), np.log(np.array(params.prior[g], dtype=float))))
+                    self.fixed.append(Tensor((n,), np.log(np.array(params.prior[g], dtype=float))))
+        self.tensors = [Tensor((n,), x) for n, x in self.like.items()] + self.fixed
 
     def joint(self, *nodes: int) -> np.ndarray:
         return reduce_to(self.tensors, nodes).values
@@ -285,41 +305,112 @@ class Graph:
         return out
 
 
+def incidence_of(r) -> tuple[tuple[int, str, int, int], ...]:
+    return tuple(sorted((int(e["edge"]), e["role"], int(e["ord"]), int(e["node"])) for e in r["edges"]))
+
+
+def groups_of(r) -> tuple[tuple[int, int], ...]:
+    return tuple(sorted((int(n["node"]), int(n["grp"])) for n in r["nodes"]))
+
+
+def observed(r) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for o in r["obs"] if r["obs"] is not None else []:
+        out.setdefault(int(o["node"]), []).append(int(o["y"]))
+    return out
+
+
+def evidence_of(r) -> dict[int, set[int]]:
+    out: dict[int, set[int]] = {}
+    for a in r["allowed"] if r.get("allowed") is not None else []:
+        out.setdefault(int(a["node"]), set()).add(int(a["state"]))
+    return out
+
+
 def graph_of(pdf: pd.DataFrame, params) -> Graph:
     """A graph from one packed row: its hyperedges, observations and evidence as arrays of structs."""
     r = pdf.iloc[0]
-    rows = pd.DataFrame([{"edge": e["edge"], "role": e["role"], "node": e["node"], "ord": e["ord"]} for e in r["edges"]])
-    obs: dict[int, list[int]] = {}
-    for o in r["obs"] if r["obs"] is not None else []:
-        obs.setdefault(int(o["node"]), []).append(int(o["y"]))
-    allowed: dict[int, set[int]] = {}
-    for a in r["allowed"] if r.get("allowed") is not None else []:
-        allowed.setdefault(int(a["node"]), set()).add(int(a["state"]))
-    grp = {int(n["node"]): int(n["grp"]) for n in r["nodes"]}
-    return Graph(hyperedges(rows), params, obs, grp, allowed)
+    return Graph(gathered(incidence_of(r)), params, observed(r), dict(groups_of(r)), evidence_of(r))
 
 
-def posterior_rows(params):
-    """For each graph: logz, smoothed nodes, families and their conditionals, in one long table."""
+class Batch:
+    """Graphs that share hyperedges and groups: their likelihoods have one more axis, tables have none."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = graph_of(pdf, params)
-        gid, z = int(pdf["graph_id"].iloc[0]), g.log_marginal()
-        rows = [(gid, "logz", -1, "", -1, z, z)]
+    def __init__(self, edges, params, grp: dict[int, int], rows: list):
+        one = Graph(edges, params, {}, grp)
+        self.grp, self.nodes, self.parents, self.size = grp, one.nodes, one.parents, len(rows)
+        self.obs, allowed = [observed(r) for r in rows], [evidence_of(r) for r in rows]
+        self.tensors = list(one.fixed)
+        for n in self.nodes:
+            with np.errstate(divide="ignore"):
+                table = np.log(np.array(params.emission[grp[n]], dtype=float))
+            like = np.zeros((len(rows), len(table)))
+            seen = [(b, y) for b, o in enumerate(self.obs) for y in o.get(n, [])]
+            if seen:
+                at, ys = np.array(seen).T
+                np.add.at(like, at, table.T[ys])
+            for b, a in enumerate(allowed):
+                if n in a:
+                    like[b, [k for k in range(len(table)) if k not in a[n]]] = -np.inf
+            self.tensors.append(Tensor((GRAPHS, n), like))
+
+    def joint(self, *nodes: int) -> np.ndarray:
+        """One entry per graph, then an axis for each node."""
+        return reduce_to(self.tensors, (GRAPHS, *nodes)).values
+
+    def family(self, n: int) -> tuple[tuple[int, ...], np.ndarray]:
+        names = (*self.parents.get(n, ()), n)
+        return names, self.joint(*names)
+
+
+def batches(pdf: pd.DataFrame, params, work) -> Iterator[pd.DataFrame]:
+    """work(graph_ids, Batch) for the graphs of each structure among the packed rows."""
+    alike: dict[tuple, list] = {}
+    for _, r in pdf.iterrows():
+        alike.setdefault((incidence_of(r), groups_of(r)), []).append(r)
+    for (incidence, grp), rows in alike.items():
+        todo = [rows[at : at + BATCH_GRAPHS] for at in range(0, len(rows), BATCH_GRAPHS)]
+        while todo:
+            part = todo.pop()
+            try:
+                yield work(np.array([int(r["graph_id"]) for r in part]), Batch(gathered(incidence), params, dict(grp), part))
+            except TooLarge:
+                if len(part) == 1:
+                    raise
+                todo += [part[: len(part) // 2], part[len(part) // 2 :]]
+
+
+def posterior_table(ids: np.ndarray, g: Batch) -> pd.DataFrame:
+    z = g.joint()
+    frames = [pd.DataFrame({"graph_id": ids, "kind": "logz", "node": -1, "parents": "", "state": -1, "value": z, "conditional": z})]
+
+    def add(kind: str, n: int, w: np.ndarray, cond: np.ndarray) -> None:
+        """Rows of the finite cells of w, whose first axis is the graphs' and whose last is the node's."""
+        states = list(np.ndindex(w.shape[1:]))
+        flat, given = w.reshape(len(ids), -1), cond.reshape(len(ids), -1)
+        b, c = np.nonzero(np.isfinite(flat))
+        parents = np.array([",".join(map(str, x[:-1])) for x in states], dtype=object)
+        last = np.array([x[-1] for x in states])
+        frames.append(pd.DataFrame({"graph_id": ids[b], "kind": kind, "node": n, "parents": parents[c], "state": last[c], "value": np.exp(flat[b, c]), "conditional": np.exp(given[b, c])}))
+
+    with np.errstate(invalid="ignore"):
         for n in g.nodes:
-            names, w = g.family(n)
-            w = w - z
-            axis = w.ndim - 1
-            with np.errstate(invalid="ignore"):
-                cond = w - np.expand_dims(lse(w, (axis,)), axis)
-            for states in product(*map(range, w.shape)):
-                if np.isfinite(w[states]):
-                    rows.append((gid, "family", n, ",".join(map(str, states[:-1])), states[-1], math.exp(w[states]), math.exp(cond[states])))
-            one = lse(w, tuple(range(axis))) if axis else w
-            rows += [(gid, "node", n, "", k, math.exp(x), math.exp(x)) for k, x in enumerate(one) if np.isfinite(x)]
-        return pd.DataFrame(rows, columns=["graph_id", "kind", "node", "parents", "state", "value", "conditional"])
+            _, w = g.family(n)
+            w = w - z.reshape(-1, *[1] * (w.ndim - 1))
+            add("family", n, w, w - np.expand_dims(lse(w, (w.ndim - 1,)), w.ndim - 1))
+            one = lse(w, tuple(range(1, w.ndim - 1))) if w.ndim > 2 else w
+            add("node", n, one, one)
+    return pd.concat(frames, ignore_index=True)
 
-    return run
+
+def posteriors(packed, params):
+    """For each graph: logz, smoothed nodes, families and their conditionals, in one long table."""
+
+    def work(parts):
+        for pdf in parts:
+            yield from batches(pdf, params, posterior_table)
+
+    return packed.mapInPandas(work, POSTERIOR)
 
 
 POSTERIOR = "graph_id long, kind string, node long, parents string, state long, value double, conditional double"

@@ -164,7 +164,7 @@ def carrier_probability(spark, d):
         if pattern == "AD":
             continue
         packed = hypotheses(spark, d).filter(F.col("graph_id") % 3 == k)
-        post = local.per_graph(packed, local.posterior_rows(MEANS[pattern]), local.POSTERIOR).filter("kind = 'node'")
+        post = local.posteriors(packed, MEANS[pattern]).filter("kind = 'node'")
         wide = post.groupBy(F.floor(F.col("graph_id") / 3).alias("pedigree"), "node").agg(F.array(*[F.coalesce(F.max(F.when(F.col("state") == k, F.col("value"))), F.lit(0.0)) for k in range(3)]).alias("p"))
         sex = F.when(F.col("node") % 2 == 1, "male").otherwise("female")
         own = wide.select("pedigree", F.lit(pattern).alias("hypothesis"), "node", r(mendel.carrier_probability(sex, F.col("p"), F.lit(pattern))).alias("p"))

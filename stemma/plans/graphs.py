@@ -254,27 +254,27 @@ def model_for(structure: Structure, groups: dict[int, int], sizes: dict[int, int
 
 
 class Case:
-    """One structure copied to every nation, with its parameters, and its enumeration in SQL."""
+    """One structure copied to every row of a table (nations unless told otherwise), with its parameters, and its enumeration in SQL."""
 
-    def __init__(self, name: str, sizes=None, groups=None, missing: float = 0.0, evidence: dict[int, tuple[int, ...]] | None = None):
+    def __init__(self, name: str, sizes=None, groups=None, missing: float = 0.0, evidence: dict[int, tuple[int, ...]] | None = None, source: tuple[str, str] = ("nation", "n_nationkey")):
         self.text = corpus.ALL[name]
         self.structure = Structure.parse(self.text)
         self.sizes = sizes or {0: 2}
         self.groups = groups or dict.fromkeys(self.structure.nodes, 0)
         self.model = model_for(self.structure, self.groups, self.sizes)
-        self.missing, self.evidence = missing, evidence or {}
+        self.missing, self.evidence, self.source = missing, evidence or {}, source
 
     def k(self, n: int) -> int:
         return self.sizes[self.groups[n]]
 
     def frames(self, spark, d):
-        nation = table(spark, d, "nation")
-        e = corpus.replicate(nation, self.text)
+        rows, key = table(spark, d, self.source[0]), self.source[1]
+        e = corpus.replicate(rows, self.text, key)
         n = hg.nodes(e)
         grp = F.coalesce(*[F.when(F.col("node") == x, F.lit(g).cast("long")) for x, g in self.groups.items()])
         allowed = None
         if self.evidence:
-            graphs = nation.select(F.col("n_nationkey").cast("long").alias("graph_id"))
+            graphs = rows.select(F.col(key).cast("long").alias("graph_id"))
             states = F.array(*[F.struct(F.lit(x).cast("long").alias("node"), F.lit(s).cast("long").alias("state")) for x, ss in self.evidence.items() for s in ss])
             allowed = graphs.filter("graph_id % 2 = 0").select("graph_id", F.explode(states).alias("s")).select("graph_id", "s.*")
         return e, n.withColumn("grp", grp), corpus.observations(n, M_OBS, D_OBS, self.missing), allowed
@@ -304,11 +304,12 @@ class Case:
             if n in self.evidence:
                 wheres.append(f"(g.graph_id % 2 = 1 or x{n} in ({', '.join(map(str, self.evidence[n]))}))")
         u = lambda *k: uniform_sql(*k)
+        name, key = self.source
         nodes = ", ".join(f"({n})" for n in s.nodes)
-        obs = f"""obs as (select graph_id, node, m, floor({u("'obs'", 'graph_id', 'node', 'm')} * {D_OBS})::bigint as y from (select n_nationkey::bigint as graph_id, node, m from nation, (values {nodes}) t(node), range({M_OBS}) r(m)) where {u("'seen'", 'graph_id', 'node')} >= {self.missing})"""
+        obs = f"""obs as (select graph_id, node, m, floor({u("'obs'", 'graph_id', 'node', 'm')} * {D_OBS})::bigint as y from (select {key}::bigint as graph_id, node, m from {name}, (values {nodes}) t(node), range({M_OBS}) r(m)) where {u("'seen'", 'graph_id', 'node')} >= {self.missing})"""
         states = ", ".join(f"range({self.k(n)}) r{n}(x{n})" for n in s.nodes)
         cond = f" where {' and '.join(wheres)}" if wheres else ""
-        return f"with {obs}, {', '.join(ctes)}, joint_ as (select g.graph_id, {', '.join(f'x{n}' for n in s.nodes)}, {' + '.join(terms)} as w from (select n_nationkey::bigint as graph_id from nation) g {' '.join(joins)}, {states}{cond})"
+        return f"with {obs}, {', '.join(ctes)}, joint_ as (select g.graph_id, {', '.join(f'x{n}' for n in s.nodes)}, {' + '.join(terms)} as w from (select {key}::bigint as graph_id from {name}) g {' '.join(joins)}, {states}{cond})"
 
     def sql(self, tail: str) -> str:
         return f"{self.joint_sql()} {tail}"
@@ -326,7 +327,7 @@ def logz_sql(case: Case) -> str:
 
 
 def posterior(case: Case, spark, d):
-    return local.per_graph(case.packed(spark, d), local.posterior_rows(case.model), local.POSTERIOR)
+    return local.posteriors(case.packed(spark, d), case.model)
 
 
 def nodes_query(case: Case):
@@ -346,6 +347,7 @@ CASES = {
     "_evidence": Case("cycleGraph10", evidence={1: (0,), 5: (1,)}),
     "_missing": Case("graph3", {0: 3}, missing=0.4),
     "_group_fbs": Case("cycleGraph7", GROUPED, {0: 1, 1: 0, 2: 1, 3: 0}),
+    "_orders": Case("cycleGraph2", source=("orders", "o_orderkey")),  # as many graphs as orders
 }
 for _tag, _case in CASES.items():
     query(logz_sql(_case), f"graph_log_marginal{_tag}")(logz_query(_case))

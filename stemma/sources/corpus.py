@@ -66,10 +66,10 @@ def edges_sql(graphs: dict[int, str]) -> str:
     return f"(select graph_id::bigint as graph_id, edge::bigint as edge, role, node::bigint as node, ord::bigint as ord from (values {rows}) t(graph_id, edge, role, node, ord))"
 
 
-def replicate(nation: DataFrame, text: str) -> DataFrame:
-    """One copy of a graph for each nation: graph_id is the nation's key."""
+def replicate(rows_of: DataFrame, text: str, key: str = "n_nationkey") -> DataFrame:
+    """One copy of a graph for each row of a table: graph_id is the row's key."""
     rows = F.array(*[F.struct(F.lit(e).cast("long").alias("edge"), F.lit(r).alias("role"), F.lit(n).cast("long").alias("node"), F.lit(o).cast("long").alias("ord")) for e, r, n, o in incidence(text)])
-    return nation.select(F.col("n_nationkey").cast("long").alias("graph_id"), F.explode(rows).alias("r")).select("graph_id", "r.*")
+    return rows_of.select(F.col(key).cast("long").alias("graph_id"), F.explode(rows).alias("r")).select("graph_id", "r.*")
 
 
 def observations(nodes: DataFrame, m: int, d_obs: int, missing: float = 0.0) -> DataFrame:
@@ -82,10 +82,13 @@ def observations(nodes: DataFrame, m: int, d_obs: int, missing: float = 0.0) ->
 def pack(edges: DataFrame, obs: DataFrame, grp: DataFrame | None = None, allowed: DataFrame | None = None, **more: DataFrame) -> DataFrame:
     """One row per graph with everything about it in arrays, keyed by graph_id.
 
-    Each input is gathered by graph_id on its own, so the joins reuse that partitioning.
+    Each input is gathered by graph_id on its own, so the joins reuse that partitioning.  The number of
+    partitions is stated, because the rows are small but the work on them isn't.
     """
     from functools import reduce
 
+    edges = edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "graph_id")
+
     listed = lambda df, name, *cols: df.groupBy("graph_id").agg(F.collect_list(F.struct(*cols)).alias(name))
     nodes = grp if grp is not None else edges.select("graph_id", "node").distinct().withColumn("grp", F.lit(0).cast("long"))
     parts = [listed(edges, "edges", "edge", "role", "node", "ord"), listed(nodes, "nodes", "node", "grp"), listed(obs, "obs", "node", "m", "y")]
