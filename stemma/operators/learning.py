@@ -1,8 +1,8 @@
 """Learning on many graphs: EM, Gibbs, CAVI, SVI, direct maximisation.
 
-Graphs are independent: each step packs a graph into one row, runs the exact posterior per graph, and
-sums expected counts on the map side.  Only parameter-sized tables return to the driver, where the
-next parameters are made; every iteration is one Spark job.
+Graphs are independent: each step packs a graph into one row, runs the exact posterior for all graphs
+of a structure in a batch, and sums expected counts on the map side.  Only parameter-sized tables
+return to the driver, where the next parameters are made; every iteration is one Spark job.
 """
 
 from __future__ import annotations
@@ -21,35 +21,40 @@ from stemma.operators.factors import Model
 COUNTS = "kind string, key string, cell string, value double"
 
 
-def count_rows(params, relaxed: bool = False):
-    """Expected counts of one graph: 'root', 'cpt' (by the groups of parents and child), 'emission'; and its logz."""
+def count_table(ids: np.ndarray, g: local.Batch):
+    """Expected counts summed over a batch of graphs: 'root', 'cpt' (by the groups of parents and child), 'emission'; and the sum of their logz.
+
+    A graph whose evidence is impossible has no posterior and is an error, as no parameters can explain it.
+    """
     import pandas as pd
 
-    def run(pdf):
-        g = local.graph_of(pdf, params)
-        z = g.log_marginal()
-        rows = [("logz", "", "", z), ("graphs", "", "", 1.0)]
-        obs: dict[int, list[int]] = {}
-        for o in pdf.iloc[0]["obs"] if pdf.iloc[0]["obs"] is not None else []:
-            obs.setdefault(int(o["node"]), []).append(int(o["y"]))
-        for n in g.nodes:
-            names, w = g.family(n)
-            p = np.exp(w - z)
-            kind, key = ("cpt", ",".join(str(g.grp[m]) for m in names)) if len(names) > 1 else ("root", str(g.grp[n]))
-            for cell in np.ndindex(p.shape):
-                rows.append((kind, key, ",".join(map(str, cell)), float(p[cell])))
-            own = p.sum(axis=tuple(range(p.ndim - 1))) if p.ndim > 1 else p
-            for y in obs.get(n, []):
-                rows += [("emission", str(g.grp[n]), f"{k},{y}", float(x)) for k, x in enumerate(own)]
-        df = pd.DataFrame(rows, columns=["kind", "key", "cell", "value"])
-        return df.groupby(["kind", "key", "cell"], as_index=False)["value"].sum()
-
-    return run
+    z = g.joint()
+    if not np.isfinite(z).all():
+        raise ValueError(f"impossible evidence in graph {ids[~np.isfinite(z)][0]}")
+    rows = [("logz", "", "", float(z.sum())), ("graphs", "", "", float(len(ids)))]
+    for n in g.nodes:
+        names, w = g.family(n)
+        p = np.exp(w - z.reshape(-1, *[1] * (w.ndim - 1)))
+        kind, key = ("cpt", ",".join(str(g.grp[m]) for m in names)) if len(names) > 1 else ("root", str(g.grp[n]))
+        rows += [(kind, key, ",".join(map(str, cell)), float(x)) for cell, x in np.ndenumerate(p.sum(axis=0))]
+        own = p.sum(axis=tuple(range(1, p.ndim - 1))) if p.ndim > 2 else p
+        seen: dict[int, np.ndarray] = {}
+        for b, o in enumerate(g.obs):
+            for y in o.get(n, []):
+                seen[y] = seen.get(y, 0.0) + own[b]
+        rows += [("emission", str(g.grp[n]), f"{k},{y}", float(x)) for y, xs in seen.items() for k, x in enumerate(xs)]
+    df = pd.DataFrame(rows, columns=["kind", "key", "cell", "value"])
+    return df.groupby(["kind", "key", "cell"], as_index=False)["value"].sum()
 
 
 def expected_counts(packed: DataFrame, params) -> dict[tuple[str, str, str], float]:
     """kind, key, cell -> sum over all graphs (parameter-sized)."""
-    per = local.per_graph(packed, count_rows(params), COUNTS)
+
+    def work(parts):
+        for pdf in parts:
+            yield from local.batches(pdf, params, count_table)
+
+    per = packed.mapInPandas(work, COUNTS)
     return {(r["kind"], r["key"], r["cell"]): r["value"] for r in per.groupBy("kind", "key", "cell").agg(F.sum("value").alias("value")).collect()}
 
 
