@@ -417,8 +417,10 @@ def gaussian_hmm_full_covariance(spark, d):
 @query(f"with recursive {ctes(TURNED)} select seq_id, round(logz, 5) as log_marginal from z")
 def slds_vector_log_marginal(spark, d):
     """Modes of a two-dimensional chain: each is a matrix, a drift and a covariance of the noise."""
-    seqs = event_sequences(spark, d, "value").withColumn("vs", F.transform("xs", lambda x: F.array(F.ln(1 + x["value"]), x["y"].cast("double"))))
-    steps = F.transform("vs", lambda v, i: F.struct(chain.regression_full(TURNS, DRIFTS, COVS, F.when(i > 0, F.get(F.col("vs"), i - 1)), v).alias("like")))
+    both = lambda x: F.array(F.ln(1 + x["value"]), x["y"].cast("double"))
+    pairs = F.transform("xs", lambda x, i: F.struct(both(x).alias("v"), F.when(i > 0, both(F.get(F.col("xs"), i - 1))).alias("pv")))
+    steps = F.transform("pairs", lambda p: F.struct(chain.regression_full(TURNS, DRIFTS, COVS, p["pv"], p["v"]).alias("like")))
+    seqs = event_sequences(spark, d, "value").withColumn("pairs", pairs)
     return seqs.select("seq_id", r(chain.log_marginal(MODEL, steps), 5).alias("log_marginal"))
 
 
