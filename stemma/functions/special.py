@@ -89,10 +89,26 @@ def normal_full_logpdf(residuals: list[Column], cov) -> Column:
     return -0.5 * total(x * x for x in z) - float(np.log(np.diag(low)).sum() + len(residuals) / 2 * LN_2PI)
 
 
+def key_md5(*keys: Column | str) -> Column:
+    text = F.concat_ws("|", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])
+    return F.md5(text.cast("binary"))
+
+
 def uniform(*keys: Column | str) -> Column:
     """A number in (0, 1) that depends on the keys alone: 48 bits of their md5, the same on every run and engine."""
-    text = F.concat_ws("|", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])
-    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    return (F.conv(F.substring(key_md5(*keys), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def uniform_floor(d: int, *keys: Column | str) -> Column:
+    """floor(uniform(*keys) * d) for d up to 8, where the product is exact, by comparing hex digits with those of the bounds.
+
+    u * d >= j where the 48 bits are at least j * 2^48 / d - 1/2, rounded up; the digits after the twelfth never decide.
+    """
+    if not 1 <= d <= 8:
+        return F.floor(uniform(*keys) * d).cast("long")
+    digits = key_md5(*keys)
+    bounds = [-((d - (j << 49)) // (2 * d)) for j in range(1, d)]
+    return sum(((digits >= f"{b:012x}").cast("long") for b in bounds), F.lit(0).cast("long"))
 
 
 def uniform_sql(*keys: str) -> str:

@@ -4,6 +4,9 @@ A factor is a table (graph_id, one column per variable, logw); a missing row has
 Multiplying is a natural join that adds logw, summing a variable out is a group-by with log-sum-exp.
 All graphs that share a structure go through one plan, partitioned by graph_id throughout: an exchange on
 graph_id serves every join and aggregate, as each also groups by it.
+
+Where only a number per graph is asked for, a graph is a row of its log-likelihoods, and the variables are summed
+out of tensors with an axis of graphs: the plan then has as many joins as there are inputs, not as there are factors.
 """
 
 from __future__ import annotations
@@ -11,9 +14,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.functions.special import lse_agg
@@ -21,6 +25,8 @@ from stemma.operators.chain import NEVER, ln
 
 #: Largest number of rows per graph that an intermediate factor may have.
 MOST_CELLS = 1_000_000
+#: Cells of a tensor over more than one graph; a batch that needs more is cut into slices.
+BATCH_CELLS = 2_000_000
 GRAPH = "graph_id"
 
 
@@ -135,17 +141,83 @@ def eliminate(factors: list[Factor], keep: Iterable[str]) -> Factor:
     return reduce(Factor.mul, sorted(factors, key=lambda f: -len(f.vars)))
 
 
-def check_size(scopes: list[set[str]], dims: dict[int, int], keep: Iterable[str] = ()) -> None:
-    """Refuses plans whose intermediate factors would exceed ``MOST_CELLS`` rows per graph."""
-    scopes, keep = [set(s) for s in scopes], set(keep)
+@dataclass(frozen=True)
+class Tensor:
+    """A factor of many graphs: an axis for each variable, then one of graphs (1: the same for all); probability zero is ``NEVER`` or less."""
+
+    values: np.ndarray
+    vars: tuple[str, ...]
+
+    def over(self, names: tuple[str, ...]) -> np.ndarray:
+        """With these axes before that of graphs; the ones it lacks have length 1."""
+        own = [v for v in names if v in self.vars]
+        moved = self.values.transpose([*(self.vars.index(v) for v in own), self.values.ndim - 1])
+        sizes = iter(moved.shape)
+        return moved.reshape([next(sizes) if v in self.vars else 1 for v in names] + [moved.shape[-1]])
+
+
+def lse_first(x: np.ndarray) -> np.ndarray:
+    """log-sum-exp over the first axis."""
+    top = x.max(axis=0)
+    return top + np.log(np.exp(x - top).sum(axis=0))
+
+
+def eliminate_batch(tensors: list[Tensor]) -> np.ndarray:
+    """For each graph the log of the product of all tensors, summed over every variable; each enters exactly once."""
+    tensors = list(tensors)
+    for v in elimination_order([set(t.vars) for t in tensors], set()):
+        own = [t for t in tensors if v in t.vars]
+        names = tuple(sorted({w for t in own for w in t.vars} - {v}))
+        tensors = [t for t in tensors if v not in t.vars]
+        tensors.append(Tensor(lse_first(reduce(np.add, sorted((t.over((v, *names)) for t in own), key=np.size))), names))
+    return reduce(np.add, [t.values for t in tensors])
+
+
+def log_table(table) -> np.ndarray:
+    p = np.asarray(table, float)
+    return np.where(p > 0, np.log(np.where(p > 0, p, 1.0)), NEVER)
+
+
+def batch_solver(tables: dict[tuple[str, int], Tensor], sizes: dict[int, int], step: int, masked: bool, renormalize: bool):
+    """For ``mapInArrow``: graph_id, l<node>_<state> and m<node>_<state> (log-likelihoods and masks) to graph_id, logz, ``step`` graphs at a time."""
+    import pyarrow as pa
+
+    def solved(columns: dict[str, np.ndarray]) -> np.ndarray:
+        gathered = lambda kind: {n: Tensor(np.maximum([columns[f"{kind}{n}_{i}"] for i in range(k)], NEVER), (var(n),)) for n, k in sizes.items()}
+        masks = gathered("m") if masked else {}
+        tensors = [*tables.values(), *gathered("l").values(), *masks.values()]
+        if masked and renormalize:
+            for (kind, n), t in tables.items():
+                if kind == "cpt":
+                    *given, x = t.vars
+                    z = lse_first(t.over((x, *given)) + masks[n].over((x, *given)))
+                    tensors.append(Tensor(np.where(z > NEVER / 2, -z, 0.0), tuple(given)))
+        z = eliminate_batch(tensors)
+        return np.where(z > NEVER / 2, z, -math.inf)
+
+    def work(parts):
+        for whole in parts:
+            for at in range(0, whole.num_rows, step):
+                part = whole.slice(at, step)
+                columns = {c: part.column(c).to_numpy(zero_copy_only=False) for c in part.schema.names if c != GRAPH}
+                yield pa.RecordBatch.from_arrays([part.column(GRAPH), pa.array(solved(columns))], [GRAPH, "logz"])
+
+    return work
+
+
+def check_size(scopes: list[set[str]], dims: dict[int, int], keep: Iterable[str] = ()) -> int:
+    """Refuses plans whose intermediate factors would exceed ``MOST_CELLS`` rows per graph; the most rows that one has."""
+    scopes, keep, most = [set(s) for s in scopes], set(keep), 1
     cells = lambda joined: math.prod(dims[int(w[1:])] for w in joined)
     for v in elimination_order(scopes, keep):
         joined = set().union(*[s for s in scopes if v in s])
         if cells(joined) > MOST_CELLS:
             raise ValueError(f"a factor over {sorted(joined)} would have {cells(joined)} cells")
+        most = max(most, cells(joined))
         scopes = [s for s in scopes if v not in s] + [joined - {v}]
     if cells(set().union(*scopes)) > MOST_CELLS:
         raise ValueError(f"the result over {sorted(set().union(*scopes))} would have {cells(set().union(*scopes))} cells")
+    return max(most, cells(set().union(*scopes)))
 
 
 @dataclass(frozen=True)
@@ -185,9 +257,19 @@ class Inference:
 
     def __init__(self, structure: Structure, model: Model, graphs: DataFrame, obs: DataFrame, groups: dict[int, int] | None = None, allowed: DataFrame | None = None, renormalize: bool = False):
         structure.order()
-        groups = groups or dict.fromkeys(structure.nodes, 0)
-        self.structure, self.groups, self.model = structure, groups, model
-        graphs = self.graphs = graphs.select(GRAPH).distinct()
+        self.structure, self.model = structure, model
+        self.groups = groups or dict.fromkeys(structure.nodes, 0)
+        self.graphs = graphs.select(GRAPH).distinct()
+        self.obs, self.allowed, self.renormalize = obs, allowed, renormalize
+
+    def loglik(self, n: int, y: Column) -> list[Column]:
+        """Aggregates: the summed log-likelihood of each state of a node; a measurement out of range is missing."""
+        rows = self.model.emission[self.groups[n]]
+        return [F.coalesce(F.sum(F.get(F.array(*[F.lit(ln(p)) for p in row]), y.cast("int"))), F.lit(0.0)) for row in rows]
+
+    @cached_property
+    def parts(self) -> dict[tuple[str, int], Factor]:
+        structure, groups, model, graphs, allowed = self.structure, self.groups, self.model, self.graphs, self.allowed
         parts: dict[tuple[str, int], Factor] = {}
         for kind, n in structure.scopes():
             x = var(n)
@@ -197,18 +279,17 @@ class Inference:
                 ps = structure.parents[n]
                 f = spread(graphs, (*map(var, ps), x), model.cpt[(*(groups[v] for v in ps), groups[n])])
             else:
-                rows = model.emission[groups[n]]
-                like = F.array(*[F.coalesce(F.sum(F.get(F.array(*[F.lit(ln(p)) for p in row]), F.col("y").cast("int"))), F.lit(0.0)) for row in rows])
-                seen = obs.filter(F.col("node") == n).groupBy(GRAPH).agg(like.alias("_l"))
-                none = F.array(*[F.lit(0.0)] * len(rows))
+                like = self.loglik(n, F.col("y"))
+                seen = self.obs.filter(F.col("node") == n).groupBy(GRAPH).agg(F.array(*like).alias("_l"))
+                none = F.array(*[F.lit(0.0)] * len(like))
                 df = graphs.join(seen, GRAPH, "left").select(GRAPH, F.posexplode(F.coalesce("_l", none)).alias("_x", "logw"))
                 f = Factor(df.select(GRAPH, F.col("_x").cast("long").alias(x), "logw").filter(F.col("logw") > NEVER / 2), (x,))
             if allowed is not None:
                 f = f.restrict(n, allowed)
-                if renormalize and kind == "cpt":
+                if self.renormalize and kind == "cpt":
                     f = Factor(f.normalize([v for v in f.vars if v != x]).select(GRAPH, *f.vars, F.ln("p").alias("logw")), f.vars)
             parts[kind, n] = f
-        self.parts = parts
+        return parts
 
     def solve(self, ks: Iterable[tuple[str, int]], keep: Iterable[str]) -> Factor:
         """The product of some parts, summed down to ``keep``."""
@@ -220,9 +301,24 @@ class Inference:
         return self.solve(self.parts, map(var, nodes))
 
     def log_marginal(self) -> DataFrame:
-        """graph_id, logz.  Components are multiplied, so graphs that fall apart count in full; impossible evidence gives minus infinity."""
-        found = self.solve(self.parts, ()).df.select(GRAPH, F.col("logw").alias("logz"))
-        return self.graphs.join(found, GRAPH, "left").select(GRAPH, F.coalesce("logz", F.lit(-math.inf)).alias("logz"))
+        """graph_id, logz.  Components are multiplied, so graphs that fall apart count in full; impossible evidence gives minus infinity.
+
+        What was seen and what is allowed are gathered by graph_id once, for all nodes.  The joins are stated as merges:
+        the sizes that Spark estimates are those of a file of keys, and a broadcast would bring every graph to the driver.
+        """
+        scopes, sizes = self.structure.scopes(), self.model.dims(self.groups)
+        most = check_size([set(vs) for vs in scopes.values()], sizes)
+        cells = [(n, k) for n in self.structure.nodes for k in range(sizes[n])]
+        seen = {n: self.loglik(n, F.when(F.col("node") == n, F.col("y"))) for n in self.structure.nodes}
+        rows = self.graphs.hint("merge").join(self.obs.groupBy(GRAPH).agg(*[seen[n][k].alias(f"l{n}_{k}") for n, k in cells]), GRAPH, "left")
+        if self.allowed is not None:
+            named = {n: F.max(F.when(F.col("node") == n, 1)) for n in self.structure.nodes}
+            barred = lambda n, k: named[n].isNotNull() & F.max(F.when((F.col("node") == n) & (F.col("state") == k), 1)).isNull()
+            masks = self.allowed.groupBy(GRAPH).agg(*[F.when(barred(n, k), NEVER).otherwise(0.0).alias(f"m{n}_{k}") for n, k in cells])
+            rows = rows.join(masks.hint("merge"), GRAPH, "left")
+        rows = rows.select(GRAPH, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in rows.columns if c != GRAPH])
+        tables = {(kind, n): Tensor(log_table(self.model.prior[self.groups[n]] if kind == "prior" else self.model.cpt[tuple(self.groups[int(v[1:])] for v in vs)])[..., None], vs) for (kind, n), vs in scopes.items() if kind != "like"}
+        return rows.mapInArrow(batch_solver(tables, sizes, max(1, BATCH_CELLS // most), self.allowed is not None, self.renormalize), f"{GRAPH} {dict(rows.dtypes)[GRAPH]}, logz double")
 
     def family(self, child: int) -> Factor:
         return self.joint(*self.structure.parents.get(child, ()), child)

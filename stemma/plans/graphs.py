@@ -270,7 +270,7 @@ class Case:
     def frames(self, spark, d):
         rows, key = table(spark, d, self.source[0]), self.source[1]
         e = corpus.replicate(rows, self.text, key)
-        n = hg.nodes(e)
+        n = corpus.copies(rows, key).select("graph_id", F.explode(F.array(*[F.lit(x).cast("long") for x in self.structure.nodes])).alias("node"))
         grp = F.coalesce(*[F.when(F.col("node") == x, F.lit(g).cast("long")) for x, g in self.groups.items()])
         allowed = None
         if self.evidence:
@@ -280,8 +280,8 @@ class Case:
         return e, n.withColumn("grp", grp), corpus.observations(n, M_OBS, D_OBS, self.missing), allowed
 
     def inference(self, spark, d, renormalize: bool = False) -> Inference:
-        e, n, obs, allowed = self.frames(spark, d)
-        return Inference(self.structure, self.model, n, obs, self.groups, allowed, renormalize)
+        _, _, obs, allowed = self.frames(spark, d)
+        return Inference(self.structure, self.model, corpus.copies(table(spark, d, self.source[0]), self.source[1]), obs, self.groups, allowed, renormalize)
 
     def packed(self, spark, d):
         e, n, obs, allowed = self.frames(spark, d)
@@ -335,7 +335,7 @@ def nodes_query(case: Case):
 
 
 def logz_query(case: Case):
-    """Relational plan: joins and grouped log-sum-exp."""
+    """Likelihoods gathered by graph in one plan, variables summed out of tensors over many graphs."""
     return lambda spark, d: case.inference(spark, d).log_marginal().select("graph_id", r("logz").alias("log_marginal"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.functions.special import uniform
+from stemma.functions.special import uniform, uniform_floor
 
 # Example hypergraphs, parents>children of each hyperedge.
 ACYCLIC = {
@@ -72,11 +72,20 @@ def replicate(rows_of: DataFrame, text: str, key: str = "n_nationkey") -> DataFr
     return rows_of.select(F.col(key).cast("long").alias("graph_id"), F.explode(rows).alias("r")).select("graph_id", "r.*")
 
 
+def copies(rows_of: DataFrame, key: str = "n_nationkey") -> DataFrame:
+    """graph_id of those copies, each once, partitioned by it.
+
+    Only the keys are shuffled.  The number of partitions is stated, because the keys are small but the work on them isn't.
+    """
+    graphs = rows_of.select(F.col(key).cast("long").alias("graph_id"))
+    return graphs.repartition(int(rows_of.sparkSession.conf.get("spark.sql.shuffle.partitions")), "graph_id").distinct()
+
+
 def observations(nodes: DataFrame, m: int, d_obs: int, missing: float = 0.0) -> DataFrame:
     """obs(graph_id, node, m, y): measurements fixed by a hash of (graph, node, measurement); some nodes have none."""
     rows = nodes.withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-    y = F.floor(uniform(F.lit("obs"), F.col("graph_id"), F.col("node"), F.col("m")) * d_obs).cast("long")
-    return rows.select("graph_id", "node", "m", y.alias("y")).filter(uniform(F.lit("seen"), F.col("graph_id"), F.col("node")) >= missing)
+    obs = rows.select("graph_id", "node", "m", uniform_floor(d_obs, F.lit("obs"), F.col("graph_id"), F.col("node"), F.col("m")).alias("y"))
+    return obs.filter(uniform(F.lit("seen"), F.col("graph_id"), F.col("node")) >= missing) if missing > 0 else obs
 
 
 def pack(edges: DataFrame, obs: DataFrame, grp: DataFrame | None = None, allowed: DataFrame | None = None, **more: DataFrame) -> DataFrame:
